@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -69,3 +71,8 @@ def slices(texts: list, budget: int = 2_000_000) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def process_cache() -> dict:
+    """What a Python worker keeps between tasks; it is never pickled with the functions that use it."""
+    return sys.modules.setdefault("_lodestone_process", types.ModuleType("_lodestone_process")).__dict__

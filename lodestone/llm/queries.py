@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
-from .common import table
+from . import exact_dedup, language_id, mixing, near_dedup, url_filter, warc
+from .common import id_crc_mod, table
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -30,20 +30,41 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).drop("url")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_crc_mod(F.col("doc_id"), 3) == 1, F.lit(True))
+    model = language_id.train(docs, ~held_out)
+    found = language_id.predictor(spark, model)(F.col("text"))
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_language_id": op8_language_id,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op10_warc": warc.ORACLE,
     "op7_url_filter": r"""
 WITH r(verdict, host, path) AS (VALUES
   ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
