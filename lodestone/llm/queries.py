@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, url_filter, vectors, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, toxicity, url_filter, vectors, warc
 from .common import id_crc_mod, table
 
 URL_RULES = [
@@ -38,6 +38,16 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(label).alias(label))
+    return docs.join(labels, "doc_id", "left")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_labelled(spark, sf_dir, "quality"), F.col("quality") == 1)
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,6 +66,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _labelled(spark, sf_dir, "toxic")
+    fold = id_crc_mod(F.col("doc_id"), 5)
+    out = toxicity.score(docs, fold > 1, fold == 1, F.col("toxic"))
+    held_out = F.coalesce(id_crc_mod(F.col("doc_id"), 5) == 0, F.lit(True))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -65,9 +83,11 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality": op5_quality,
     "op6_pack": op6_pack,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
