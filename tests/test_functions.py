@@ -1,0 +1,32 @@
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.functions import vector as V
+from lodestone.operators import annotation
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_text(spark):
+    assert one(spark, T.preprocess_query(F.lit("  F-16\n战斗机　x "))) == "F-16 战斗机 x"
+    assert one(spark, T.clean_link(F.lit("3. https://a/b"))) == "https://a/b"
+    assert one(spark, T.clean_link(F.lit("LINK: u"))) == "u"
+    assert one(spark, T.containment(F.lit("AK"), F.lit("ak-47"))) == 0.4
+    assert one(spark, T.containment(F.lit("F16"), F.lit("F-16"))) == 0.0
+    assert one(spark, T.first_sentence(F.lit("<p>甲是乙。丙。</p>"))) == "甲是乙"
+    assert one(spark, T.first_paragraph(F.lit("none"))) == "N/A"
+    assert one(spark, T.has_cjk(F.lit("甲"))) is True
+
+
+def test_vectors(spark):
+    v = F.array(F.lit(3.0), F.lit(4.0))
+    assert [round(x, 6) for x in one(spark, V.fit_dim(V.l2_normalize(v), 4))] == [0.6, 0.8, 0, 0]
+    assert one(spark, V.l2_normalize(F.array(F.lit(0.0)))) == [0.0]
+
+
+def test_bio_round_trip(spark):
+    tags = spark.createDataFrame(list(enumerate(["B-A", "I-A", "O", "B-B", "B-B"])), "pos int, tag string").withColumn("doc", F.lit(1))
+    got = [tuple(r)[1:] for r in annotation.decode(tags, "doc", "pos").orderBy("start").collect()]
+    assert got == [(0, 2, "A"), (3, 1, "B"), (4, 1, "B")]
