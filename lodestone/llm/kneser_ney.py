@@ -87,8 +87,9 @@ def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
     return found.groupBy("v", "w", "key").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(key, docs, counts): the n-grams of every document, gathered per batch."""
+def features(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, docs, counts): the n-grams of every document, gathered per batch; with ``wanted`` (ascending) those alone."""
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
     schema = "key long, docs array<long>, counts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +100,13 @@ def features(docs: DataFrame) -> DataFrame:
                 length = np.bincount(doc, minlength=b - a)
                 key = np.concatenate([w, pair_hash(contexts(doc, w), w)])
                 both = np.concatenate([doc, doc])
+                if shared is not None:
+                    known = shared.value
+                    used = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                    key, both = key[used], both[used]
                 order = np.lexsort((both, key))
                 key, both = key[order], both[order]
-                start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (both[1:] != both[:-1])]))
+                start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (both[1:] != both[:-1])])[: len(key)])
                 count = np.diff(np.concatenate([start, [len(key)]]))
                 key, both = np.concatenate([np.full(b - a, LENGTH, np.uint64), key[start]]), np.concatenate([np.arange(b - a), both[start]])
                 count = np.concatenate([length, count])
@@ -136,11 +141,13 @@ def _mass(n1: Column, n2: Column, n3up: Column, total: Column, d: tuple[float, f
     return (n1 * F.lit(d[0]) + n2 * F.lit(d[1]) + n3up * F.lit(d[2])) / total
 
 
-def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *, prior: float = 0.0) -> DataFrame | None:
+def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *, prior: float = 0.0, margin: float = 0.0) -> DataFrame | None:
     """(key, weight): the signed sum of the classes' log-likelihood weights; None without text in each class.
 
     prior: an n-gram of n occurrences in all classes takes n / (n + prior) of its weight from the
     class's own counts and the rest from the common ones; back-off weights are then common too.
+    margin: every weight moves so far towards zero (those within it leave the model), so that what
+    classes differ in by topic or language alone, a little in every token, does not add up.
     """
     k = range(len(classes))
     bi = bigram_counts(docs, classes)
@@ -189,12 +196,22 @@ def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *,
     gain = sum(F.lit(signs[i]) * F.log1p(seen(i) / (F.col(f"l{i}") * F.col(f"p{i}"))) for i in k)
     pair = bi.join(context, "v").join(low, "w").select("key", gain.alias("weight"))
     length = docs.sparkSession.createDataFrame([(LENGTH, unknown)], "key long, weight double")
-    return cut(word.unionByName(pair).unionByName(length))
+    grams = word.unionByName(pair)
+    if margin:
+        grams = grams.where(F.abs("weight") > margin).withColumn("weight", F.col("weight") - F.signum("weight") * margin)
+    return cut(grams.unionByName(length))
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc, total, words) per distinct doc_id: summed weights and tokens, the boundary included."""
-    hits = features(docs).join(model, "key").select(
+def score(docs: DataFrame, model: DataFrame, *, filter_keys: int = 1_000_000) -> DataFrame:
+    """(doc, total, words) per distinct doc_id: summed weights and tokens, the boundary included.
+
+    The keys of a model of at most ``filter_keys`` rows go to the tasks, which then leave out n-grams
+    without a weight; beyond that all n-grams meet the model in the join.
+    """
+    wanted = None
+    if model.count() <= filter_keys:
+        wanted = np.sort(np.array([r["key"] for r in model.select("key").collect()], dtype=np.int64).view(np.uint64))
+    hits = features(docs, wanted).join(model, "key").select(
         F.explode(F.arrays_zip("docs", "counts")).alias("z"), "weight", (F.col("key") == LENGTH).alias("is_length"))
     return hits.groupBy(F.col("z.docs").alias("doc")).agg(
         F.sum(F.col("z.counts") * F.col("weight")).alias("total"), F.sum(F.when(F.col("is_length"), F.col("z.counts")).otherwise(0)).alias("words"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import kneser_ney
 from .common import cut
 
-BIN, LIMIT = 0.001, 4.0
+BIN, LIMIT = 0.0002, 4.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
@@ -36,9 +36,9 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-6) -
     return float(w[0] / scale), float(w[1])
 
 
-def score(docs: DataFrame, counted: Column, calibrating: Column, toxic: Column, *, prior: float = 20.0) -> DataFrame:
+def score(docs: DataFrame, counted: Column, calibrating: Column, toxic: Column, *, prior: float = 20.0, margin: float = 0.7) -> DataFrame:
     """(doc_id, score) per row of ``docs``; ``counted`` rows give the counts, ``calibrating`` ones the curve."""
-    model = kneser_ney.train(docs, [counted & (toxic == 1), counted & (toxic == 0)], [1.0, -1.0], prior=prior)
+    model = kneser_ney.train(docs, [counted & (toxic == 1), counted & (toxic == 0)], [1.0, -1.0], prior=prior, margin=margin)
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     scored = kneser_ney.score(docs, model).select("doc", (F.col("total") / F.col("words")).alias("evidence"))
