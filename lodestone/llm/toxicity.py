@@ -1,7 +1,7 @@
 """Toxicity: length-normalised log-likelihoods under class-conditional Kneser-Ney models.
 
 Toxic and ordinary text are modelled together (shared back-off counts); a document's evidence is
-the difference of its two log-likelihoods per token. A logistic curve, fitted on labelled rows that
+the difference of its two log-likelihoods per token, on a square-root scale. A logistic curve, fitted on labelled rows that
 the counts have not seen, turns evidence into a probability; it is fitted on a histogram of
 evidence (BIN wide, bounded to +-LIMIT), so the driver sees a bounded number of rows.
 
@@ -41,7 +41,7 @@ def score(docs: DataFrame, counted: Column, calibrating: Column, toxic: Column,
     model = kneser_ney.train(docs, [counted & (toxic == 1), counted & (toxic == 0)], [1.0, -1.0], prior=prior, margin=margin)
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    scored = kneser_ney.score(docs, model).select("doc", (F.col("total") / F.col("words")).alias("evidence"))
+    scored = kneser_ney.score(docs, model).select("doc", (F.signum("total") * F.sqrt(F.abs("total") / F.col("words"))).alias("evidence"))
     rows = docs.select("doc_id", F.when(calibrating, toxic).alias("label"))
     rows = cut(rows.join(scored, F.col("doc_id").eqNullSafe(F.col("doc")), "left"))
     seen = rows.where("label IS NOT NULL AND evidence IS NOT NULL").groupBy(
