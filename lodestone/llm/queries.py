@@ -38,10 +38,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str, label: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Documents with their label; up to ``broadcast_rows`` labels go to the documents, so that no text is moved."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(label).alias(label))
-    return docs.join(labels, "doc_id", "left")
+    return docs.join(F.broadcast(labels) if labels.count() <= broadcast_rows else labels, "doc_id", "left")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
