@@ -35,7 +35,7 @@ from .common import cut, slices
 
 WORD = re.compile(r"\w+")
 BOUNDARY, LENGTH = 1, 0
-PAIR = np.uint64(0x9E3779B97F4A7C15)
+TURN = 21
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +54,12 @@ def contexts(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = (v * PAIR) ^ (w + np.uint64(0x632BE59BD9B4E019))
-    x = (x ^ (x >> np.uint64(29))) * PAIR
-    return x ^ (x >> np.uint64(32))
+    """Both words' hashes are uniform; turning one makes the order count. ``pair_key`` is the same in SQL."""
+    return ((v << np.uint64(TURN)) | (v >> np.uint64(64 - TURN))) ^ w
+
+
+def pair_key(v: Column, w: Column) -> Column:
+    return F.shiftleft(v, TURN).bitwiseOR(F.shiftrightunsigned(v, 64 - TURN)).bitwiseXOR(w)
 
 
 def _texts(batch: pa.RecordBatch) -> list:
@@ -67,7 +70,7 @@ def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
     """(v, w, key, c0, c1, ...): bigrams and how often each class has them."""
     k = len(classes)
     names = [f"c{i}" for i in range(k)]
-    schema = "v long, w long, key long, " + ", ".join(f"{c} long" for c in names)
+    schema = "v long, w long, " + ", ".join(f"{c} long" for c in names)
     rows = docs.select("text", *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(classes)]).where(" OR ".join(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +84,11 @@ def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
                 _, first, of = np.unique(key, return_index=True, return_inverse=True)
                 count = [np.bincount(of, weights=member[a:b, i][doc], minlength=len(first)).astype(np.int64) for i in range(k)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)) for x in (v[first], w[first], key[first])] + [pa.array(c) for c in count], names=["v", "w", "key", *names])
+                    [pa.array(x.view(np.int64)) for x in (v[first], w[first])] + [pa.array(c) for c in count], names=["v", "w", *names])
 
     found = rows.mapInArrow(run, schema)
-    return found.groupBy("v", "w", "key").agg(*[F.sum(c).alias(c) for c in names])
+    counts = found.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in names])
+    return counts.withColumn("key", pair_key(F.col("v"), F.col("w")))
 
 
 def features(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
