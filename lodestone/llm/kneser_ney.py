@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import slices, stored
 
 WORD = re.compile(r"\w+")
 BOUNDARY, LENGTH = 1, 0
@@ -67,7 +67,7 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 
 def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
-    """(v, w, key, c0, c1, ...): bigrams and how often each class has them."""
+    """(v, w, c0, c1, ...): bigrams and how often each class has them."""
     k = len(classes)
     names = [f"c{i}" for i in range(k)]
     schema = "v long, w long, " + ", ".join(f"{c} long" for c in names)
@@ -87,8 +87,7 @@ def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
                     [pa.array(x.view(np.int64)) for x in (v[first], w[first])] + [pa.array(c) for c in count], names=["v", "w", *names])
 
     found = rows.mapInArrow(run, schema)
-    counts = found.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in names])
-    return counts.withColumn("key", pair_key(F.col("v"), F.col("w")))
+    return found.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def features(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -145,21 +144,23 @@ def _mass(n1: Column, n2: Column, n3up: Column, total: Column, d: tuple[float, f
     return (n1 * F.lit(d[0]) + n2 * F.lit(d[1]) + n3up * F.lit(d[2])) / total
 
 
-def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *, prior: float = 0.0, margin: float = 0.0) -> DataFrame | None:
+def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *, prior: float = 0.0, margin: float = 0.0, broadcast_words: int = 300_000) -> DataFrame | None:
     """(key, weight): the signed sum of the classes' log-likelihood weights; None without text in each class.
 
     prior: an n-gram of n occurrences in all classes takes n / (n + prior) of its weight from the
     class's own counts and the rest from the common ones; back-off weights are then common too.
     margin: every weight moves so far towards zero (those within it leave the model), so that what
     classes differ in by topic or language alone, a little in every token, does not add up.
+    broadcast_words: a vocabulary of at most so many words is sent to the bigrams; a larger one is joined by shuffle.
     """
     k = range(len(classes))
-    bi = bigram_counts(docs, classes)
-    bi = cut(bi.withColumn("call", sum(F.col(f"c{i}") for i in k)))
+    # only these columns are kept and moved; what follows from them is derived after the joins
+    stem = stored(bigram_counts(docs, classes), "bigrams")
+    bi = stem.withColumn("call", sum(F.col(f"c{i}") for i in k))
     names = [*[str(i) for i in k], "all"]
     # continuation counts favour the larger of two classes, so several classes are compared by plain ones
     size = (lambda c: F.sum(c)) if prior else (lambda c: F.count_if(F.col(c) > 0))
-    uni = cut(bi.groupBy("w").agg(*[size(f"c{i}").alias(f"u{i}") for i in names]))
+    uni = stored(bi.groupBy("w").agg(*[size(f"c{i}").alias(f"u{i}") for i in names]), "unigrams")
     b = bi.agg(*[x for i in names for x in _tally(f"c{i}", f"b{i}")]).first()
     u = uni.agg(F.count(F.lit(1)).alias("words"), *[x for i in names for x in _tally(f"u{i}", f"u{i}")]).first()
     if any(not b[f"b{i}_total"] for i in names):
@@ -186,8 +187,8 @@ def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *,
         F.sum(f"c{i}").alias(f"t{i}"), F.count_if(F.col(f"c{i}") == 1).alias(f"x{i}"), F.count_if(F.col(f"c{i}") == 2).alias(f"y{i}"), F.count_if(F.col(f"c{i}") >= 3).alias(f"z{i}"))])
     mass = {i: _mass(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), F.col(f"t{i}"), db[i]) for i in names}
     # a single class has its own back-off weights, several share the common ones
-    context = cut(context.select("v", *[f"t{i}" for i in names], *[
-        (mass["all"] if prior else F.when(F.col(f"t{i}") > 0, mass[str(i)]).otherwise(1.0)).alias(f"l{i}") for i in k]))
+    context = stored(context.select("v", *[f"t{i}" for i in names], *[
+        (mass["all"] if prior else F.when(F.col(f"t{i}") > 0, mass[str(i)]).otherwise(1.0)).alias(f"l{i}") for i in k]), "contexts")
     word = low.join(context, F.col("v") == F.col("w")).select(
         F.col("w").alias("key"), (sum(F.lit(signs[i]) * (F.log(f"p{i}") + F.log(f"l{i}")) for i in k) - F.lit(unknown)).alias("weight"))
 
@@ -198,12 +199,14 @@ def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *,
         return blend(own, common, "call")
 
     gain = sum(F.lit(signs[i]) * F.log1p(seen(i) / (F.col(f"l{i}") * F.col(f"p{i}"))) for i in k)
-    pair = bi.join(context, "v").join(low, "w").select("key", gain.alias("weight"))
+    sent = F.broadcast if u["words"] <= broadcast_words else (lambda df: df)
+    both = stem.join(sent(context), "v").join(sent(low), "w").withColumn("call", sum(F.col(f"c{i}") for i in k))
+    pair = both.select(pair_key(F.col("v"), F.col("w")).alias("key"), gain.alias("weight"))
     length = docs.sparkSession.createDataFrame([(LENGTH, unknown)], "key long, weight double")
     grams = word.unionByName(pair)
     if margin:
         grams = grams.where(F.abs("weight") > margin).withColumn("weight", F.col("weight") - F.signum("weight") * margin)
-    return cut(grams.unionByName(length))
+    return stored(grams.unionByName(length), "model")
 
 
 def score(docs: DataFrame, model: DataFrame, *, filter_keys: int = 1_000_000) -> DataFrame:
