@@ -155,7 +155,8 @@ def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *,
     """
     k = range(len(classes))
     # only these columns are kept and moved; what follows from them is derived after the joins
-    stem = stored(bigram_counts(docs, classes), "bigrams")
+    # in the order of v, equal contexts lie together in the table and in the shuffles that read it
+    stem = stored(bigram_counts(docs, classes).sortWithinPartitions("v"), "bigrams")
     bi = stem.withColumn("call", sum(F.col(f"c{i}") for i in k))
     names = [*[str(i) for i in k], "all"]
     # continuation counts favour the larger of two classes, so several classes are compared by plain ones
