@@ -201,7 +201,11 @@ def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *,
 
     gain = sum(F.lit(signs[i]) * F.log1p(seen(i) / (F.col(f"l{i}") * F.col(f"p{i}"))) for i in k)
     sent = F.broadcast if u["words"] <= broadcast_words else (lambda df: df)
-    both = stem.join(sent(context), "v").join(sent(low), "w").withColumn("call", sum(F.col(f"c{i}") for i in k))
+    met = stem.join(sent(context), "v")
+    if u["words"] > broadcast_words:
+        # between the two shuffles, so that one set of shuffle files is gone before the next is written
+        met = stored(met, "bigrams-in-context")
+    both = met.join(sent(low), "w").withColumn("call", sum(F.col(f"c{i}") for i in k))
     pair = both.select(pair_key(F.col("v"), F.col("w")).alias("key"), gain.alias("weight"))
     length = docs.sparkSession.createDataFrame([(LENGTH, unknown)], "key long, weight double")
     grams = word.unionByName(pair)
