@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from .common import cut, fresh, slices
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 K = BANDS * ROWS
-SMALL, HUBS = 6, 6
+SMALL, HUBS, GROWTH = 6, 6, 4
 #: Expected darts per coordinate and document: ln K + MARGIN; e^-MARGIN coordinates stay empty.
 MARGIN = 4.0
 WORD = re.compile(r"\w+")
@@ -178,23 +178,53 @@ def described(docs: DataFrame) -> DataFrame:
         run, "doc_id long, print string, bands array<long>, shingles binary, tf binary")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from (rep, bands)."""
+def band_rows(classes: DataFrame) -> DataFrame:
+    """(rep, key, n) of every band bucket of n > 1 classes, from (rep, bands)."""
     rows = classes.select("rep", F.explode("bands").alias("key")).where("key <> 0")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = cut(rows.join(sizes, "key"))
+    return cut(rows.join(sizes, "key"))
+
+
+def small_links(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of buckets of up to SMALL classes."""
     small = rows.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
     pairs = small.select(F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> named_struct('a', x, 'b', y))))")).alias("p"))
-    pairs = pairs.select("p.a", "p.b").where("a <> b")
-    large = rows.where(F.col("n") > SMALL)
-    central = rows.groupBy("rep").agg(F.sum("n").alias("c"), F.max("n").alias("most")).where(F.col("most") > SMALL)
-    first = Window.partitionBy("key").orderBy(F.desc("c"), "rep")
-    hubs = large.join(central, "rep").withColumn("r", F.row_number().over(first)).where(F.col("r") <= HUBS)
-    hubs = hubs.groupBy("key").agg(F.collect_list("rep").alias("hubs"))
-    stars = large.join(hubs, "key").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").select(
-        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.select("p.a", "p.b").where("a <> b").distinct()
+
+
+def star_links(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, of each bucket's ``hubs`` (key, hub, hub_c, hub_root) to the members that follow them and are not connected with them yet."""
+    later = (F.col("hub_c") > F.col("c")) | ((F.col("hub_c") == F.col("c")) & (F.col("hub") < F.col("rep")))
+    stars = members.join(hubs, "key").where(later & (F.col("root") != F.col("hub_root")))
+    return stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def bucket_links(rows: DataFrame, found: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found`` and the similar pairs that connect the members of large buckets, without pairs that earlier ones connect.
+
+    Rounds: the HUBS most central members of each open bucket (GROWTH times more each round) meet every
+    member that follows them and is not connected with them, then leave. A bucket is closed once the members left are
+    connected, so in the end each pair of a bucket is tested or connected, and copies of one text
+    cost one link each.
+    """
+    central = rows.groupBy("rep").agg(F.sum("n").alias("c"))
+    left = cut(rows.where(F.col("n") > SMALL).select("key", "rep").join(central, "rep"))
+    hubs = HUBS
+    while True:
+        roots = cut(connected(found))
+        members = left.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "c", F.coalesce("root", "rep").alias("root"))
+        members = cut(members)
+        still = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        open_ = cut(members.join(still, "key", "left_semi"))
+        if open_.isEmpty():
+            return found
+        first = Window.partitionBy("key").orderBy(F.desc("c"), "rep")
+        chosen = cut(open_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs).select(
+            "key", F.col("rep").alias("hub"), F.col("c").alias("hub_c"), F.col("root").alias("hub_root")))
+        found = cut(found.unionByName(verify(cut(star_links(open_, chosen)))))
+        left = open_.drop("root").join(chosen.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
+        hubs *= GROWTH
 
 
 def verified(links: DataFrame, rows: DataFrame, threshold: float, broadcast_ids: int = 200_000) -> DataFrame:
@@ -238,8 +268,9 @@ def groups(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     reps = cut(rows.where("print IS NOT NULL").groupBy(F.col("print").alias("of")).agg(F.min("doc_id").alias("rep")))
     classes = rows.select("doc_id", "print", "bands").join(
         reps, (F.col("print") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
-    links = cut(candidate_links(classes))
-    roots = connected(verified(links, rows, threshold))
+    buckets = band_rows(classes)
+    verify = lambda links: verified(links, rows, threshold)
+    roots = connected(bucket_links(buckets, cut(verify(cut(small_links(buckets)))), verify))
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("of", F.coalesce("root", "rep").alias("root"))
     return rows.select("doc_id", "print").join(named, F.col("print") == F.col("of"), "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("group_id"))

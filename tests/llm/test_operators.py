@@ -72,6 +72,23 @@ def test_near_copies_against_brute_force(spark):
     assert {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(root))
 
 
+def test_large_buckets_lose_no_link(spark):
+    """More classes in a bucket than hubs, in groups that only their own members connect."""
+    rows = spark.createDataFrame([(r, 7, 24) for r in range(24)] + [(r, 8, 8) for r in range(8)], "rep long, key long, n long")
+    similar = lambda a, b: a // 3 == b // 3
+    tested = []
+
+    def verify(links):
+        pairs = [(r["a"], r["b"]) for r in links.collect()]
+        tested.extend(pairs)
+        return spark.createDataFrame([p for p in pairs if similar(*p)], "a long, b long")
+
+    links = near_dedup.bucket_links(rows, spark.createDataFrame([], "a long, b long"), verify)
+    roots = {r["node"]: r["root"] for r in near_dedup.connected(links).collect()}
+    assert roots == {i: i // 3 * 3 for i in range(24) if i % 3}
+    assert len(tested) == len(set(tested)) and all(a < b for a, b in tested)
+
+
 def test_mixture(spark):
     rows = [(i, "a b c d", "en" if i % 3 else None, f"s{i % 2}") for i in range(60)]
     df = spark.createDataFrame(rows, DOCS).withColumn("mix", F.lit(1))
