@@ -9,9 +9,10 @@ Jaccard similarity. Long documents stop earlier (time ~ log K / total weight), s
 cost about the same number of darts.
 
 Signatures are banded (BANDS bands of ROWS coordinates). Documents with equal shingle sets are one
-class from the start. Within a band bucket the links to test are: all pairs of a bucket of up to
-SMALL classes; in a larger one each class with its HUBS most central classes (those in the largest
-buckets overall), so the work of a bucket grows in proportion to its size. Every tested link is
+class from the start. Of a band bucket of up to SMALL classes all pairs are tested; in a
+larger one each class is tested against the most central one. Where that leaves a large bucket
+unconnected, its members meet by an exact prefix filter on shingles (``prefix_links``), so no
+link between groups is lost. Every tested link is
 verified exactly on the shingles. Classes of links are connected by repeated minimum-label
 propagation over tables. No bucket, group or component is ever gathered.
 
@@ -26,18 +27,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, slices
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 K = BANDS * ROWS
-SMALL, HUBS, GROWTH = 6, 6, 4
+SMALL = 6
 #: Expected darts per coordinate and document: ln K + MARGIN; e^-MARGIN coordinates stay empty.
 MARGIN = 4.0
 WORD = re.compile(r"\w+")
@@ -193,38 +194,61 @@ def small_links(rows: DataFrame) -> DataFrame:
     return pairs.select("p.a", "p.b").where("a <> b").distinct()
 
 
-def star_links(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, of each bucket's ``hubs`` (key, hub, hub_c, hub_root) to the members that follow them and are not connected with them yet."""
-    later = (F.col("hub_c") > F.col("c")) | ((F.col("hub_c") == F.col("c")) & (F.col("hub") < F.col("rep")))
-    stars = members.join(hubs, "key").where(later & (F.col("root") != F.col("hub_root")))
+def star_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, of each large bucket's most central class (that in the largest buckets overall) to all others."""
+    central = rows.groupBy("rep").agg(F.sum("n").alias("c"))
+    large = rows.where(F.col("n") > SMALL).select("key", "rep")
+    hubs = large.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("c", "rep")).alias("hub"))
+    stars = large.join(hubs, "key").where("rep <> hub")
     return stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def bucket_links(rows: DataFrame, found: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``found`` and the similar pairs that connect the members of large buckets, without pairs that earlier ones connect.
+def unconnected(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(rep, root) of the members of large buckets whose members ``found`` doesn't connect."""
+    roots = connected(found)
+    members = rows.where(F.col("n") > SMALL).select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left")
+    members = cut(members.select("key", "rep", F.coalesce("root", "rep").alias("root")))
+    still = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return cut(members.join(still, "key", "left_semi").select("rep", "root").distinct())
+
 
-    Rounds: the HUBS most central members of each open bucket (GROWTH times more each round) meet every
-    member that follows them and is not connected with them, then leave. A bucket is closed once the members left are
-    connected, so in the end each pair of a bucket is tested or connected, and copies of one text
-    cost one link each.
+def prefix_links(left: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b), a < b, that can be similar among ``left`` (rep, root) and are not of one root.
+
+    Prefix filter: with every document's shingles in one order, rarest first, two documents of
+    ``threshold`` share one of the first ones, which hold a share of 1 - threshold of the weight. That is
+    exact, for plain and weighted similarity alike. Documents that only share common passages have
+    rarer shingles of their own in front and never meet.
     """
-    central = rows.groupBy("rep").agg(F.sum("n").alias("c"))
-    left = cut(rows.where(F.col("n") > SMALL).select("key", "rep").join(central, "rep"))
-    hubs = HUBS
-    while True:
-        roots = cut(connected(found))
-        members = left.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "c", F.coalesce("root", "rep").alias("root"))
-        members = cut(members)
-        still = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_ = cut(members.join(still, "key", "left_semi"))
-        if open_.isEmpty():
-            return found
-        first = Window.partitionBy("key").orderBy(F.desc("c"), "rep")
-        chosen = cut(open_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs).select(
-            "key", F.col("rep").alias("hub"), F.col("c").alias("hub_c"), F.col("root").alias("hub_root")))
-        found = cut(found.unionByName(verify(cut(star_links(open_, chosen)))))
-        left = open_.drop("root").join(chosen.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti")
-        hubs *= GROWTH
+    body = rows.select(F.col("doc_id").alias("rep"), "shingles", "tf").join(left, "rep")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for rep, root, data, tf in zip(x["rep"], x["root"], x["shingles"], x["tf"], strict=True):
+                sh = np.frombuffer(data, np.uint32).astype(np.int64)
+                w = weights(np.frombuffer(tf, np.uint16).astype(float)) if tf else np.ones(len(sh))
+                yield pd.DataFrame({"rep": rep, "root": root, "s": sh, "w": w})
+
+    items = cut(body.select("rep", "root", "shingles", "tf").mapInPandas(run, "rep long, root long, s long, w double"))
+    often = items.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "s")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("rep")
+    some, share = 1 - threshold + 1e-9, threshold / (1 + threshold) - 1e-9
+    first = items.join(often, "s").select(
+        "rep", "root", "s", "df", F.sum("w").over(whole).alias("w"), F.count(F.lit(1)).over(whole).alias("n"),
+        F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("wb"), (F.row_number().over(order) - 1).alias("nb"))
+    first = cut(first.where((F.col("df") > 1) & ((F.col("wb") <= some * F.col("w")) | (F.col("nb") <= some * F.col("n")))).drop("df"))
+    mixed = first.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+    first = first.join(mixed, "s", "left_semi")
+    x, y = (first.select("s", *[F.col(c).alias(f"{c}_{n}") for c in ("rep", "root", "w", "n", "wb", "nb")]) for n in ("a", "b"))
+
+    def reach(size: str, gone: str) -> Column:
+        # at the first shared shingle, what is left of both must still hold the overlap that similarity needs
+        rest = F.least(F.col(f"{size}_a") - F.col(f"{gone}_a"), F.col(f"{size}_b") - F.col(f"{gone}_b"))
+        return rest >= share * (F.col(f"{size}_a") + F.col(f"{size}_b"))
+
+    pairs = x.join(y, "s").where("rep_a < rep_b AND root_a <> root_b").where(reach("w", "wb") | reach("n", "nb"))
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def verified(links: DataFrame, rows: DataFrame, threshold: float, broadcast_ids: int = 200_000) -> DataFrame:
@@ -270,7 +294,11 @@ def groups(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         reps, (F.col("print") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
     buckets = band_rows(classes)
     verify = lambda links: verified(links, rows, threshold)
-    roots = connected(bucket_links(buckets, cut(verify(cut(small_links(buckets)))), verify))
+    found = cut(verify(cut(small_links(buckets).unionByName(star_links(buckets)).distinct())))
+    left = unconnected(buckets, found)
+    if not left.isEmpty():
+        found = cut(found.unionByName(verify(cut(prefix_links(left, rows, threshold)))))
+    roots = connected(found)
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("of", F.coalesce("root", "rep").alias("root"))
     return rows.select("doc_id", "print").join(named, F.col("print") == F.col("of"), "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("group_id"))

@@ -73,20 +73,23 @@ def test_near_copies_against_brute_force(spark):
 
 
 def test_large_buckets_lose_no_link(spark):
-    """More classes in a bucket than hubs, in groups that only their own members connect."""
-    rows = spark.createDataFrame([(r, 7, 24) for r in range(24)] + [(r, 8, 8) for r in range(8)], "rep long, key long, n long")
-    similar = lambda a, b: a // 3 == b // 3
-    tested = []
-
-    def verify(links):
-        pairs = [(r["a"], r["b"]) for r in links.collect()]
-        tested.extend(pairs)
-        return spark.createDataFrame([p for p in pairs if similar(*p)], "a long, b long")
-
-    links = near_dedup.bucket_links(rows, spark.createDataFrame([], "a long, b long"), verify)
-    roots = {r["node"]: r["root"] for r in near_dedup.connected(links).collect()}
-    assert roots == {i: i // 3 * 3 for i in range(24) if i % 3}
-    assert len(tested) == len(set(tested)) and all(a < b for a, b in tested)
+    """Texts that share a long passage, and groups of copies within them, all taken for one bucket."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(8):
+        own = [word() for _ in range(40)]
+        texts += [" ".join(passage + own[:39] + [f"x{j}"]) for j in range(3)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    left = spark.createDataFrame([(i, i) for i in range(24)], "rep long, root long")
+    rows = near_dedup.described(df)
+    links = near_dedup.prefix_links(left, rows, 0.8)
+    found = {(r["a"], r["b"]) for r in near_dedup.verified(links, rows, 0.8).collect()}
+    sets = [shingles(t) for t in texts]
+    assert found == {(a, b) for a, b in itertools.combinations(range(24), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert links.count() == len(found) == 24
+    assert {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(df).collect()} == {i: i // 3 * 3 for i in range(24)}
 
 
 def test_mixture(spark):
