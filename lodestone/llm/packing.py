@@ -1,8 +1,9 @@
 """Lexical retrieval packing: a sharded BM25 index chooses which documents share a window.
 
 Documents are dealt to shards of about ``shard_chars`` characters by a hash of the whole row, so
-a shard is bounded and no key can make one hot. Each shard is tokenised, indexed (BM25 over token
-ids; statistics are the shard's, as in a sharded search engine) and packed: the document that
+a shard is bounded and no key can make one hot. Document frequencies and mean length are those of
+the whole corpus (a table bounded by the vocabulary). Each shard is indexed (BM25 over token ids)
+and packed; neighbours are looked for in the seed's own shard only. The document that
 opens a window is its seed, and when it is used up its best unused neighbours fill the window, the last
 one is cut and its rest opens the next window. Every window is full except the last of each shard.
 
@@ -20,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import process_cache, slices, stored
 
 WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
 TERMS, NEIGHBOURS = 16, 12
+TOKENS = "doc_id long, tokens binary"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Where pieces can't be encoded one by one.
 WHOLE = re.compile(r" (?:\s|$)|<\|")
@@ -99,10 +102,18 @@ def encoder(path: str) -> Encoder:
     return known[key]
 
 
+class Statistics(NamedTuple):
+    """Of the whole corpus: documents that hold each token id, documents, mean length."""
+
+    df: np.ndarray
+    docs: int
+    mean: float
+
+
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents, with the corpus' statistics."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Statistics):
         self.n = len(docs)
         length = np.array([len(d) for d in docs])
         key = (np.repeat(np.arange(self.n, dtype=np.int64), length) << 32) | np.concatenate(docs).astype(np.int64)
@@ -111,8 +122,8 @@ class Index:
         tf = np.diff(np.concatenate([first, [len(key)]]))
         doc, term = key[first] >> 32, key[first] & 0xFFFFFFFF
         df = np.bincount(term)
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
+        idf = np.log(1 + (corpus.docs - corpus.df + 0.5) / (corpus.df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / corpus.mean))
         self.terms, self.impact = term, np.where(df[term] > 1, impact, 0)
         self.rows = np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
@@ -134,9 +145,9 @@ class Index:
         return [int(d) for d in best if score[d] > 0]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], corpus: Statistics, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
-    index, used = Index(docs), np.zeros(len(docs), dtype=bool)
+    index, used = Index(docs, corpus), np.zeros(len(docs), dtype=bool)
     following, sequence, offset = 0, 0, 0
     seed, near = None, None
 
@@ -169,6 +180,37 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
             current = unused_in_order()
 
 
+def encode_rows(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    encode = encoder(path)
+    for batch in batches:
+        texts = [None if t is None or t != t else t for t in batch["text"].tolist()]
+        ids = batch["doc_id"].astype("Int64")
+        for a, b in slices(texts):
+            yield pd.DataFrame({"doc_id": ids.iloc[a:b].to_numpy(dtype=object), "tokens": encode.encode(texts[a:b])}).astype({"doc_id": "Int64"})
+
+
+def statistics(encoded: DataFrame) -> Statistics:
+    """Counted per task and added up; what comes to the driver is bounded by the vocabulary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, docs, length = np.zeros(0, dtype=np.int64), 0, 0
+        for batch in batches:
+            for t in batch["tokens"]:
+                ids = np.frombuffer(t, dtype="<u4")
+                docs, length, held = docs + 1, length + len(ids), np.unique(ids)
+                if held[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(held[-1]) + 1 - len(df), dtype=np.int64)])
+                df[held] += 1
+        held = np.flatnonzero(df)
+        yield pd.DataFrame({"id": [-1, -2, *held.tolist()], "n": [docs, length, *df[held].tolist()]})
+
+    n = {r["id"]: r["n"] for r in encoded.select("tokens").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    docs, length = n.pop(-1, 0), n.pop(-2, 0)
+    df = np.zeros(max(n, default=0) + 1, dtype=np.int64)
+    df[list(n)] = list(n.values())
+    return Statistics(df, docs, length / max(1, docs))
+
+
 def shard_count(docs: DataFrame, shard_chars: int) -> int:
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).alias("n")).first()["n"] or 0
     return max(1, -(-int(total) // shard_chars))
@@ -179,20 +221,22 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, shard_chars: int
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shard_count(rows, shard_chars)
-    dealt = rows.repartition(shards, F.xxhash64("doc_id", "text"))
+    encoded = stored(rows.mapInPandas(lambda batches: encode_rows(batches, path), TOKENS), "packing-tokens")
+    corpus = statistics(encoded)
+    dealt = encoded.repartition(shards, F.xxhash64("doc_id", "tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, ids, tokens = encoder(path), [], []
+        ids, tokens = [], []
         for batch in batches:
             ids += [None if i is None or i != i else int(i) for i in batch["doc_id"].tolist()]
-            tokens += encode.encode([None if t is None or t != t else t for t in batch["text"].tolist()])
+            tokens += batch["tokens"].tolist()
         if not ids:
             return
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, tokens[i]))
         ids, tokens = [ids[i] for i in order], [tokens[i] for i in order]
         docs = [np.frombuffer(t, dtype="<u4") for t in tokens]
         base, out = TaskContext.get().partitionId() << 32, []
-        for d, start, n, sequence, offset in pack_shard(docs):
+        for d, start, n, sequence, offset in pack_shard(docs, corpus):
             out.append((ids[d], start, n, zlib.crc32(memoryview(tokens[d])[4 * start : 4 * (start + n)]), len(docs[d]), base + sequence, offset))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
         yield frame.astype({"doc_id": "Int64"})

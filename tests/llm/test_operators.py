@@ -155,6 +155,23 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_statistics_cover_all_shards(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randrange(1, 9))) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS).repartition(5)
+    path = packing.default_tokenizer()
+    tokens = [set(np.frombuffer(t, "<u4").tolist()) for t in packing.encoder(path).encode(texts)]
+    lengths = [len(t) // 4 for t in packing.encoder(path).encode(texts)]
+    got = packing.statistics(df.select("doc_id", "text").mapInPandas(lambda b: packing.encode_rows(b, path), packing.TOKENS))
+    assert got.docs == 42 and math.isclose(got.mean, sum(lengths) / 42)
+    assert {i: int(n) for i, n in enumerate(got.df) if n} == {i: sum(i in t for t in tokens) for i in set().union(*tokens)}
+    # 7 is rarer than 8 in the shard, but common in the corpus
+    docs = [np.array(d, dtype="<u4") for d in ([7, 8, 0], [7, 9, 0], [8, 9, 0], [8, 9, 0])]
+    held = np.array([1000, *[0] * 6, 900, 3, 500])
+    order = list(dict.fromkeys(p[0] for p in packing.pack_shard(docs, packing.Statistics(held, 1000, 3.0))))
+    assert order == [0, 2, 3, 1]
+
+
 def test_url_rules(spark):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7")]
     urls = [None, "nothing", "http://A.Example.com/en/71?x", "http://b.com/en/7", "http://examplecom/en/7"]
