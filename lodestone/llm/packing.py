@@ -3,9 +3,10 @@
 Documents are dealt to shards of about ``shard_chars`` characters by a hash of the whole row, so
 a shard is bounded and no key can make one hot. Document frequencies and mean length are those of
 the whole corpus (a table bounded by the vocabulary). Each shard is indexed (BM25 over token ids)
-and packed; neighbours are looked for in the seed's own shard only. The document that
-opens a window is its seed, and when it is used up its best unused neighbours fill the window, the last
-one is cut and its rest opens the next window. Every window is full except the last of each shard.
+and packed; neighbours are looked for in the seed's own shard only. The document that opens a window
+is its seed, and when it is used up its unused neighbours by all of its terms (but the end id), best
+first, fill the window for as long as any scores above zero; the last one is cut and its rest opens
+the next window. Every window is full except the last of each shard.
 
 Tokens come from the given tokenizer. As byte-level BPE splits before a space that another
 character follows, texts are encoded piece by piece with a cache of pieces; a text for
@@ -33,7 +34,6 @@ from .common import process_cache, slices, stored
 
 WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
-TERMS, NEIGHBOURS = 16, 12
 TOKENS = "doc_id long, tokens binary"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Where pieces can't be encoded one by one.
@@ -124,25 +124,22 @@ class Index:
         df = np.bincount(term)
         idf = np.log(1 + (corpus.docs - corpus.df + 0.5) / (corpus.df + 0.5))
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / corpus.mean))
-        self.terms, self.impact = term, np.where(df[term] > 1, impact, 0)
+        self.terms = term
         self.rows = np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
         self.posting, self.weight = doc[order], impact[order].astype(np.float32)
-        self.start = np.concatenate([[0], np.cumsum(df)])
-
-    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents by falling score for the seed's strongest terms."""
-        a, b = self.rows[seed], self.rows[seed + 1]
-        strength = self.impact[a:b]
-        top = np.argpartition(-strength, TERMS)[:TERMS] if b - a > TERMS else np.arange(b - a)
-        score = np.zeros(self.n, dtype=np.float32)
-        for t in self.terms[a:b][top[strength[top] > 0]]:
-            x, y = self.start[t], self.start[t + 1]
-            score[self.posting[x:y]] += self.weight[x:y]
+        self.start, self.df = np.concatenate([[0], np.cumsum(df)]), df
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """All unused documents that score above zero for the seed's terms, by falling score."""
+        terms = self.terms[self.rows[seed] : self.rows[seed + 1]]
+        terms = terms[terms != END]
+        n = self.df[terms]
+        at = np.arange(n.sum()) + np.repeat(self.start[terms] - (np.cumsum(n) - n), n)
+        score = np.bincount(self.posting[at], weights=self.weight[at], minlength=self.n)
         score[used] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[np.lexsort((best, -score[best]))]
-        return [int(d) for d in best if score[d] > 0]
+        found = np.flatnonzero(score)
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], corpus: Statistics, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -170,12 +167,9 @@ def pack_shard(docs: list[np.ndarray], corpus: Statistics, window: int = WINDOW)
             if offset == window:
                 sequence, offset = sequence + 1, 0
                 seed, near = current, None
-        current = None
         if near is None:
             near = index.neighbours(seed, used)
-        while near and current is None:
-            d = near.pop(0)
-            current = None if used[d] else d
+        current = next((d for d in near if not used[d]), None)
         if current is None:
             current = unused_in_order()
 

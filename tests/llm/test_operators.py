@@ -172,6 +172,17 @@ def test_packing_statistics_cover_all_shards(spark):
     assert order == [0, 2, 3, 1]
 
 
+def test_packing_fills_windows_with_all_neighbours():
+    seed = np.array([*range(100, 140), 0], dtype="<u4")
+    apart = [np.array([200 + i, 300 + i], dtype="<u4") for i in range(20)]
+    # each shares one term with the seed: more documents than twelve, more terms than sixteen
+    related = [np.array([100 + i, 400 + i], dtype="<u4") for i in range(40)]
+    docs = [seed, *apart, *related]
+    corpus = packing.Statistics(np.bincount(np.concatenate(docs)), len(docs), np.mean([len(d) for d in docs]))
+    order = list(dict.fromkeys(p[0] for p in packing.pack_shard(docs, corpus)))
+    assert order[0] == 0 and set(order[1:41]) == set(range(21, 61)) and order[41:] == list(range(1, 21))
+
+
 def test_url_rules(spark):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7")]
     urls = [None, "nothing", "http://A.Example.com/en/71?x", "http://b.com/en/7", "http://examplecom/en/7"]
