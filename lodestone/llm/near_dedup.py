@@ -8,8 +8,10 @@ is the signature, and two documents agree on a coordinate with the probability o
 Jaccard similarity. Long documents stop earlier (time ~ log K / total weight), so all documents
 cost about the same number of darts.
 
-Signatures are banded (BANDS bands of ROWS coordinates). Documents with equal shingle sets are one
-class from the start. Of a band bucket of up to SMALL classes all pairs are tested; in a
+Signatures are banded (BANDS bands of ROWS coordinates); a document with repeated shingles has a second
+signature with all weights 1, in the same bands, so that plain similarity makes candidates as well.
+Documents with equal shingles and counts are one class from the start, and classes with equal shingle
+sets are linked. Of a band bucket of up to SMALL classes all pairs are tested; in a
 larger one each class is tested against the most central one. Where that leaves a large bucket
 unconnected, its members meet by an exact prefix filter on shingles (``prefix_links``), so no
 link between groups is lost. Every tested link is
@@ -127,26 +129,41 @@ def signatures(doc: np.ndarray, s: np.ndarray, w: np.ndarray, docs: int) -> tupl
     return best.reshape(docs, K), np.isfinite(best_t).reshape(docs, K)
 
 
-def describe(texts: list) -> pd.DataFrame:
-    """Per text: fingerprint of its shingle multiset, band keys (0: none), shingles and counts as bytes."""
-    doc, s, count = shingles(texts)
-    n = len(texts)
-    sig, has = signatures(doc, s, weights(count), n)
-    keys = np.zeros((n, BANDS), dtype=np.uint64)
+def band_keys(doc: np.ndarray, s: np.ndarray, w: np.ndarray, docs: int) -> np.ndarray:
+    """A key per document and band; 0: none."""
+    sig, has = signatures(doc, s, w, docs)
+    keys = np.zeros((docs, BANDS), dtype=np.uint64)
     for j in range(ROWS):
         keys = mix((keys + sig[:, j::ROWS]) * M1 + np.uint64(j))
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * M3)
     keys[~np.logical_and.reduce([has[:, j::ROWS] for j in range(ROWS)])] = 0
+    return keys
+
+
+def describe(texts: list) -> pd.DataFrame:
+    """Per text: fingerprints of its shingle multiset and set, band keys (0: none), shingles and counts as bytes."""
+    doc, s, count = shingles(texts)
+    n = len(texts)
+    keys = band_keys(doc, s, weights(count), n)
+    bands = list(keys.astype(np.int64))
+    repeats = np.unique(doc[count > 1])
+    if len(repeats):
+        of = np.isin(doc, repeats)
+        plain = band_keys(np.searchsorted(repeats, doc[of]), s[of], np.ones(of.sum()), len(repeats))
+        for i, more in zip(repeats, plain, strict=True):
+            bands[i] = np.unique(np.concatenate([keys[i], more])).astype(np.int64)
     ends = np.searchsorted(doc, np.arange(n), side="right")
     begins = np.searchsorted(doc, np.arange(n), side="left")
     short = (s >> np.uint64(32)).astype(np.uint32)
     few = np.minimum(count, 65535).astype(np.uint16)
     x, y = mix(s + count.astype(np.uint64)), mix(s * M2 + count.astype(np.uint64))
-    prints = []
+    u, v = mix(s), mix(s * M2)
+    prints, sets = [], []
     for a, b in zip(begins, ends, strict=True):
         prints.append(f"{int(x[a:b].sum()):016x}{int(y[a:b].sum()):016x}{b - a:x}" if b > a else None)
+        sets.append(f"{int(u[a:b].sum()):016x}{int(v[a:b].sum()):016x}{b - a:x}" if b > a else None)
     return pd.DataFrame({
-        "print": prints, "bands": list(keys.astype(np.int64)),
+        "print": prints, "shape": sets, "bands": bands,
         "shingles": [short[a:b].tobytes() for a, b in zip(begins, ends, strict=True)],
         "tf": [few[a:b].tobytes() if (few[a:b] > 1).any() else b"" for a, b in zip(begins, ends, strict=True)]})
 
@@ -165,7 +182,7 @@ def similarity(a: bytes, a_tf: bytes, b: bytes, b_tf: bytes) -> float:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, bands, shingles, tf)."""
+    """(doc_id, print, shape, bands, shingles, tf)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,7 +193,7 @@ def described(docs: DataFrame) -> DataFrame:
                 yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, print string, bands array<long>, shingles binary, tf binary")
+        run, "doc_id long, print string, shape string, bands array<long>, shingles binary, tf binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -186,6 +203,12 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return cut(rows.join(sizes, "key"))
 
 
+def same_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, of each class to the first one with its shingle set, from (rep, shape): plain similarity is 1."""
+    first = classes.groupBy("shape").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("shape", "a")
+    return classes.join(first, "shape").where("rep <> a").select("a", F.col("rep").alias("b"))
+
+
 def small_links(rows: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of buckets of up to SMALL classes."""
     small = rows.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
@@ -290,11 +313,12 @@ def groups(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """(doc_id, group_id): group_id is the smallest doc_id of the document's near-duplicate group."""
     rows = cut(described(docs.select("doc_id", "text").where("doc_id IS NOT NULL")))
     reps = cut(rows.where("print IS NOT NULL").groupBy(F.col("print").alias("of")).agg(F.min("doc_id").alias("rep")))
-    classes = rows.select("doc_id", "print", "bands").join(
-        reps, (F.col("print") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
+    classes = rows.select("doc_id", "print", "shape", "bands").join(
+        reps, (F.col("print") == F.col("of")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "shape", "bands")
     buckets = band_rows(classes)
     verify = lambda links: verified(links, rows, threshold)
-    found = cut(verify(cut(small_links(buckets).unionByName(star_links(buckets)).distinct())))
+    found = verify(cut(small_links(buckets).unionByName(star_links(buckets)).distinct()))
+    found = cut(found.unionByName(same_links(classes)))
     left = unconnected(buckets, found)
     if not left.isEmpty():
         found = cut(found.unionByName(verify(cut(prefix_links(left, rows, threshold)))))

@@ -92,6 +92,24 @@ def test_large_buckets_lose_no_link(spark):
     assert {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(df).collect()} == {i: i // 3 * 3 for i in range(24)}
 
 
+def test_repeated_passages_are_near_copies(spark):
+    """Texts pasted several times, and those with a word changed: plain similarity alone makes them near copies."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        words = rng.choices([f"w{i}" for i in range(2000)], k=150)
+        changed = [*words[:-1], "changed"]
+        texts += [" ".join(words), " ".join(words * 2), " ".join(words * 8), " ".join(changed * 16)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(df).collect()} == {i: i // 4 * 4 for i in range(48)}
+
+
+def test_equal_shingle_sets_are_near_copies(spark):
+    texts = ["one two three four five " * 2, "one two three four five " * 40, "one two three four five " * 9]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    assert {r["group_id"] for r in near_dedup.near_duplicates(df).collect()} == {0}
+
+
 def test_mixture(spark):
     rows = [(i, "a b c d", "en" if i % 3 else None, f"s{i % 2}") for i in range(60)]
     df = spark.createDataFrame(rows, DOCS).withColumn("mix", F.lit(1))
