@@ -7,9 +7,9 @@ is solved again so that the expected tokens still meet the budget. Documents dra
 number from a digest of their id, so the sample is the same however the rows are dealt.
 
 Everything is DataFrame and SQL expressions: the cells are one aggregate (partial sums before the
-shuffle), the raking is a fold over the cells' weights in one row. That row is bounded: of each
-marginal the ``max_values`` heaviest values have categories of their own, all others share
-``(rest)``; every document still counts and is sampled.
+shuffle). With up to ``max_values`` sources and languages the raking is a fold over the cells' weights
+in one row; with more, the same rounds are one aggregate and join per axis over the table of cells.
+Either way every source and language has its own target and the results are the same.
 
 Defined results: null source or language is the category ``(none)``; null text has no tokens and
 topic ``prose``; a document without tokens is kept with its cell's probability; an empty table
@@ -87,6 +87,37 @@ def raked_cells(cells: DataFrame, *, fraction: float, temper: float, targets: Ma
         F.least(F.lit(1.0), F.col("factor") * F.col("budget") * F.col("z.share") / F.greatest(F.col("z.cells.tokens"), F.lit(1))).alias("probability"))
 
 
+def raked_table(cells: DataFrame, *, fraction: float, temper: float, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """As ``raked_cells``, by aggregates and joins: no row holds more than one cell."""
+    total = cells.agg(F.sum("tokens").cast("double").alias("n"), F.sum(F.greatest("tokens", F.lit(1))).cast("double").alias("w")).first()
+    w = cells.withColumn("share", F.greatest("tokens", F.lit(1)) / F.lit(total["w"]))
+    for axis in AXES:
+        raw = cells.groupBy(axis).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(temper))).alias("raw"))
+        if axis in targets:
+            given = cells.sparkSession.createDataFrame([(v, float(t)) for v, t in targets[axis].items()], f"{axis} string, given double")
+            raw = raw.join(given, axis, "left").select(axis, F.coalesce("given", F.lit(0.0)).alias("raw"))
+        raw = cut(raw)
+        whole = raw.agg(F.sum("raw")).first()[0]
+        w = w.join(raw.select(axis, (F.col("raw") / F.lit(whole)).alias(f"{axis}_target")), axis)
+    w = cut(w)
+    for _ in range(ROUNDS):
+        for axis in AXES:
+            w = w.join(w.groupBy(axis).agg(F.sum("share").alias("s")), axis)
+            w = w.withColumn("share", F.when(F.col("s") > 0, F.col("share") * F.col(f"{axis}_target") / F.col("s")).otherwise(0.0)).drop("s")
+            w = cut(w)
+    budget, factor = fraction * total["n"], 1.0
+    for _ in range(30):
+        over = F.lit(factor * budget) * F.col("share") >= F.col("tokens")
+        got = w.agg(F.sum(F.when(over, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("share"))).alias("open")).first()
+        if not budget * got["open"]:
+            break
+        before, factor = factor, (budget - got["full"]) / (budget * got["open"])
+        if factor == before:
+            break
+    probability = F.least(F.lit(1.0), F.lit(factor * budget) * F.col("share") / F.greatest("tokens", F.lit(1)))
+    return w.select(*AXES, "tokens", "share", probability.alias("probability"))
+
+
 def sample_mixture(
     docs: DataFrame,
     *,
@@ -101,30 +132,24 @@ def sample_mixture(
 
     targets: per axis the wanted token shares; an axis without any gets shares in proportion to
     its tokens to the power ``temper``. fraction: of all tokens, expected in the sample.
+    max_values: sources or languages up to which one row holds all cells.
     """
-    mix, s, l, t, n, cs, cl = fresh(docs, "mix", "s", "l", "t", "n", "cs", "cl")
+    mix, s, l, t, n = fresh(docs, "mix", "s", "l", "t", "n")
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     rows = docs.withColumns({
         s: none("source"), l: none("lang"), t: F.coalesce(topic if topic is not None else default_topic(F.col("text")), F.lit("prose")),
         n: token_count(F.col("text"))})
     cells = cut(rows.groupBy(F.col(s).alias("source"), F.col(l).alias("lang"), F.col(t).alias("topic")).agg(F.sum(n).alias("tokens")))
 
-    def heaviest(axis: str, name: str) -> DataFrame:
-        top = cells.groupBy(axis).agg(F.sum("tokens").alias("w")).orderBy(F.desc("w"), axis).limit(max_values)
-        return F.broadcast(top.select(F.col(axis).alias(name), F.lit(True).alias(f"{name}_known")))
-
-    def categorised(df: DataFrame, source: str, lang: str) -> DataFrame:
-        for c, axis, name in ((source, "source", cs), (lang, "lang", cl)):
-            df = df.join(heaviest(axis, name), F.col(c) == F.col(name), "left")
-            df = df.withColumn(c, F.when(F.col(f"{name}_known"), F.col(c)).otherwise("(rest)")).drop(name, f"{name}_known")
-        return df
-
-    merged = categorised(cells, "source", "lang").groupBy(*AXES).agg(F.sum("tokens").alias("tokens"))
-    final = raked_cells(merged, fraction=fraction, temper=temper, targets=targets or {})
-    # at most (max_values + 1)^2 x topics rows
-    final = F.broadcast(final.select(
-        F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"), "share", "probability"))
-    out = categorised(rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), s, l, t, n), s, l)
+    values = cells.agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l")).first()
+    few = max(values["s"], values["l"]) <= max_values
+    final = (raked_cells if few else raked_table)(cells, fraction=fraction, temper=temper, targets=targets or {})
+    final = final.select(
+        F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"), "share", "probability")
+    if few:
+        # at most max_values^2 x topics rows
+        final = F.broadcast(final)
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), s, l, t, n)
     out = out.join(final, (F.col(s) == F.col("c_source")) & (F.col(l) == F.col("c_lang")) & (F.col(t) == F.col("c_topic")))
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in docs.columns],

@@ -118,6 +118,25 @@ def test_mixture(spark):
     assert mixing.sample_mixture(df.limit(0)).count() == 0
 
 
+def test_mixture_rakes_every_source(spark, monkeypatch):
+    """More sources than one row may hold: all keep their own targets, as in the fold over one row."""
+    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["a"] * rng.randrange(1, 30)), rng.choice(["en", "de", None]), f"s{i % 12}") for i in range(240)]
+    df = spark.createDataFrame(rows, DOCS)
+    read = lambda out: {r["doc_id"]: r["mix"] for r in out.collect()}
+    wanted = {"source": {f"s{i}": i + 1.0 for i in range(12)}}
+    for targets in (None, wanted):
+        one, many = (read(mixing.sample_mixture(df, targets=targets, max_values=m)) for m in (200, 3))
+        assert len(many) == 240
+        for i in one:
+            assert math.isclose(one[i]["share"], many[i]["share"], rel_tol=1e-9) and math.isclose(one[i]["probability"], many[i]["probability"], rel_tol=1e-9)
+            assert (one[i]["sampled"], one[i]["tokens"], one[i]["topic"]) == (many[i]["sampled"], many[i]["tokens"], many[i]["topic"])
+    cells = {(r[3], r[2]): many[r[0]]["share"] for r in rows}
+    share = {f"s{i}": sum(v for (s, _), v in cells.items() if s == f"s{i}") for i in range(12)}
+    assert all(math.isclose(share[f"s{i}"], (i + 1) / 78, abs_tol=0.01) for i in range(12))
+
+
 def test_kneser_ney_weights(spark):
     df = spark.createDataFrame([(1, "a b a b c", "en", "s"), (2, "b c d", "en", "s"), (3, "a c c", "en", "s")], DOCS)
     model = kneser_ney.train(df, [F.lit(True)], [1.0])
