@@ -15,9 +15,11 @@ from lodestone.llm.common import fresh, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language (null, or without letters) go."""
+    """Texts in no language (null, or without letters) go; where none could be learned, all texts with letters are of one."""
     found, = fresh(docs, "found")
     model = language_id.train(docs)
+    if not model.langs:
+        model = language_id.fit(["a"], ["any"])
     judged = docs.withColumn(found, language_id.predictor(spark, model)(F.col("text")))
     return judged.where(F.col(f"{found}.lang") != "und").drop(found)
 
