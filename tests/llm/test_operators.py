@@ -158,6 +158,16 @@ def test_quality(spark):
     assert quality.classify(df, F.lit(False)).where("kept").count() == 21
 
 
+def test_quality_rejects_as_many_as_are_bad(spark):
+    rng = random.Random(6)
+    good = [f"g{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(good, k=30)), "en", "s") for i in range(120)]
+    rows += [(i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(30)), "en", "s") for i in range(120, 200)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(df, F.col("doc_id") < 80).collect()}
+    assert not any(got[i] for i in range(120, 200)) and sum(got[i] for i in range(80, 120)) >= 30
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     plain = [f"p{i}" for i in range(30)]
