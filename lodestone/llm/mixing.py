@@ -7,13 +7,14 @@ is solved again so that the expected tokens still meet the budget. Documents dra
 number from a digest of their id, so the sample is the same however the rows are dealt.
 
 Everything is DataFrame and SQL expressions: the cells are one aggregate (partial sums before the
-shuffle). With up to ``max_values`` sources and languages the raking is a fold over the cells' weights
-in one row; with more, the same rounds are one aggregate and join per axis over the table of cells.
-Either way every source and language has its own target and the results are the same.
+shuffle). Where a round of raking takes at most ``max_steps`` steps (cells times values) it is a fold over the
+cells' weights in one row; with more, the same rounds are one aggregate and join per axis over the table of
+cells. Either way every source and language has its own target and the results are the same.
 
 Defined results: null source or language is the category ``(none)``; null text has no tokens and
-topic ``prose``; a document without tokens is kept with its cell's probability; an empty table
-gives an empty table. Rows that repeat an id are all kept or all dropped. Extra columns stay.
+topic ``prose``; a document without tokens is kept with its cell's probability; a source, language or topic
+without any tokens, or whose target is zero, has share and probability 0; an empty table gives an empty
+table. Rows that repeat an id are all kept or all dropped. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ def uniform(doc_id: Column, seed: int) -> Column:
 def _rake(w: str, axis: str) -> str:
     """Weights scaled so that the sums along ``axis`` meet its targets."""
     sums = f"transform({axis}_target, (t, k) -> aggregate(sequence(0, size(cells) - 1), 0D, (a, j) -> a + if({axis}_of[j] = k, {w}[j], 0D)))"
-    return f"transform(array({sums}), s -> transform({w}, (x, j) -> x * {axis}_target[{axis}_of[j]] / s[{axis}_of[j]]))[0]"
+    # a value whose weights are all zero (no tokens, or another axis' target is zero) has no share to scale
+    return f"transform(array({sums}), s -> transform({w}, (x, j) -> if(s[{axis}_of[j]] > 0, x * {axis}_target[{axis}_of[j]] / s[{axis}_of[j]], 0D)))[0]"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -68,7 +70,7 @@ def raked_cells(cells: DataFrame, *, fraction: float, temper: float, targets: Ma
         else:
             raw = F.expr(f"transform({axis}_values, v -> power(aggregate(cells, 0D, (a, c) -> a + if(c.{axis} = v, c.tokens, 0)), {temper}D))")
         one = one.withColumn("raw", raw)
-        one = one.withColumn(f"{axis}_target", F.expr("transform(raw, x -> x / aggregate(raw, 0D, (a, y) -> a + y))")).drop("raw", "given")
+        one = one.withColumn(f"{axis}_target", F.expr("transform(raw, x -> coalesce(try_divide(x, aggregate(raw, 0D, (a, y) -> a + y)), 0D))")).drop("raw", "given")
     one = cut(one)
     step = _let("w1", _rake("w", "source"), _let("w2", _rake("w1", "lang"), _rake("w2", "topic")))
     start = "transform(cells, c -> greatest(c.tokens, 1) / aggregate(cells, 0D, (a, d) -> a + greatest(d.tokens, 1)))"
@@ -98,7 +100,7 @@ def raked_table(cells: DataFrame, *, fraction: float, temper: float, targets: Ma
             raw = raw.join(given, axis, "left").select(axis, F.coalesce("given", F.lit(0.0)).alias("raw"))
         raw = cut(raw)
         whole = raw.agg(F.sum("raw")).first()[0]
-        w = w.join(raw.select(axis, (F.col("raw") / F.lit(whole)).alias(f"{axis}_target")), axis)
+        w = w.join(raw.select(axis, (F.col("raw") / F.lit(whole or 1.0)).alias(f"{axis}_target")), axis)
     w = cut(w)
     for _ in range(ROUNDS):
         for axis in AXES:
@@ -126,13 +128,13 @@ def sample_mixture(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     topic: Column | None = None,
     seed: int = 7,
-    max_values: int = 200,
+    max_steps: int = 20_000,
 ) -> DataFrame:
     """``docs`` and the columns topic, tokens, share, probability, sampled in one struct ``mix``.
 
     targets: per axis the wanted token shares; an axis without any gets shares in proportion to
     its tokens to the power ``temper``. fraction: of all tokens, expected in the sample.
-    max_values: sources or languages up to which one row holds all cells.
+    max_steps: cells times values of the largest axis up to which one row holds all cells.
     """
     mix, s, l, t, n = fresh(docs, "mix", "s", "l", "t", "n")
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
@@ -141,13 +143,13 @@ def sample_mixture(
         n: token_count(F.col("text"))})
     cells = cut(rows.groupBy(F.col(s).alias("source"), F.col(l).alias("lang"), F.col(t).alias("topic")).agg(F.sum(n).alias("tokens")))
 
-    values = cells.agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l")).first()
-    few = max(values["s"], values["l"]) <= max_values
+    values = cells.agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l"), F.count(F.lit(1)).alias("n")).first()
+    few = max(values["s"], values["l"]) * values["n"] <= max_steps
     final = (raked_cells if few else raked_table)(cells, fraction=fraction, temper=temper, targets=targets or {})
     final = final.select(
         F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"), "share", "probability")
     if few:
-        # at most max_values^2 x topics rows
+        # at most max_steps rows
         final = F.broadcast(final)
     out = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), s, l, t, n)
     out = out.join(final, (F.col(s) == F.col("c_source")) & (F.col(l) == F.col("c_lang")) & (F.col(t) == F.col("c_topic")))
