@@ -13,8 +13,9 @@ row (count and best copy), so a group that holds a third of all rows costs one r
 
 Defined results: null text counts as empty; all empty texts are one group. Of equal texts the
 row with the most code points in the original, then the smallest doc_id stays (a null id only if
-there is no other). Rows that repeat id and text: ``find_copies`` has a line for each, and
-``deduplicate`` keeps one. ``find_copies`` ignores extra columns, ``deduplicate`` keeps them.
+there is no other). A row is kept if it has that id and that length, so of two rows of one id the longer
+one is. Rows that repeat id and text: ``find_copies`` has a line for each, all alike, and ``deduplicate`` keeps
+one. ``find_copies`` ignores extra columns, ``deduplicate`` keeps them.
 """
 
 from __future__ import annotations
@@ -86,12 +87,27 @@ def find_copies(docs: DataFrame) -> DataFrame:
     rows = cut(keyed(docs.select("doc_id", "text"), ("n", "sha", "key")).drop("text"))
     groups = best_copies(rows, "n", "key")
     return rows.join(groups, rows["key"] == groups["of"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"),
         F.col("sha").alias("text_sha256"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
+def deduplicate(docs: DataFrame, *, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """``docs`` with one row of each group of equal texts.
+
+    Only recipes are moved where ids are unique: the ids of the rows that go then meet the documents where
+    these lie (up to ``broadcast_ids`` of them; beyond, in a join by id).
+    """
+    found = cut(find_copies(docs).select("doc_id", "kept"))
+    ids = found.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.count_distinct("doc_id").alias("ids"), F.count_if(~F.col("kept")).alias("gone")).first()
+    if ids["n"] == ids["known"] == ids["ids"]:
+        gone, = fresh(docs, "gone")
+        drop = found.where("NOT kept").select(F.col("doc_id").alias(gone))
+        return docs.join(F.broadcast(drop) if ids["gone"] <= broadcast_ids else drop, F.col("doc_id") == F.col(gone), "left_anti")
+    return deduplicate_rows(docs)
+
+
+def deduplicate_rows(docs: DataFrame) -> DataFrame:
+    """As ``deduplicate``, for ids that are null or repeat: rows are told apart by recipe, id and length."""
     n, sha, key = fresh(docs, "n", "sha", "key")
     groups = best_copies(keyed(docs.select("doc_id", "text"), (n, sha, key)), n, key)
     o, kn, ki, gs = fresh(docs.withColumns({c: F.lit(0) for c in (n, sha, key)}), "of", "keep_n", "keep_id", "group_size")
