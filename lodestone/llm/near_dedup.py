@@ -21,8 +21,11 @@ propagation over tables. No bucket, group or component is ever gathered.
 Defined results: two documents are near duplicates if the Jaccard similarity of their shingle
 sets, plain or weighted, is at least ``threshold``. Words are runs of letters, digits and
 underscores, lower-cased. A text of one to four words is one shingle; null, empty and wordless
-texts have none and are groups of their own. Rows that repeat an id are one document for the
-grouping, described by all their texts' first in text order. Extra columns stay.
+texts have none and are groups of their own. A row is a document of its own even if its id repeats: a group's
+id is its smallest doc_id, and the row that stays is the one with that id (of several, the one whose text has the
+smallest 64-bit digest). Rows that repeat id and text are one document: ``near_duplicates`` has a line for each and
+``deduplicate`` keeps one. Rows with a null id are groups of their own and stay. Very long texts are shingled in
+whole. Extra columns stay; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -181,6 +184,12 @@ def similarity(a: bytes, a_tf: bytes, b: bytes, b_tf: bytes) -> float:
     return max(plain, low / max(1e-9, v.sum() + w.sum() - low))
 
 
+def row_nodes(docs: DataFrame) -> Column | None:
+    """What tells rows apart where ids repeat, else None. A digest of id and text, as rows have no other name that outlives a lost task."""
+    n = docs.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    return None if n["rows"] == n["ids"] else F.xxhash64("doc_id", "text")
+
+
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, print, shape, bands, shingles, tf)."""
 
@@ -310,7 +319,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, group_id): group_id is the smallest doc_id of the document's near-duplicate group."""
+    """(doc_id, group_id) of documents with unique ids: group_id is the smallest doc_id of the document's near-duplicate group."""
     rows = cut(described(docs.select("doc_id", "text").where("doc_id IS NOT NULL")))
     reps = cut(rows.where("print IS NOT NULL").groupBy(F.col("print").alias("of")).agg(F.min("doc_id").alias("rep")))
     classes = rows.select("doc_id", "print", "shape", "bands").join(
@@ -328,12 +337,27 @@ def groups(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
         "doc_id", F.coalesce("root", "doc_id").alias("group_id"))
 
 
+def row_groups(docs: DataFrame, node: Column, threshold: float) -> DataFrame:
+    """(node, doc_id, root, group_id, group_size, kept) per row; of rows with repeated ids."""
+    named = docs.where("doc_id IS NOT NULL").select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    one = named.groupBy("node").agg(F.any_value("text").alias("text"))
+    of = cut(groups(one.select(F.col("node").alias("doc_id"), "text"), threshold=threshold).select(F.col("doc_id").alias("of"), F.col("group_id").alias("root")))
+    rows = cut(named.select("node", "doc_id").join(of, F.col("node") == F.col("of")).drop("of"))
+    best = rows.groupBy(F.col("root").alias("g")).agg(F.min(F.struct("doc_id", "node")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(best, F.col("root") == F.col("g")).select(
+        "node", "doc_id", "root", F.col("best.doc_id").alias("group_id"), "group_size", (F.col("node") == F.col("best.node")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """One line per document: doc_id, group_id, group_size, kept; null ids are on their own."""
-    of = cut(groups(docs, threshold=threshold))
-    size = of.groupBy(F.col("group_id").alias("g")).agg(F.count(F.lit(1)).alias("group_size"))
-    out = of.join(size, F.col("group_id") == F.col("g")).select(
-        "doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    node = row_nodes(docs)
+    if node is None:
+        of = cut(groups(docs, threshold=threshold))
+        size = of.groupBy(F.col("group_id").alias("g")).agg(F.count(F.lit(1)).alias("group_size"))
+        out = of.join(size, F.col("group_id") == F.col("g")).select(
+            "doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    else:
+        out = row_groups(docs, node, threshold).select("doc_id", "group_id", "group_size", "kept")
     alone = docs.where("doc_id IS NULL").select(
         F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
@@ -342,5 +366,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 def deduplicate(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group."""
     gone, = fresh(docs, "gone")
-    of = groups(docs, threshold=threshold).where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(of, F.col("doc_id") == F.col(gone), "left_anti")
+    node = row_nodes(docs)
+    if node is None:
+        of = groups(docs, threshold=threshold).where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct()
+        return docs.join(of, F.col("doc_id") == F.col(gone), "left_anti")
+    of = row_groups(docs, node, threshold).where("NOT kept").select(F.col("node").alias(gone)).distinct()
+    rest = docs.join(of, F.col("doc_id").isNotNull() & (node == F.col(gone)), "left_anti").withColumn(gone, F.coalesce(node, F.lit(0)))
+    alone = rest.where("doc_id IS NULL").drop(gone)
+    return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", gone]).drop(gone).unionByName(alone)
