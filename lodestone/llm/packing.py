@@ -13,7 +13,9 @@ character follows, texts are encoded piece by piece with a cache of pieces; a te
 which that isn't exact (spaces next to other white space, special tokens) is encoded whole.
 
 Defined results: null text is empty, and every document ends with id 0, so an empty document has
-one token. Rows that repeat are packed as often as they occur. Extra columns are ignored.
+one token. Every character of a text is encoded, NUL included. A text of any length is cut into as many
+windows as it fills. Neighbours that score alike are taken in the order of (doc_id, tokens), null ids last. Rows
+that repeat are packed as often as they occur. Extra columns are ignored; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +79,8 @@ class Encoder:
         return out
 
     def _pieces(self, text: str) -> bytes:
-        known, parts = self.known, text.replace(" ", "\0 ").split("\0")
+        first, *rest = text.split(" ")
+        known, parts = self.known, [first, *[f" {p}" for p in rest]]
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
@@ -174,13 +178,12 @@ def pack_shard(docs: list[np.ndarray], corpus: Statistics, window: int = WINDOW)
             current = unused_in_order()
 
 
-def encode_rows(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
     for batch in batches:
-        texts = [None if t is None or t != t else t for t in batch["text"].tolist()]
-        ids = batch["doc_id"].astype("Int64")
+        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
         for a, b in slices(texts):
-            yield pd.DataFrame({"doc_id": ids.iloc[a:b].to_numpy(dtype=object), "tokens": encode.encode(texts[a:b])}).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(encode.encode(texts[a:b]), pa.binary())], names=["doc_id", "tokens"])
 
 
 def statistics(encoded: DataFrame) -> Statistics:
@@ -215,15 +218,15 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, shard_chars: int
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shard_count(rows, shard_chars)
-    encoded = stored(rows.mapInPandas(lambda batches: encode_rows(batches, path), TOKENS), "packing-tokens")
+    encoded = stored(rows.mapInArrow(lambda batches: encode_rows(batches, path), TOKENS), "packing-tokens")
     corpus = statistics(encoded)
     dealt = encoded.repartition(shards, F.xxhash64("doc_id", "tokens"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tokens = [], []
         for batch in batches:
-            ids += [None if i is None or i != i else int(i) for i in batch["doc_id"].tolist()]
-            tokens += batch["tokens"].tolist()
+            ids += batch.column("doc_id").to_pylist()
+            tokens += batch.column("tokens").to_pylist()
         if not ids:
             return
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, tokens[i]))
@@ -232,7 +235,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, shard_chars: int
         base, out = TaskContext.get().partitionId() << 32, []
         for d, start, n, sequence, offset in pack_shard(docs, corpus):
             out.append((ids[d], start, n, zlib.crc32(memoryview(tokens[d])[4 * start : 4 * (start + n)]), len(docs[d]), base + sequence, offset))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        yield frame.astype({"doc_id": "Int64"})
+        columns = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return dealt.mapInPandas(run, SCHEMA)
+    return dealt.mapInArrow(run, SCHEMA)
