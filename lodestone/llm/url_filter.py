@@ -7,12 +7,13 @@ and emits, for each end point, the stack that holds until the next one. Pages ar
 these segments by sort order (last segment at or before the page's key), and the page's path
 picks the longest rule of its stack.
 
-Only DataFrame and SQL expressions are used. The rule list is small by contract
-(``max_rules``), so its sweep is one row; pages are dealt by a hash of the whole row's key and
+Only DataFrame and SQL expressions are used. The sweep over a block of up to ``max_rules`` rules is one
+row; a longer list is swept block by block, and a page keeps its longest rule of all blocks. Pages are dealt by a hash of the whole row's key and
 id, never by host, so a hot host cannot land in one task.
 
-Defined results: null url or no ``://``: host and path empty; no fitting rule: rule null and
-verdict ``default``. Repeated rows and extra columns pass through unchanged.
+Defined results: null url or no ``://``: host and path empty; no fitting rule, or no rules at all: rule null
+and verdict ``default``. A rule that is listed with both verdicts blocks. Repeated rows and extra columns pass through
+unchanged, but columns named host, path, rule or verdict are replaced by the results. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -77,8 +78,6 @@ def filter_urls(
     max_rules: int = 10_000,
 ) -> DataFrame:
     """Adds ``host, path, rule, verdict`` to ``pages``; ``rules`` are (verdict, host, path)."""
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; at most {max_rules} fit the single-row sweep")
     spark = pages.sparkSession
     taken = [c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")]
     body = pages.drop(*taken)
@@ -90,21 +89,23 @@ def filter_urls(
         row, url_host(F.col(f"{row}.`{url_col}`")).alias(host), url_path(F.col(f"{row}.`{url_col}`")).alias(path))
     left = left.withColumn(key, host_key(F.col(host))).withColumn(
         salt, F.pmod(F.xxhash64(row), F.lit(width)).cast("int"))
-    verdict_first = spark.createDataFrame(
-        [(h, p, v) for v, h, p in rules], "host string, path string, verdict string")
     rules_type = "array<struct<host:string,path:string,verdict:string>>"
-    # every salt gets all segments: at most 2 * max_rules rows each
-    segs = rule_segments(verdict_first).select(
-        F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias(salt), F.col("key").alias(key), F.col("rules").alias(open_))
-    merged = left.withColumn(open_, F.lit(None).cast(rules_type)).unionByName(segs, allowMissingColumns=True)
-    # segments sort before pages with the same key
-    sweep = Window.partitionBy(salt).orderBy(F.col(key), F.col(row).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    merged = merged.withColumn(open_, F.last(open_, ignorenulls=True).over(sweep)).where(F.col(row).isNotNull())
-    fits = F.filter(F.col(open_), lambda r: F.startswith(F.col(path), r["path"]))
-    longest = F.array_max(F.transform(fits, lambda r: F.struct(
-        (F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("m"),
-        F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict"))))
-    merged = merged.withColumn(found, longest)
+    merged = left.withColumn(found, F.lit(None).cast("struct<n:int,m:int,rule:string,verdict:string>"))
+    listed = sorted(set(rules), key=lambda r: (".".join(reversed(r[1].split("."))), r[2], r[0]))
+    for at in range(0, len(listed), max_rules):
+        block = spark.createDataFrame([(h, p, v) for v, h, p in listed[at : at + max_rules]], "host string, path string, verdict string")
+        # every salt gets all segments: at most 2 * max_rules rows each
+        segs = rule_segments(block).select(
+            F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias(salt), F.col("key").alias(key), F.col("rules").alias(open_))
+        merged = merged.withColumn(open_, F.lit(None).cast(rules_type)).unionByName(segs, allowMissingColumns=True)
+        # segments sort before pages with the same key
+        sweep = Window.partitionBy(salt).orderBy(F.col(key), F.col(row).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        merged = merged.withColumn(open_, F.last(open_, ignorenulls=True).over(sweep)).where(F.col(row).isNotNull())
+        fits = F.filter(F.col(open_), lambda r: F.startswith(F.col(path), r["path"]))
+        longest = F.array_max(F.transform(fits, lambda r: F.struct(
+            (F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("m"),
+            F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict"))))
+        merged = merged.withColumn(found, F.greatest(found, longest)).drop(open_)
     return merged.select(
         *[F.col(f"{row}.`{c}`").alias(c) for c in body.columns],
         F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{found}.rule").alias("rule"),
