@@ -9,14 +9,20 @@ that are larger with significance are given up; those that live through all bloc
 exact distance, and the best k of each task are scored again on the original vectors in double
 precision.
 
-The rotation, the centres (``lists`` <= ``max_lists``) and the sample have documented bounds.
-Queries are many (a share of the table), so nothing about them is broadcast: (query, list) rows
-and vectors meet in tasks keyed by list and salt, lists being split by ``max_task_rows`` so that
-a hot list, for instance of copies, spreads over tasks. Queries are streamed in blocks through a
-task that holds at most about ``max_task_rows`` vectors. Each task returns k rows per query and
-the final k come from an aggregate.
+There are about sqrt(n) lists (the centres, at most ``max_lists``, and the sample they are fitted on have
+documented bounds). How many of them a query probes follows from the data: ``probes_for`` searches a bounded
+sample of queries by brute force over all vectors and takes the smallest number of lists that holds ``recall_target``
+of their true neighbours. Clustered vectors need few lists, however many there are; vectors without
+any structure need most of them, since no list then tells more than another.
 
-Recall depends on ``probes``; ``recall`` measures it against brute force on a sample of queries.
+Queries are many (a share of the table), so nothing about them is broadcast. Vectors and queries are packed
+by list into chunks of at most CHUNK rows and meet chunk by chunk: a vector is moved once, and a query once per
+probed list (and salt: lists are split by ``max_task_rows`` so that a hot list, for instance of copies, spreads over
+tasks). A task holds one chunk of each side. Each pair of chunks returns k rows per query and the final k come
+from an aggregate.
+
+Equal distances differ by rounding once vectors are rotated, so a scan keeps everything within a
+rounding margin of its k-th best and only the exact distances, with ties by id, cut it to k.
 
 Defined results: vectors that are null, of another length than ``dim``, zero, or that hold null or
 non-finite components take no part. Rows that repeat an id count once, the smallest vector first.
@@ -37,7 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BLOCK, EPSILON = 16, 2.1
+BLOCK, EPSILON, CHUNK = 16, 2.1, 4096
+#: Rounding of squared distances, relative to the squared lengths of both vectors.
+ROUNDING = 1e-12
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -71,10 +79,11 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
-def scan(q: np.ndarray, columns: list[np.ndarray], bound: float, k: int, own: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, columns: list[np.ndarray], bound: float, k: int, own: np.ndarray, epsilon: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """(positions, squared distances) of the candidates that no test abandoned.
 
-    columns: the rotated vectors in blocks of columns. bound: squared k-th best distance so far.
+    columns: the rotated vectors in blocks of columns. bound: squared k-th best distance so far. slack: a squared distance
+    that is zero but for rounding.
     """
     dim = len(q)
     alive = np.flatnonzero(~own)
@@ -87,28 +96,28 @@ def scan(q: np.ndarray, columns: list[np.ndarray], bound: float, k: int, own: np
         seen += width
         if seen < dim and math.isfinite(bound) and len(alive) > k:
             limit = bound * (seen / dim) * (1 + epsilon / math.sqrt(seen)) ** 2
-            stay = part <= limit
+            stay = part <= max(limit, slack)
             alive, part = alive[stay], part[stay]
     return alive, part
 
 
 def scan_list(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, epsilon: float = EPSILON, stripe: int = 512):
-    """Yields (query id, positions) of each query's k nearest in a list; ``vectors`` are rotated, ``ids`` ascend."""
+    """Yields (query id, positions) of each query's k nearest in a list and what ties with the last of them; ``vectors`` are rotated."""
     dim = vectors.shape[1]
     stripes = [
         (a, [np.ascontiguousarray(vectors[a : a + stripe, b : b + BLOCK]) for b in range(0, dim, BLOCK)])
         for a in range(0, len(vectors), stripe)]
+    longest = float((vectors * vectors).sum(1).max()) if len(vectors) else 0.0
     for q, qid in zip(queries, query_ids, strict=True):
         best_p, best_d = np.zeros(0, np.int64), np.zeros(0)
-        bound = math.inf
+        bound, slack = math.inf, ROUNDING * (float(q @ q) + longest)
         for a, columns in stripes:
-            p, d = scan(q, columns, bound, k, ids[a : a + stripe] == qid, epsilon)
+            p, d = scan(q, columns, bound, k, ids[a : a + stripe] == qid, epsilon, slack)
             best_p, best_d = np.concatenate([best_p, p + a]), np.concatenate([best_d, d])
-            if len(best_d) > k:
-                order = np.lexsort((ids[best_p], best_d))[:k]
-                best_p, best_d = best_p[order], best_d[order]
-            if len(best_d) == k:
-                bound = float(best_d.max()) + 1e-12
+            if len(best_d) >= k:
+                bound = float(np.partition(best_d, k - 1)[k - 1]) + slack
+                stay = best_d <= bound
+                best_p, best_d = best_p[stay], best_d[stay]
         yield qid, best_p
 
 
@@ -116,6 +125,38 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 
+def nearest_exact(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, distances), each (queries, k): brute force, ties by id; -1 where there are fewer."""
+    d = np.sqrt(((queries[:, None, :] - vectors[None, :, :]) ** 2).sum(2))
+    d[query_ids[:, None] == ids[None, :]] = np.inf
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+    d = np.take_along_axis(d, order, 1)
+    return np.where(np.isfinite(d), order, -1), d
+
+
+def probes_for(indexed: DataFrame, queries: list, centres: np.ndarray, turn: np.ndarray, dim: int, k: int, target: float) -> int:
+    """The number of nearest lists that hold a share of ``target`` of the true neighbours of ``queries`` (vec_id, v).
+
+    Brute force over all vectors for this bounded sample: a task keeps k rows per query and batch.
+    """
+    ask, asked = np.array([r["v"] for r in queries]), np.array([r["vec_id"] for r in queries])
+    position = np.argsort(nearest_lists(ask @ turn, centres, len(centres)), axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for at in range(0, len(x), 1024):
+                part = x.iloc[at : at + 1024]
+                p, d = nearest_exact(ask, asked, _matrix(part["v"], dim), part["vec_id"].to_numpy(), k)
+                q, c = np.nonzero(p >= 0)
+                lists = part["list"].to_numpy()[p[q, c]]
+                yield pd.DataFrame({"query": q, "score": d[q, c], "vec_id": part["vec_id"].to_numpy()[p[q, c]], "place": position[q, lists]})
+
+    found = indexed.select("vec_id", "v", "list").mapInPandas(run, "query long, score double, vec_id long, place long")
+    best = found.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id", "place"))), 1, k).alias("best")).collect()
+    places = np.sort([f["place"] for r in best for f in r["best"]])
+    return 1 if not len(places) else int(places[min(len(places) - 1, math.ceil(target * len(places)) - 1)]) + 1
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -124,10 +165,9 @@ def search(
     dim: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    probe_share: float = 0.6,
-    min_probes: int = 8,
-    max_lists: int = 256,
-    rows_per_list: int = 2000,
+    recall_target: float = 0.96,
+    sample_queries: int = 64,
+    max_lists: int = 16_384,
     sample_rows: int = 20_000,
     max_task_rows: int = 200_000,
 ) -> DataFrame:
@@ -146,18 +186,23 @@ def search(
     n = good.count()
     if not n:
         return empty
-    # the sample for the centres: the rows with the smallest digests of their ids, at most sample_rows
+    # samples: the rows with the smallest digests of their ids, at most sample_rows and sample_queries
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
     turn = rotation(dim)
-    lists = max(1, min(max_lists, n // rows_per_list))
+    lists = max(1, min(max_lists, round(math.sqrt(n)), len(sample) // 4))
     centres = kmeans(np.array([r["v"] for r in sample]) @ turn, lists)
-    probes = min(len(centres), max(min_probes, math.ceil(probe_share * len(centres))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
                 x["list"] = nearest_lists(_matrix(x["v"], dim) @ turn, centres, 1)[:, 0].astype("int32")
-                yield x[["vec_id", "v", "list"]]
+                yield x[["vec_id", "v", "list", "q"]]
+
+    indexed = cut(good.mapInPandas(assign, "vec_id long, v array<double>, list int, q boolean"))
+    asking = indexed.where("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_queries).select("vec_id", "v").collect()
+    if not asking:
+        return empty
+    probes = probes_for(indexed, asking, centres, turn, dim, k, recall_target)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -165,16 +210,15 @@ def search(
                 x["lists"] = list(nearest_lists(_matrix(x["v"], dim) @ turn, centres, probes).astype("int32"))
                 yield x[["vec_id", "v", "lists"]]
 
-    indexed = cut(good.select("vec_id", "v").mapInPandas(assign, "vec_id long, v array<double>, list int"))
-    wanted = cut(good.where("q").select("vec_id", "v").mapInPandas(route, "vec_id long, v array<double>, lists array<int>"))
-    rows_per_task = min(max_task_rows, max(500, n // 64))
+    wanted = cut(indexed.where("q").select("vec_id", "v").mapInPandas(route, "vec_id long, v array<double>, lists array<int>"))
     sizes = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # at most max_lists rows
-    splits = F.broadcast(sizes.select("list", F.ceil(F.col("n") / rows_per_task).cast("int").alias("splits")))
+    splits = F.broadcast(cut(sizes.select("list", F.ceil(F.col("n") / max_task_rows).cast("int").alias("splits"))))
     dealt = indexed.join(splits, "list").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int"))
+    data = chunks(dealt, dim)
 
     def probe(queries: DataFrame) -> DataFrame:
         asked = queries.join(splits, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-        return _probed(dealt, asked, turn, dim, k)
+        return _probed(data, chunks(asked, dim), turn, dim, k)
 
     first = probe(wanted.select("vec_id", "v", F.explode("lists").alias("list")))
     best = cut(_top(first, k))
@@ -188,26 +232,50 @@ def search(
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
 
 
-def _probed(dealt: DataFrame, asked: DataFrame, turn: np.ndarray, dim: int, k: int, block: int = 2048) -> DataFrame:
-    """Each task's best k per query. A cogroup streams neither side, so queries come in blocks of ``block``."""
-    count = asked.groupBy("list", "salt").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    asked = asked.join(count, ["list", "salt"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "list"), F.col("blocks")).cast("int"))
-    data = dealt.join(count, ["list", "salt"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            left = left.sort_values("vec_id")
-            ids, exact = left["vec_id"].to_numpy(), _matrix(left["v"], dim)
-            asked_exact = _matrix(right["v"], dim)
-            at = {int(i): j for j, i in enumerate(right["vec_id"])}
-            for qid, p in scan_list(asked_exact @ turn, right["vec_id"].to_numpy(), exact @ turn, ids, k):
-                d = exact[p] - asked_exact[at[int(qid)]]
-                out += zip([int(qid)] * len(p), ids[p].tolist(), np.sqrt((d * d).sum(1)).tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return data.select("list", "salt", "part", "vec_id", "v").groupBy("list", "salt", "part").cogroup(
-        asked.select("list", "salt", "part", "vec_id", "v").groupBy("list", "salt", "part")).applyInPandas(run, FOUND)
+def chunks(rows: DataFrame, dim: int) -> DataFrame:
+    """(list, salt, ids, vectors): the rows (list, salt, vec_id, v) of each list and salt, at most CHUNK in a row, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if held:
+                x = pd.concat(held)
+                held.clear()
+                for (of, salt), part in x.groupby(["list", "salt"], sort=False):
+                    for at in range(0, len(part), CHUNK):
+                        p = part.iloc[at : at + CHUNK]
+                        yield pd.DataFrame({"list": [of], "salt": [salt], "ids": [p["vec_id"].to_numpy("<i8").tobytes()], "vectors": [_matrix(p["v"], dim).tobytes()]})
+
+        for x in batches:
+            held.append(x)
+            if sum(map(len, held)) >= 8 * CHUNK:
+                yield from flush()
+        yield from flush()
+
+    dealt = rows.select("list", "salt", "vec_id", "v").repartition("list", "salt").sortWithinPartitions("list", "salt")
+    return dealt.mapInPandas(run, "list int, salt int, ids binary, vectors binary")
+
+
+def _probed(data: DataFrame, asked: DataFrame, turn: np.ndarray, dim: int, k: int) -> DataFrame:
+    """Each pair of chunks' best k per query."""
+    ask = asked.select("list", "salt", F.col("ids").alias("asked"), F.col("vectors").alias("queries"))
+    pairs = data.join(ask, ["list", "salt"]).select("ids", "vectors", "asked", "queries")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for data_ids, vectors, asked_ids, queries in zip(x["ids"], x["vectors"], x["asked"], x["queries"], strict=True):
+                ids, exact = np.frombuffer(data_ids, "<i8"), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+                qids, q = np.frombuffer(asked_ids, "<i8"), np.frombuffer(queries, np.float64).reshape(-1, dim)
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for at, (qid, p) in enumerate(scan_list(q @ turn, qids, exact @ turn, ids, k)):
+                    d = exact[p] - q[at]
+                    d = np.sqrt((d * d).sum(1))
+                    order = np.lexsort((ids[p], d))[:k]
+                    out.append((np.full(len(order), qid), ids[p][order], d[order]))
+                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
+
+    return pairs.mapInPandas(run, FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
