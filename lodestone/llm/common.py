@@ -19,11 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder that was set in the context.
+
+    Where both are unset, a local master (one machine, as in tests) gets a temporary folder; on a cluster that is an error,
+    since no other machine could read what is written there.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if configured is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestone-"))
         known = sc.getCheckpointDir()
     return configured or known

@@ -127,7 +127,7 @@ def test_mixture_rakes_every_source(spark, monkeypatch):
     read = lambda out: {r["doc_id"]: r["mix"] for r in out.collect()}
     wanted = {"source": {f"s{i}": i + 1.0 for i in range(12)}}
     for targets in (None, wanted):
-        one, many = (read(mixing.sample_mixture(df, targets=targets, max_values=m)) for m in (200, 3))
+        one, many = (read(mixing.sample_mixture(df, targets=targets, max_steps=m)) for m in (20_000, 3))
         assert len(many) == 240
         for i in one:
             assert math.isclose(one[i]["share"], many[i]["share"], rel_tol=1e-9) and math.isclose(one[i]["probability"], many[i]["probability"], rel_tol=1e-9)
@@ -209,7 +209,7 @@ def test_packing_statistics_cover_all_shards(spark):
     path = packing.default_tokenizer()
     tokens = [set(np.frombuffer(t, "<u4").tolist()) for t in packing.encoder(path).encode(texts)]
     lengths = [len(t) // 4 for t in packing.encoder(path).encode(texts)]
-    got = packing.statistics(df.select("doc_id", "text").mapInPandas(lambda b: packing.encode_rows(b, path), packing.TOKENS))
+    got = packing.statistics(df.select("doc_id", "text").mapInArrow(lambda b: packing.encode_rows(b, path), packing.TOKENS))
     assert got.docs == 42 and math.isclose(got.mean, sum(lengths) / 42)
     assert {i: int(n) for i, n in enumerate(got.df) if n} == {i: sum(i in t for t in tokens) for i in set().union(*tokens)}
     # 7 is rarer than 8 in the shard, but common in the corpus
