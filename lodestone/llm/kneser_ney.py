@@ -1,51 +1,68 @@
 """Interpolated modified Kneser-Ney bigram models by sharded count joins.
 
 A model is a table. Its counts cover all training text, are added up in each batch before the
-shuffle, and never reach the driver; only counts of counts and totals (one row) do. Back-off is
-kept in the additive form: the log-likelihood of a text is the sum of one weight per token (its
-back-off probability plus its weight as a context) and one per bigram the model has seen (what it
+shuffle, and never reach the driver; only counts of counts and totals do. A bigram's probability
+is its discounted share of its context plus the context's back-off weight times the word's
+probability, which is the discounted share of its continuation count plus, for unknown words, a uniform part.
+In logarithms that is additive: the log-likelihood of a text is the sum of one weight per token (the word's
+probability plus its back-off weight as a context) and one per bigram that the model has seen (what it
 gains over backing off). Scoring is one join of n-gram hashes against that table and one sum by document.
 
-Feature rows carry, for one n-gram of one batch of documents, the list of documents and counts, so a
-word that every document holds is one row per batch rather than one per document. The lists of
-a row are bounded by the batch (``slices``).
+Counting and scoring go through the n-grams in ``parts`` slices of the hash space; a slice's shuffle
+files go before the next is cut, so the disk holds a slice at a time, at any size of the corpus. N-grams that
+leave the documents are those of the model that a fixed-size bitmap lets through (without loss; a full one
+lets everything through), and the HOT most frequent ones are scored where the documents lie, so that no
+common word or expression makes a hot key.
 
-Several classes may be trained together. Each class interpolates its bigrams with its own
-unigrams (of continuation counts for one class, of plain counts to compare several), these with the unigrams of all classes, and those
-with a uniform distribution; ``prior`` blends the common counts into both orders of each class, so
-that expressions rare in all classes lean on shared counts (class scores are then relative: blended
-probabilities need not add up to one).
+``independent``: each class is a model of its own, and every document names the one that judges it. ``contrast``: two
+classes share their back-off: a word's class probability leans on the common one, a bigram's on the common
+discounted share times the word's ratio, by ``prior`` and ``pair_prior`` occurrences; back-off weights are common. The
+weights are then differences of logarithms, and word probabilities are normalised.
 
 Words are runs of letters, digits and underscores, lower-cased; a text is closed by a boundary that
-is also the first context, so an empty or null text is the boundary alone. Words are known by 64-bit hashes.
+is also the first context, so an empty or null text is the boundary alone. Words are known by 64-bit hashes, n-grams by 61-bit ones.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import process_cache, remove, slices, stored
 
 WORD = re.compile(r"\w+")
-BOUNDARY, LENGTH = 1, 0
-TURN = 21
+BOUNDARY, TURN, MARKS = 1, 21, 7
+HOT, BITS, CACHED = 200_000, 28, 600_000
+
+
+class Hashes(dict):
+    """Word to hash, computed when a word is first met."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(document, word hash), each document closed by the boundary."""
-    words = [[*WORD.findall(t.lower()), "\n"] if t else ["\n"] for t in texts]
-    n = [len(w) for w in words]
-    codes, uniques = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-    h = pd.util.hash_array(np.asarray(uniques, dtype=object), categorize=False).astype(np.uint64)
-    h[uniques == "\n"] = BOUNDARY
-    return np.repeat(np.arange(len(texts)), n), h[codes]
+    known = process_cache().setdefault("word hashes", Hashes({"\n": BOUNDARY}))
+    if len(known) > CACHED:
+        known.clear()
+        known["\n"] = BOUNDARY
+    words, n = [], []
+    for t in texts:
+        found = WORD.findall(t.lower()) if t else []
+        words += found
+        words.append("\n")
+        n.append(len(found) + 1)
+    return np.repeat(np.arange(len(texts)), n), np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def contexts(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -62,12 +79,21 @@ def pair_key(v: Column, w: Column) -> Column:
     return F.shiftleft(v, TURN).bitwiseOR(F.shiftrightunsigned(v, 64 - TURN)).bitwiseXOR(w)
 
 
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column("text").to_pylist()
+def marked(key, of):
+    """An n-gram's key in the model ``of`` (a small number)."""
+    if isinstance(key, Column):
+        return key.bitwiseAND(F.lit(~MARKS)).bitwiseOR(F.lit(of))
+    return (key & np.uint64(~np.uint64(MARKS))) | of.astype(np.uint64)
+
 
+def in_part(key, part: int, parts: int):
+    if isinstance(key, Column):
+        return F.shiftrightunsigned(key, 3) % parts == part
+    return (key >> np.uint64(3)) % np.uint64(parts) == np.uint64(part)
 
-def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
-    """(v, w, c0, c1, ...): bigrams and how often each class has them."""
+
+def bigram_counts(docs: DataFrame, classes: Sequence[Column], part: int, parts: int) -> DataFrame:
+    """(v, w, c0, c1, ...): the bigrams whose context is in ``part``, and how often each class has them."""
     k = len(classes)
     names = [f"c{i}" for i in range(k)]
     schema = "v long, w long, " + ", ".join(f"{c} long" for c in names)
@@ -75,13 +101,14 @@ def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch)
+            texts = batch.column("text").to_pylist()
             member = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1).astype(np.int64)
             for a, b in slices(texts):
                 doc, w = tokens(texts[a:b])
                 v = contexts(doc, w)
-                key = pair_hash(v, w)
-                _, first, of = np.unique(key, return_index=True, return_inverse=True)
+                here = in_part(v, part, parts)
+                doc, v, w = doc[here], v[here], w[here]
+                _, first, of = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
                 count = [np.bincount(of, weights=member[a:b, i][doc], minlength=len(first)).astype(np.int64) for i in range(k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.view(np.int64)) for x in (v[first], w[first])] + [pa.array(c) for c in count], names=["v", "w", *names])
@@ -90,39 +117,6 @@ def bigram_counts(docs: DataFrame, classes: Sequence[Column]) -> DataFrame:
     return found.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def features(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, docs, counts): the n-grams of every document, gathered per batch; with ``wanted`` (ascending) those alone."""
-    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
-    schema = "key long, docs array<long>, counts array<int>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = _texts(batch), batch.column("doc_id")
-            for a, b in slices(texts):
-                doc, w = tokens(texts[a:b])
-                length = np.bincount(doc, minlength=b - a)
-                key = np.concatenate([w, pair_hash(contexts(doc, w), w)])
-                both = np.concatenate([doc, doc])
-                if shared is not None:
-                    known = shared.value
-                    used = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                    key, both = key[used], both[used]
-                order = np.lexsort((both, key))
-                key, both = key[order], both[order]
-                start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (both[1:] != both[:-1])])[: len(key)])
-                count = np.diff(np.concatenate([start, [len(key)]]))
-                key, both = np.concatenate([np.full(b - a, LENGTH, np.uint64), key[start]]), np.concatenate([np.arange(b - a), both[start]])
-                count = np.concatenate([length, count])
-                lists = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                offsets = pa.array(np.concatenate([lists, [len(key)]]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[lists].view(np.int64)),
-                     pa.ListArray.from_arrays(offsets, ids.take(pa.array(both + a))),
-                     pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))], names=["key", "docs", "counts"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
 def discounts(n: Sequence[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and above from n1..n4."""
     n1, n2, n3, n4 = (max(float(x or 0), 0.5) for x in n)
@@ -131,99 +125,190 @@ def discounts(n: Sequence[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), 0.95 * (i + 1)) for i, d in enumerate(raw))
 
 
-def _tally(c: str, prefix: str) -> list[Column]:
-    return [F.count_if(F.col(c) == j).alias(f"{prefix}_n{j}") for j in (1, 2, 3, 4)] + [F.sum(c).alias(f"{prefix}_total"), F.count_if(F.col(c) >= 3).alias(f"{prefix}_n3up")]
+class Level(NamedTuple):
+    """Counts of counts of one order and class: discounts, total, the share that goes to the lower order, and kinds."""
+
+    d: tuple[float, float, float]
+    total: float
+    mass: float
+    kinds: int
+
+
+def tallies(c: str, p: str) -> list[Column]:
+    return [F.count_if(F.col(c) == j).alias(f"{p}_n{j}") for j in (1, 2, 3, 4)] + [
+        F.sum(c).alias(f"{p}_total"), F.count_if(F.col(c) >= 3).alias(f"{p}_up"), F.count_if(F.col(c) > 0).alias(f"{p}_kinds")]
 
 
-def _cut_by(c: Column, d: tuple[float, float, float]) -> Column:
+def level(row, p: str) -> Level:
+    d, total = discounts([row[f"{p}_n{j}"] for j in (1, 2, 3, 4)]), float(row[f"{p}_total"] or 0)
+    mass = (d[0] * row[f"{p}_n1"] + d[1] * row[f"{p}_n2"] + d[2] * row[f"{p}_up"]) / total if total else 1.0
+    return Level(d, total, mass, row[f"{p}_kinds"])
+
+
+def cut_by(c: Column, d: tuple[float, float, float]) -> Column:
     """The count less its discount."""
     return F.when(c <= 0, 0.0).when(c == 1, 1 - d[0]).when(c == 2, 2 - d[1]).otherwise(c - F.lit(d[2]))
 
 
-def _mass(n1: Column, n2: Column, n3up: Column, total: Column, d: tuple[float, float, float]) -> Column:
-    return (n1 * F.lit(d[0]) + n2 * F.lit(d[1]) + n3up * F.lit(d[2])) / total
+class Model(NamedTuple):
+    """(key, weight, hot) rows in ``parts`` tables, the weight of any token in each model, and the slices."""
+
+    tables: list[DataFrame]
+    base: list[float]
 
 
-def train(docs: DataFrame, classes: Sequence[Column], signs: Sequence[float], *, prior: float = 0.0, margin: float = 0.0, broadcast_words: int = 300_000) -> DataFrame | None:
-    """(key, weight): the signed sum of the classes' log-likelihood weights; None without text in each class.
+def hot_count(histograms: Sequence[DataFrame], most: int) -> int:
+    """The least count that fewer than ``most`` n-grams reach; histograms are (n, rows), one row per distinct count."""
+    rows = sorted(((r["n"], r["rows"]) for h in histograms for r in h.collect()), reverse=True)
+    total = 0
+    for n, many in rows:
+        total += many
+        if total > most:
+            return n + 1
+    return 1
 
-    prior: an n-gram of n occurrences in all classes takes n / (n + prior) of its weight from the
-    class's own counts and the rest from the common ones; back-off weights are then common too.
-    margin: every weight moves so far towards zero (those within it leave the model), so that what
-    classes differ in by topic or language alone, a little in every token, does not add up.
-    broadcast_words: a vocabulary of at most so many words is sent to the bigrams; a larger one is joined by shuffle.
-    """
+
+def train(docs: DataFrame, classes: Sequence[Column], *, contrast: bool = False, prior: float = 20.0, pair_prior: float = 1000.0, parts: int = 4, hot: int = HOT) -> Model | None:
+    """The models of ``classes`` (each its own), or with ``contrast`` the first class's log-likelihood less the second's; None without text in each."""
     k = range(len(classes))
-    # only these columns are kept and moved; what follows from them is derived after the joins
-    # in the order of v, equal contexts lie together in the table and in the shuffles that read it
-    stem = stored(bigram_counts(docs, classes).sortWithinPartitions("v"), "bigrams")
-    bi = stem.withColumn("call", sum(F.col(f"c{i}") for i in k))
-    names = [*[str(i) for i in k], "all"]
-    # continuation counts favour the larger of two classes, so several classes are compared by plain ones
-    size = (lambda c: F.sum(c)) if prior else (lambda c: F.count_if(F.col(c) > 0))
-    uni = stored(bi.groupBy("w").agg(*[size(f"c{i}").alias(f"u{i}") for i in names]), "unigrams")
-    b = bi.agg(*[x for i in names for x in _tally(f"c{i}", f"b{i}")]).first()
-    u = uni.agg(F.count(F.lit(1)).alias("words"), *[x for i in names for x in _tally(f"u{i}", f"u{i}")]).first()
+    names = [*map(str, k), *(["all"] if contrast else [])]
+    # in the order of v, equal contexts lie together in the tables and in the shuffles that read them
+    stems = [stored(bigram_counts(docs, classes, p, parts).sortWithinPartitions("v", "w"), "bigrams") for p in range(parts)]
+    whole = lambda df: df.withColumn("call", sum(F.col(f"c{i}") for i in k))
+    bi = stems[0]
+    for s in stems[1:]:
+        bi = bi.unionByName(s)
+    bi = whole(bi)
+    uni = stored(bi.groupBy("w").agg(*[F.count_if(F.col(f"c{i}") > 0).alias(f"u{i}") for i in names]), "unigrams")
+    b = bi.agg(*[x for i in names for x in tallies(f"c{i}", f"b{i}")]).first()
+    u = uni.agg(F.count(F.lit(1)).alias("words"), *[x for i in names for x in tallies(f"u{i}", f"u{i}")]).first()
     if any(not b[f"b{i}_total"] for i in names):
         return None
+    db, du = ({i: level(row, f"{x}{i}") for i in names} for x, row in (("b", b), ("u", u)))
+    context = stored(bi.groupBy("v").agg(F.sum("call").alias("n"), *[x for i in names for x in (
+        F.sum(f"c{i}").alias(f"t{i}"), *[F.count_if(F.col(f"c{i}") == j).alias(f"x{i}_{j}") for j in (1, 2)], F.count_if(F.col(f"c{i}") >= 3).alias(f"x{i}_3"))]), "contexts")
+    histogram = lambda df, n: df.groupBy(F.col(n).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    least = hot_count([histogram(bi, "call"), histogram(context, "n")], hot)
+
+    def backoff(i: str) -> Column:
+        """The share of a context that goes to the lower order; everything, where the class hasn't seen it."""
+        kept = sum(F.lit(db[i].d[j - 1]) * F.col(f"x{i}_{j}") for j in (1, 2, 3))
+        return F.when(F.col(f"t{i}") > 0, kept / F.col(f"t{i}")).otherwise(1.0)
+
+    def word(i: str, below: Column | float) -> Column:
+        return cut_by(F.col(f"u{i}"), du[i].d) / F.lit(du[i].total) + F.lit(du[i].mass) * below
+
+    uniform = {i: 1.0 / (du[i].kinds + 1) for i in names}
+    if contrast:
+        common = word("all", F.lit(uniform["all"]))
+        lean = lambda own, shared, n, p: (own * n + shared * F.lit(p)) / (n + F.lit(p))
+        low = uni.select("w", common.alias("pall"), *[lean(word(str(i), common), common, F.col("uall"), prior).alias(f"p{i}") for i in k])
+        unseen = du["all"].mass * uniform["all"]
+        # word probabilities add up to one, the unknown word's included
+        z = low.agg(*[(F.sum(f"p{i}") + F.lit(unseen)).alias(f"z{i}") for i in k]).first()
+        low = low.select("w", "pall", *[(F.col(f"p{i}") / F.lit(z[f"z{i}"])).alias(f"p{i}") for i in k])
+        base = [float(np.log(z["z1"] / z["z0"]))]
+    else:
+        low = uni.select("w", *[word(str(i), F.lit(uniform[str(i)])).alias(f"p{i}") for i in k])
+        base = [float(np.log(du[str(i)].mass * uniform[str(i)])) for i in k]
+    context = context.select("v", "n", *[f"t{i}" for i in names], *[backoff(i).alias(f"l{i}") for i in (["all"] if contrast else names)])
+    context, low = stored(context, "context-weights"), stored(low, "words")
+
+    def rows(key: Column, weights: list[Column], n: Column) -> list[Column]:
+        each = [F.struct(marked(key, i).alias("key"), w.cast("float").alias("weight")) for i, w in enumerate(weights)]
+        return [F.explode(F.array(*each)).alias("r"), (n >= least).alias("hot")]
+
+    both = low.join(context, F.col("v") == F.col("w"), "full")
+    lone = lambda c, x: F.coalesce(F.col(c), F.lit(x))
+    if contrast:
+        word_weights = [F.log(lone("p0", 1.0)) - F.log(lone("p1", 1.0)) - F.lit(base[0])]
+    else:
+        word_weights = [F.log(lone(f"p{i}", float(np.exp(base[i])))) - F.lit(base[i]) + F.log(lone(f"l{i}", 1.0)) for i in k]
+    words = stored(both.select(*rows(F.coalesce("w", "v"), word_weights, lone("n", 0))).where("r.weight <> 0").select("r.*", "hot"), "word-weights")
+    tables = []
+    for p, stem in enumerate(stems):
+        met = whole(stem.join(context, "v").join(low, "w"))
+        if contrast:
+            shared = cut_by(F.col("call"), db["all"].d) / F.col("tall")
+
+            def gain(i: int, shared=shared) -> Column:
+                own = F.when(F.col(f"t{i}") > 0, cut_by(F.col(f"c{i}"), db[str(i)].d) / F.col(f"t{i}")).otherwise(0.0)
+                n = F.col("call")
+                seen = (own * n + shared * F.col(f"p{i}") / F.col("pall") * F.lit(pair_prior)) / (n + F.lit(pair_prior))
+                return F.log1p(seen / (F.col("lall") * F.col(f"p{i}")))
+
+            weights = [gain(0) - gain(1)]
+        else:
+            weights = [F.log1p(F.coalesce(F.try_divide(cut_by(F.col(f"c{i}"), db[str(i)].d), F.col(f"t{i}") * F.col(f"l{i}") * F.col(f"p{i}")), F.lit(0.0))) for i in k]
+        part = met.select(*rows(pair_key(F.col("v"), F.col("w")), weights, F.col("call"))).where("r.weight <> 0").select("r.*", "hot")
+        tables.append(stored(part, f"weights-{p}"))
+        remove(stem)
+    return Model([words, *tables], base)
+
+
+def bitmap(model: DataFrame) -> np.ndarray:
+    """One bit for each value of the keys' low BITS bits: whether the model has a key with them. Its size is fixed."""
+    place = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
+    found = model.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    for r in found:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["b"] - 1) * 4096
+        out[at : at + len(part)] = part
+    return out
+
+
+def features(docs: DataFrame, base: Sequence[float], hot: tuple[np.ndarray, np.ndarray], known: np.ndarray, part: int, parts: int) -> DataFrame:
+    """(key, doc, total, words): a row for each n-gram that may be in the model's ``part``; in the first part also one per document, under a
+    key of its own, with its tokens and what they weigh without further n-grams. ``docs`` are (doc_id, text, which)."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.asarray(base), *hot, known))
+    schema = "key long, doc long, total double, words long"
 
-    def level(row, p: str) -> tuple[tuple, float, float]:
-        d, total = discounts([row[f"{p}_n{j}"] for j in (1, 2, 3, 4)]), float(row[f"{p}_total"])
-        return d, total, (d[0] * row[f"{p}_n1"] + d[1] * row[f"{p}_n2"] + d[2] * row[f"{p}_n3up"]) / total
-
-    def blend(own: Column, common: Column, n: str) -> Column:
-        return (own * F.col(n) + common * F.lit(prior)) / (F.col(n) + F.lit(prior))
-
-    ds, total_s, mass_s = level(u, "uall")
-    uniform = mass_s / (u["words"] + 1)
-    p_all = _cut_by(F.col("uall"), ds) / F.lit(total_s) + F.lit(uniform)
-    low, unknown = [], 0.0
-    for i in k:
-        d, total, mass = level(u, f"u{i}")
-        low.append(blend(_cut_by(F.col(f"u{i}"), d) / F.lit(total) + F.lit(mass) * p_all, p_all, "uall").alias(f"p{i}"))
-        unknown += signs[i] * float(np.log((1.0 if prior else mass) * uniform))
-    low = uni.select("w", *low, p_all.alias("pall"))
-    db = {i: level(b, f"b{i}")[0] for i in names}
-    context = bi.groupBy("v").agg(*[x for i in names for x in (
-        F.sum(f"c{i}").alias(f"t{i}"), F.count_if(F.col(f"c{i}") == 1).alias(f"x{i}"), F.count_if(F.col(f"c{i}") == 2).alias(f"y{i}"), F.count_if(F.col(f"c{i}") >= 3).alias(f"z{i}"))])
-    mass = {i: _mass(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), F.col(f"t{i}"), db[i]) for i in names}
-    # a single class has its own back-off weights, several share the common ones
-    context = stored(context.select("v", *[f"t{i}" for i in names], *[
-        (mass["all"] if prior else F.when(F.col(f"t{i}") > 0, mass[str(i)]).otherwise(1.0)).alias(f"l{i}") for i in k]), "contexts")
-    word = low.join(context, F.col("v") == F.col("w")).select(
-        F.col("w").alias("key"), (sum(F.lit(signs[i]) * (F.log(f"p{i}") + F.log(f"l{i}")) for i in k) - F.lit(unknown)).alias("weight"))
-
-    def seen(i: int) -> Column:
-        # the common part keeps the ratio that the class's unigram has to the common one
-        common = _cut_by(F.col("call"), db["all"]) / F.col("tall") * F.col(f"p{i}") / F.col("pall")
-        own = F.when(F.col(f"t{i}") > 0, _cut_by(F.col(f"c{i}"), db[str(i)]) / F.col(f"t{i}")).otherwise(0.0)
-        return blend(own, common, "call")
-
-    gain = sum(F.lit(signs[i]) * F.log1p(seen(i) / (F.col(f"l{i}") * F.col(f"p{i}"))) for i in k)
-    sent = F.broadcast if u["words"] <= broadcast_words else (lambda df: df)
-    met = stem.join(sent(context), "v")
-    if u["words"] > broadcast_words:
-        # between the two shuffles, so that one set of shuffle files is gone before the next is written
-        met = stored(met, "bigrams-in-context")
-    both = met.join(sent(low), "w").withColumn("call", sum(F.col(f"c{i}") for i in k))
-    pair = both.select(pair_key(F.col("v"), F.col("w")).alias("key"), gain.alias("weight"))
-    length = docs.sparkSession.createDataFrame([(LENGTH, unknown)], "key long, weight double")
-    grams = word.unionByName(pair)
-    if margin:
-        grams = grams.where(F.abs("weight") > margin).withColumn("weight", F.col("weight") - F.signum("weight") * margin)
-    return stored(grams.unionByName(length), "model")
-
-
-def score(docs: DataFrame, model: DataFrame, *, filter_keys: int = 1_000_000) -> DataFrame:
-    """(doc, total, words) per distinct doc_id: summed weights and tokens, the boundary included.
-
-    The keys of a model of at most ``filter_keys`` rows go to the tasks, which then leave out n-grams
-    without a weight; beyond that all n-grams meet the model in the join.
-    """
-    wanted = None
-    if model.count() <= filter_keys:
-        wanted = np.sort(np.array([r["key"] for r in model.select("key").collect()], dtype=np.int64).view(np.uint64))
-    hits = features(docs, wanted).join(model, "key").select(
-        F.explode(F.arrays_zip("docs", "counts")).alias("z"), "weight", (F.col("key") == LENGTH).alias("is_length"))
-    return hits.groupBy(F.col("z.docs").alias("doc")).agg(
-        F.sum(F.col("z.counts") * F.col("weight")).alias("total"), F.sum(F.when(F.col("is_length"), F.col("z.counts")).otherwise(0)).alias("words"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, hot_keys, hot_weights, known = shared.value
+        for batch in batches:
+            texts, ids, which = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("which").to_numpy(zero_copy_only=False)
+            for a, b in slices(texts):
+                doc, w = tokens(texts[a:b])
+                both = np.concatenate([doc, doc])
+                key = marked(np.concatenate([w, pair_hash(contexts(doc, w), w)]), which[a:b][both])
+                at = np.searchsorted(hot_keys, key)
+                at[at == len(hot_keys)] = 0
+                local = hot_keys[at] == key if len(hot_keys) else np.zeros(len(key), bool)
+                if part == 0:
+                    n = np.bincount(doc, minlength=b - a)
+                    total = n * base[which[a:b]] + (np.bincount(both[local], weights=hot_weights[at[local]], minlength=b - a) if len(hot_keys) else 0)
+                    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                    own = w[first] ^ (np.arange(1, b - a + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), ids.slice(a, b - a), pa.array(total), pa.array(n)], names=["key", "doc", "total", "words"])
+                low = key & np.uint64((1 << BITS) - 1)
+                go = ~local & in_part(key, part, parts)
+                go[go] = (known[(low[go] >> np.uint64(3)).astype(np.int64)] >> (low[go] & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                key, both = key[go], both[go]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), ids.take(pa.array(both + a)), pa.nulls(len(key), pa.float64()), pa.nulls(len(key), pa.int64())], names=["key", "doc", "total", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("which").cast("long").alias("which")).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, which: Column | None = None, *, parts: int = 3) -> DataFrame:
+    """(doc, total, words) per distinct doc_id: summed weights and tokens, the boundary included. which: the number of the model that judges a document."""
+    whole = model.tables[0]
+    for t in model.tables[1:]:
+        whole = whole.unionByName(t)
+    top = sorted((int(r["key"]) % (1 << 64), r["weight"]) for r in whole.where("hot").select("key", "weight").collect())
+    hot = np.array([t[0] for t in top], dtype=np.uint64), np.array([t[1] for t in top])
+    rest = whole.where("NOT hot").select("key", "weight")
+    known = bitmap(rest)
+    asked = docs.select("doc_id", "text", (F.lit(0) if which is None else which).alias("which"))
+    sums = []
+    for part in range(parts):
+        met = features(asked, model.base, hot, known, part, parts).join(rest.where(in_part(F.col("key"), part, parts)), "key", "left")
+        sums.append(stored(met.groupBy("doc").agg(F.sum(F.coalesce("total", "weight", F.lit(0.0))).alias("total"), F.sum("words").alias("words")), "scores"))
+    out = sums[0]
+    for s in sums[1:]:
+        out = out.unionByName(s)
+    out = stored(out.groupBy("doc").agg(F.sum("total").alias("total"), F.sum("words").alias("words")), "scores-total")
+    for t in [*model.tables, *sums]:
+        remove(t)
+    return out

@@ -1,13 +1,15 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text, by language.
 
-A document passes if its perplexity per token is at most the ``quantile`` of its language's held-out
-documents. Trusted are the rows of ``trusted``; every fifth of them (by a checksum of its id) is held
-out: kept from the counts, it shows what trusted text that the model has not seen looks like. A
-language without held-out rows takes the quantile of all its documents.
+Trusted are the rows of ``trusted``. Documents fall in two halves by a checksum of their id; each half's trusted
+text is a model of its own and judges the other half, so no document is judged by counts that it is part of. A
+document passes if its perplexity per token is at most the ``quantile`` of its language's trusted
+documents; a language without any takes the quantile of all its documents.
 
 Defined results: a null or wordless text has no perplexity and fails; null language is a group of its
-own; without trusted text nobody has a perplexity and every text with words passes. Rows that repeat
-an id share the perplexity of their texts together. Extra columns are ignored.
+own, a null id is in the first half; without trusted text nobody has a perplexity and every text with words passes;
+where only one half has trusted text, its model judges all. A perplexity at the threshold passes. Rows that repeat
+an id share the perplexity of their texts together. Texts of any length count in whole. Extra columns are ignored; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +20,24 @@ from pyspark.sql import functions as F
 from . import kneser_ney
 from .common import cut, id_crc_mod
 
-FOLDS = 5
-
 
 def classify(docs: DataFrame, trusted: Column, *, quantile: float = 0.95, accuracy: int = 10_000) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) per row of ``docs`` (doc_id, text, lang)."""
     has_words = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
-    # counted where the id is null, and where nothing else would be left to count
-    held_out = F.coalesce(trusted & has_words & (id_crc_mod(F.col("doc_id"), FOLDS) == 0), F.lit(False))
-    model = kneser_ney.train(docs, [trusted & has_words & ~held_out], [1.0])
+    good = F.coalesce(trusted & has_words, F.lit(False))
+    half = F.coalesce(id_crc_mod(F.col("doc_id"), 2), F.lit(0)).cast("long")
+    model, judge = kneser_ney.train(docs, [good & (half == 0), good & (half == 1)]), 1 - half
     if model is None:
-        held_out = F.lit(False)
-        model = kneser_ney.train(docs, [trusted & has_words], [1.0])
+        model, judge = kneser_ney.train(docs, [good]), F.lit(0)
     if model is None:
         return docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), has_words.alias("kept"))
-    scored = kneser_ney.score(docs, model)
-    rows = docs.select("doc_id", "lang", has_words.alias("has_words"), held_out.alias("held_out"))
+    scored = kneser_ney.score(docs, model, judge)
+    rows = docs.select("doc_id", "lang", has_words.alias("has_words"), good.alias("good"))
     rows = rows.join(scored, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select(
-        "doc_id", "lang", F.when(F.col("has_words"), F.round(F.exp(-F.col("total") / F.col("words")), 6)).alias("perplexity"), "held_out")
+        "doc_id", "lang", F.when(F.col("has_words"), F.round(F.exp(-F.col("total") / F.col("words")), 6)).alias("perplexity"), "good")
     rows = cut(rows)
     limit = lambda x: F.percentile_approx(x, quantile, accuracy)
     limits = rows.groupBy(F.col("lang").alias("of")).agg(
-        F.coalesce(limit(F.when(F.col("held_out"), F.col("perplexity"))), limit(F.col("perplexity"))).alias("threshold"))
-    return rows.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").select(
+        F.coalesce(limit(F.when(F.col("good"), F.col("perplexity"))), limit(F.col("perplexity"))).alias("threshold"))
+    return rows.join(F.broadcast(limits) if limits.count() <= 100_000 else limits, F.col("lang").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

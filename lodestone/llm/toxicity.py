@@ -1,13 +1,14 @@
 """Toxicity: length-normalised log-likelihoods under class-conditional Kneser-Ney models.
 
-Toxic and ordinary text are modelled together (shared back-off counts); a document's evidence is
-the difference of its two log-likelihoods per token, on a square-root scale. A logistic curve, fitted on labelled rows that
+Toxic and ordinary text are modelled together (see ``kneser_ney``, contrast): rare words and bigrams lean on the common
+back-off counts. A document's evidence is the difference of its two log-likelihoods, less what a middling labelled document has per
+token, over its length and PAD neutral tokens more, so that a few words can't weigh like a whole text. A logistic curve, fitted on labelled rows that
 the counts have not seen, turns evidence into a probability; it is fitted on a histogram of
 evidence (BIN wide, bounded to +-LIMIT), so the driver sees a bounded number of rows.
 
 Defined results: a null or empty text is the boundary alone and gets that evidence's probability;
-without both classes among the labelled rows every score is 0. Rows that repeat an id share one score; extra
-columns are ignored.
+without both classes among the labelled rows every score is 0. Documents with equal evidence have equal scores; rows that
+repeat an id share one score. Texts of any length count in whole. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import kneser_ney
 from .common import cut
 
-BIN, LIMIT = 0.0002, 4.0
+BIN, LIMIT, PAD = 0.0005, 10.0, 30
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
@@ -36,14 +37,16 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-6) -
     return float(w[0] / scale), float(w[1])
 
 
-def score(docs: DataFrame, counted: Column, calibrating: Column, toxic: Column, *, prior: float = 20.0, margin: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, counted: Column, calibrating: Column, toxic: Column, *, prior: float = 20.0, pair_prior: float = 1000.0) -> DataFrame:
     """(doc_id, score) per row of ``docs``; ``counted`` rows give the counts, ``calibrating`` ones the curve."""
-    model = kneser_ney.train(docs, [counted & (toxic == 1), counted & (toxic == 0)], [1.0, -1.0], prior=prior, margin=margin)
+    model = kneser_ney.train(docs, [counted & (toxic == 1), counted & (toxic == 0)], contrast=True, prior=prior, pair_prior=pair_prior)
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    scored = kneser_ney.score(docs, model).select("doc", (F.signum("total") * F.sqrt(F.abs("total") / F.col("words"))).alias("evidence"))
+    scored = kneser_ney.score(docs, model)
     rows = docs.select("doc_id", F.when(calibrating, toxic).alias("label"))
-    rows = cut(rows.join(scored, F.col("doc_id").eqNullSafe(F.col("doc")), "left"))
+    rows = cut(rows.join(scored, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select("doc_id", "label", "total", "words"))
+    middle = rows.where("label IS NOT NULL").agg(F.percentile_approx(F.col("total") / F.col("words"), 0.5, 100_000)).first()[0] or 0.0
+    rows = rows.select("doc_id", "label", ((F.col("total") - F.lit(middle) * F.col("words")) / (F.col("words") + PAD)).alias("evidence"))
     seen = rows.where("label IS NOT NULL AND evidence IS NOT NULL").groupBy(
         F.round(F.greatest(F.least(F.col("evidence"), F.lit(LIMIT)), F.lit(-LIMIT)) / BIN).cast("long").alias("bin"), "label").count().collect()
     if len({r["label"] for r in seen}) < 2:

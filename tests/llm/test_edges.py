@@ -134,6 +134,23 @@ def test_packing_against_the_tokenizer(spark):
     assert pieces_match(packing.pack(df).collect(), texts) <= 1
 
 
+def test_packing_shards(spark):
+    """Small shards: every piece is right, copies of a group meet in few shards, a bin of copies beyond a shard's size is spread."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(30):
+        base = [f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdfgklmnprst')}{rng.randrange(99)}" for _ in range(60)]
+        texts += [(10 * g + j, " ".join(base)) for j in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in texts], DOCS).repartition(7)
+    rows = packing.pack(df, shard_tokens=3000).collect()
+    assert 5 < len({r["sequence_id"] >> 32 for r in rows}) >= pieces_match(rows, texts)
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["doc_id"] // 10, set()).add(r["sequence_id"] >> 32)
+    assert np.mean([len(s) for s in shards.values()]) < 2
+    assert packing.shards_of_bins([(0, 5), (1, 4), (2, 25), (3, 2), (4, 9)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 5, 1)]
+
+
 def test_packing_repeats_and_null_ids(spark):
     df = spark.createDataFrame([(None, "one two", "en", "s"), (1, "three", "en", "s"), (1, "three", "en", "s"), (9007199254740993, "z", "en", "s")], DOCS)
     got = packing.pack(df).collect()

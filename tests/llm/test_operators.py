@@ -9,7 +9,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, kneser_ney, language_id, mixing, near_dedup, packing, quality, toxicity, url_filter, vectors, warc
+from lodestone.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, toxicity, url_filter, vectors, warc
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -137,19 +137,6 @@ def test_mixture_rakes_every_source(spark, monkeypatch):
     assert all(math.isclose(share[f"s{i}"], (i + 1) / 78, abs_tol=0.01) for i in range(12))
 
 
-def test_kneser_ney_weights(spark):
-    df = spark.createDataFrame([(1, "a b a b c", "en", "s"), (2, "b c d", "en", "s"), (3, "a c c", "en", "s")], DOCS)
-    model = kneser_ney.train(df, [F.lit(True)], [1.0])
-    w = {r["key"]: r["weight"] for r in model.collect()}
-    signed = lambda h: int(np.int64(np.uint64(h).view(np.int64)))
-    _, toks = kneser_ney.tokens(["a b c d"])
-    unknown, context = w[kneser_ney.LENGTH], toks[0]
-    scores = {r["doc"]: r for r in kneser_ney.score(df, model).collect()}
-    assert scores[1]["words"] == 6 and scores[2]["words"] == 4
-    assert all(r["total"] < 0 for r in scores.values()) and unknown < 0
-    assert signed(context) in w
-
-
 def test_quality(spark):
     good = [(i, "the cat sat on the mat and the dog sat too", "en", "s") for i in range(20)]
     df = spark.createDataFrame([*good, (20, "zq xv kk jj ww", "en", "s"), (21, None, None, "s"), (22, "!!", "en", "s")], DOCS)
