@@ -1,22 +1,115 @@
-"""BIO annotations: spans to tags and back."""
+"""BIO annotations: spans to tags and back, entity words, statistics. Everything is one expression per record, without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from ..functions import arrays as A
 
-def encode(tokens: DataFrame, key: str, pos: str, kind: str) -> DataFrame:
-    """Tags a token B- where its kind (null: none) starts, I- where it goes on, else O."""
-    before = F.lag(kind).over(Window.partitionBy(key).orderBy(pos))
-    k = F.col(kind)
-    tag = F.when(k.isNull(), "O").when(k.eqNullSafe(before), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k))
-    return tokens.withColumn("tag", tag)
+SPAN = "struct<start:int,end:int,type:string>"
 
 
-def decode(tags: DataFrame, key: str, pos: str, tag: str = "tag") -> DataFrame:
-    """(key, start, length, kind) of every run B-, I-, I-..."""
-    w = Window.partitionBy(key).orderBy(pos)
-    runs = tags.withColumn("_run", F.sum(F.when(F.col(tag).startswith("B-"), 1).otherwise(0)).over(w)).where(F.col(tag) != "O")
-    return runs.groupBy(key, "_run").agg(
-        F.min(pos).alias("start"), F.count(F.lit(1)).alias("length"), F.min(F.substring(tag, 3, 100)).alias("kind")).drop("_run")
+def valid_spans(spans: Column, length: Column) -> Column:
+    """Spans with 0 <= start < end <= length."""
+    return F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= length))
+
+
+def encode_spans(text: Column, spans: Column) -> Column:
+    """One tag per character from an array of (start, end, type): a later span overwrites what it covers, a span
+    without a type is an ``ENTITY``, spans that don't fit the text are ignored."""
+    size = F.char_length(text)
+    fit = valid_spans(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")), size)
+    kind = lambda s: F.coalesce(F.nullif(s["type"], F.lit("")), F.lit("ENTITY"))
+
+    def tag(i: Column) -> Column:
+        last = F.element_at(F.filter(fit, lambda s: (s["start"] <= i) & (i < s["end"])), -1)
+        return F.concat(F.when(last["start"] == i, "B-").otherwise("I-"), kind(last))
+
+    covered = lambda i: F.exists(fit, lambda s: (s["start"] <= i) & (i < s["end"]))
+    tags = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(covered(i), tag(i)).otherwise("O"))
+    return F.when(size > 0, tags).otherwise(A.no_strings())
+
+
+def encode_kinds(kinds: Column) -> Column:
+    """Tags from an array of kinds (null: none): B- where a kind starts, I- where it goes on."""
+    before = lambda i: F.get(kinds, i - 1)
+    return F.transform(kinds, lambda k, i: F.when(k.isNull(), "O").when(
+        (i > 0) & k.eqNullSafe(before(i)), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k)))
+
+
+def decode(tags: Column, min_length: int = 2) -> Column:
+    """Array of (start, length, type) of the entities of an array of tags.
+
+    B- opens an entity, I- of the same type goes on with it, anything else closes it; a stray I- is no entity.
+    Shorter entities than ``min_length`` are dropped.
+    """
+    # tags with their positions in one line: a run is then one match
+    line = F.array_join(F.transform(tags, lambda t, i: F.concat(i.cast("string"), F.lit(":"), F.coalesce(t, F.lit("O")))), " ")
+    runs = F.regexp_extract_all(line, F.lit(r"(?<!\S)\d+:B-(\S+)(?: \d+:I-\1(?!\S))*+"), F.lit(0))
+    entity = F.transform(runs, lambda r: F.struct(
+        F.regexp_extract(r, r"^(\d+):", 1).cast("int").alias("start"), F.size(F.split(r, " ")).alias("length"),
+        F.regexp_extract(r, r"^\d+:B-(\S+)", 1).alias("type")))
+    return F.filter(entity, lambda e: e["length"] >= min_length)
+
+
+def entity_words(text: Column, tags: Column, min_length: int = 2) -> Column:
+    """The distinct texts of the decoded entities, in order of their first occurrence."""
+    return F.array_distinct(F.transform(decode(tags, min_length), lambda e: F.substring(text, e["start"] + 1, e["length"])))
+
+
+def statistics(examples: DataFrame, tags: str = "labels") -> DataFrame:
+    """One row: samples, entities (B- tags), distinct types over all tags, entities per sample."""
+    t = F.col(tags)
+    kinds = F.array_distinct(F.transform(F.filter(t, lambda x: x.rlike("^[BI]-.")), lambda x: F.substring(x, 3, 1_000)))
+    rows = examples.select(F.size(F.filter(t, lambda x: x.startswith("B-"))).alias("n"), kinds.alias("kinds"))
+    types = rows.select(F.explode("kinds").alias("k")).agg(F.count_distinct("k").alias("entity_types"))
+    one = rows.agg(F.count(F.lit(1)).alias("samples"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("per_sample"))
+    return one.join(F.broadcast(types))
+
+
+def type_counts(examples: DataFrame, tags: str = "labels", k: int = 10) -> DataFrame:
+    """(type, mentions) of the k most frequent types by B- tags; ties by name."""
+    kinds = examples.select(F.explode(tags).alias("t")).where("t LIKE 'B-_%'").groupBy(F.substring("t", 3, 1_000).alias("type"))
+    return kinds.agg(F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "type").limit(k)
+
+
+def usable_validation(examples: DataFrame, tags: str = "labels") -> DataFrame:
+    """``examples`` if any tag of any row is not O, else none of them."""
+    some = examples.agg(F.max(F.exists(tags, lambda x: x != "O")).alias("some")).where("some")
+    return examples.join(F.broadcast(some.select(F.lit(1).alias("one"))), how="left_semi")
+
+
+def align_tokens(text: str, tokens: list[str], back: int = 20, ahead: int = 50, near: int = 10) -> list[tuple[int, int] | None]:
+    """Where each token (``##`` marks a continuation) lies in ``text``: greedy, from ``back`` before the last end to ``ahead``
+    behind it, taking the occurrence next to the last end if it is nearer than ``near``, else the first; None if there is none."""
+    out: list[tuple[int, int] | None] = []
+    at = 0
+    for token in tokens:
+        piece = token.removeprefix("##")
+        low, high = max(0, at - back), min(len(text), at + ahead + len(piece))
+        found, start = [], text.find(piece, low, high) if piece else -1
+        while start >= 0:
+            found.append(start)
+            start = text.find(piece, start + 1, high)
+        if not found:
+            out.append(None)
+            continue
+        best = min(found, key=lambda p: abs(p - at))
+        best = best if abs(best - at) < near else found[0]
+        out.append((best, best + len(piece)))
+        at = best + len(piece)
+    return out
+
+
+def token_tags(tokens: Column, text: Column, tags: Column) -> Column:
+    """The tag of each token's first character, found by ``align_tokens``; O for a token that isn't found."""
+    return _token_tags(tokens, text, tags)
+
+
+@F.udf(ArrayType(StringType()), useArrow=True)
+def _token_tags(tokens, text, tags):
+    if tokens is None or text is None or tags is None:
+        return None
+    return [tags[p[0]] if p and p[0] < len(tags) else "O" for p in align_tokens(text, list(tokens))]

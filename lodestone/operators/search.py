@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
+from .lineage import cut
+
+Analyzer = Callable[[Column], Column]
+K1, B = 1.2, 0.75
+#: Rounding of matrix products: scores closer than this are ties, decided by id.
+DIGITS = 12
 
 
 def top_k(hits: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
@@ -17,47 +24,171 @@ def top_k(hits: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf, length)."""
-    rows = docs.select(F.col(id_col).alias("id"), T.tokens(text).alias("t")).where(F.size("t") > 0)
+def first_per(hits: DataFrame, by: str, key: str, rank: str = "rank") -> DataFrame:
+    """The best-ranked hit of each key per query, ranked again."""
+    best = hits.groupBy(by, key).agg(F.min_by(F.struct(*[c for c in hits.columns if c not in (by, key)]), rank).alias("r")).select(by, key, "r.*")
+    return best.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(rank)))
+
+
+def postings(docs: DataFrame, id_col: str, text: Column, analyzer: Analyzer = T.standard_tokens) -> DataFrame:
+    """(id, term, length, tf)."""
+    rows = docs.select(F.col(id_col).alias("id"), analyzer(text).alias("t")).where(F.size("t") > 0)
     return rows.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "term", "length").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query: Column, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of all matching documents. Only terms that a query holds are ever counted by document."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.tokens(query))).alias("term"))
-    stats = docs.select(F.size(T.tokens(text)).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+def bm25(
+    docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query: Column, *,
+    k1: float = K1, b: float = B, analyzer: Analyzer = T.standard_tokens, search_analyzer: Analyzer | None = None, broadcast_terms: int = 500_000,
+) -> DataFrame:
+    """(query_id, id, score) of all matching documents of one field: an OR of the query's distinct terms.
+
+    Only terms that a query holds leave the documents: up to ``broadcast_terms`` of them go to the documents,
+    and (document, term, count) rows are aggregated before they are moved. Analyzers of both sides are parameters.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct((search_analyzer or analyzer)(query))).alias("term"))
     terms = asked.select("term").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), T.tokens(text).alias("t")).where(F.size("t") > 0)
-    post = rows.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
-    post = post.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    few = terms.count() <= broadcast_terms
+    sent = F.broadcast if few else (lambda x: x)
+    rows = docs.select(F.col(id_col).alias("id"), analyzer(text).alias("t")).where(F.size("t") > 0)
+    # one row
+    stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean"))
+    post = rows.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).join(sent(terms), "term", "left_semi")
+    post = post.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # stats is one row
     weight = df.join(F.broadcast(stats)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
     part = F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return post.join(weight, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def knn(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Exact cosine top-k: (query_id, id, score, rank). ``queries`` (query_id, query) is a stated set of bounded size."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries)).where("id <> query_id")
-    hits = pairs.select("query_id", "id", F.round(V.dot(F.col("query"), F.col("v")), 6).alias("score"))
-    return top_k(hits, "query_id", "score", "id", k)
-
-
-def fused_knn(queries: DataFrame, vectors: DataFrame, *, id_col: str, fields: Mapping[str, Column], query_fields: Mapping[str, Column], k: int) -> DataFrame:
-    """Top-k by the best of several fields, in one pass over the vectors."""
-    pairs = vectors.select(F.col(id_col).alias("id"), *[c.alias(f"d_{n}") for n, c in fields.items()]).join(
-        F.broadcast(queries.select("query_id", *[c.alias(f"q_{n}") for n, c in query_fields.items()]))).where("id <> query_id")
-    best = F.greatest(*[F.round(V.dot(F.col(f"q_{n}"), F.col(f"d_{n}")), 6) for n in fields])
-    return top_k(pairs.select("query_id", "id", best.alias("score")), "query_id", "score", "id", k)
-
-
-def hybrid(lexical: DataFrame, vector: DataFrame, *, lexical_weight: float = 0.5) -> DataFrame:
-    """Weighted sum of two (query_id, id, score) lists; a missing score counts as zero."""
+    return post.join(sent(weight), "term").join(sent(asked) if few else asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+
+
+def search_fields(
+    docs: DataFrame, id_col: str, fields: Mapping[str, tuple[Column, float]], queries: DataFrame, query_id: str, query: Column, *,
+    how: str = "best", analyzers: Mapping[str, Analyzer] | None = None,
+) -> DataFrame:
+    """(query_id, id, score, field) over several fields, each a (text, boost).
+
+    how: ``best`` takes the best field's score, the first field at ties; ``sum`` adds the scores of all fields, as a boolean
+    OR of clauses does. ``field`` is the field with the highest score.
+    """
+    parts = [
+        bm25(docs, id_col, text, queries, query_id, query, analyzer=(analyzers or {}).get(name, T.standard_tokens)).select(
+            "query_id", "id", (F.col("score") * boost).alias("score"), F.lit(i).alias("place"), F.lit(name).alias("field"))
+        for i, (name, (text, boost)) in enumerate(fields.items())]
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    best = F.max_by("field", F.struct("score", -F.col("place"))).alias("field")
+    return hits.groupBy("query_id", "id").agg((F.max if how == "best" else F.sum)("score").alias("score"), best)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
+    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+
+def _stack(column: pd.Series, dim: int) -> np.ndarray:
+    """(rows, dim) of unit vectors; a row of NaN for a null, a wrong length or a zero vector."""
+    return _unit(np.array([v if v is not None and len(v) == dim else [np.nan] * dim for v in column], dtype=np.float64).reshape(-1, dim))
+
+
+def fused_knn(
+    queries: DataFrame, vectors: DataFrame, *, id_col: str, fields: Mapping[str, Column], query_fields: Mapping[str, Column], k: int,
+    exclude_self: bool = True, block: int = 2048,
+) -> DataFrame:
+    """Exact top-k by the best cosine over several fields: (query_id, id, score, field, rank), in one pass over the vectors per query block.
+
+    ``queries`` (query_id and what ``query_fields`` needs) are searched in blocks of ``block`` rows: a block goes to all tasks, a
+    task multiplies it with its vectors and keeps k rows per query. The first field wins ties; score ties go to the
+    smaller id. Null and zero vectors never match. Ids are whole numbers.
+    """
+    spark, names = vectors.sparkSession, list(fields)
+    asked = queries.select("query_id", *[query_fields[n].cast("array<double>").alias(n) for n in names])
+    total = asked.count()
+    parts = max(1, -(-total // block))
+    data = vectors.select(F.col(id_col).cast("long").alias("id"), *[c.cast("array<double>").alias(n) for n, c in fields.items()])
+    out = spark.createDataFrame([], "query_id long, id long, score double, place int")
+    found = None
+    for part in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").collect()
+        if not rows:
+            continue
+        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        dims = {n: max((len(r[n]) for r in rows if r[n] is not None), default=1) for n in names}
+        ask = {n: _stack(pd.Series([r[n] for r in rows]), dims[n]) for n in names}
+        shared = spark.sparkContext.broadcast((ids, ask, dims))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, ask, dims = shared.value
+            held = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0), "place": np.zeros(0, np.int32)})
+            for x in batches:
+                for at in range(0, len(x), 4096):
+                    p = x.iloc[at : at + 4096]
+                    of = p["id"].to_numpy(np.int64)
+                    each = np.stack([np.nan_to_num(ask[n] @ _stack(p[n], dims[n]).T, nan=-np.inf) for n in names])
+                    each = np.round(each, DIGITS)
+                    place, score = each.argmax(0), each.max(0)
+                    if exclude_self:
+                        score[ids[:, None] == of[None, :]] = -np.inf
+                    keep = min(k, score.shape[1])
+                    # ties with the k-th best stay for the sort by id
+                    kth = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+                    q, c = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+                    more = pd.DataFrame({"query_id": ids[q], "id": of[c], "score": score[q, c], "place": place[q, c].astype(np.int32)})
+                    held = pd.concat([held, more]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+            yield held
+
+        hits = data.mapInPandas(run, out.schema)
+        found = hits if found is None else found.unionByName(hits)
+    best = top_k(out if found is None else found, "query_id", "score", "id", k)
+    field = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1)
+    return best.select("query_id", "id", "score", field.alias("field"), "rank")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, exclude_self: bool = True) -> DataFrame:
+    """Exact cosine top-k of (query_id, query): (query_id, id, score, rank)."""
+    return fused_knn(
+        queries, vectors, id_col=id_col, fields={"vector": F.col(vector_col)}, query_fields={"vector": F.col("query")}, k=k,
+        exclude_self=exclude_self).drop("field")
+
+
+def hybrid(lexical: DataFrame, vector: DataFrame, *, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): scores of both (query_id, id, score) lists added, a missing one counting as zero; the k best."""
     a = lexical.select("query_id", "id", F.col("score").alias("s1"))
     b = vector.select("query_id", "id", F.col("score").alias("s2"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return a.join(b, ["query_id", "id"], "full").select(
-        "query_id", "id", F.round(lexical_weight * zero("s1") + (1 - lexical_weight) * zero("s2"), 7).alias("score"))
+    both = a.join(b, ["query_id", "id"], "full").select("query_id", "id", (zero("s1") + zero("s2")).alias("score"))
+    return top_k(both, "query_id", "score", "id", k)
+
+
+def retrieve(
+    mode: str, *, vector: Callable[[int], DataFrame], text: Callable[[int], DataFrame], narrow_text: Callable[[int], DataFrame],
+    rerank: Callable[[DataFrame], DataFrame], gold: DataFrame | None = None, gate: float | None = None, k: int = 30,
+) -> DataFrame:
+    """(query_id, id, rank) by one of the retrieval modes.
+
+    vector, text, narrow_text: k to (query_id, id, score, rank) by vectors, by all text fields, and without page content.
+    rerank: ranked hits to ranked hits.
+    ``vector_only``, ``es_text_only``, ``llm_only``, ``vector_with_llm_always`` are what their names say. ``oracle_gated`` re-ranks the ten
+    vector hits of a query if they hold its gold id (``gold``: query_id, id), else the text hits; it reads the answer, so it is no
+    honest measure. ``score_gated`` decides by the best vector score reaching ``gate`` instead.
+    """
+    if mode == "vector_only":
+        return vector(k).select("query_id", "id", "rank")
+    if mode == "es_text_only":
+        return text(k).select("query_id", "id", "rank")
+    if mode == "llm_only":
+        return rerank(narrow_text(k))
+    if mode == "vector_with_llm_always":
+        return rerank(vector(k))
+    near = cut(vector(10))
+    if mode == "oracle_gated":
+        sure = near.join(gold.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id").distinct()
+    elif mode == "score_gated":
+        sure = near.groupBy("query_id").agg(F.max("score").alias("s")).where(F.col("s") >= gate).select("query_id")
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    rest = narrow_text(k).join(sure, "query_id", "left_anti")
+    return rerank(near.join(sure, "query_id", "left_semi")).unionByName(rerank(rest))
+
+
+MODES: Sequence[str] = ("vector_only", "es_text_only", "llm_only", "vector_with_llm_always", "oracle_gated", "score_gated")

@@ -1,299 +1,346 @@
-"""The engine's queries over the driver's tables, each with its SQL."""
+"""Retrieval and evaluation queries over the driver's tables, each with its SQL. Importing this module registers the whole catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import annotation, evaluate, records, search
+from ..operators import evaluate, models, search
+from . import catalog_entities, catalog_ner, catalog_records, catalog_text  # noqa: F401
 from .registry import query
+from .tables import STANDARD, TOKENS, read
 
+#: Searches ask with every row whose id is divisible by this.
+EVERY = 50
+COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12)"
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def knn_sql(k: int, every: int = EVERY) -> str:
+    return f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % {every} = 0)) WHERE rank <= {k}"""
 
-COS = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
-TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-KNN_SQL = f"""SELECT query_id, id, score, rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 20) WHERE rank <= 10"""
 
+def asked(emb: DataFrame, every: int = EVERY) -> DataFrame:
+    return emb.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
-def _queries20(emb: DataFrame) -> DataFrame:
-    """Twenty stated query vectors."""
-    return emb.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
-
-def _knn(spark: SparkSession, d: str) -> DataFrame:
+def _knn(spark: SparkSession, d: str, k: int = 10, every: int = EVERY) -> DataFrame:
     emb = read(spark, d, "embeddings")
-    return search.knn(_queries20(emb), emb, id_col="vec_id", vector_col="embedding", k=10).select("query_id", "id", "score", "rank")
+    return search.knn(asked(emb, every), emb, id_col="vec_id", vector_col="embedding", k=k)
+
 
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
-@query(KNN_SQL)
+
+@query(knn_sql(10))
 def knn_topk(spark, d):
-    return _knn(spark, d)
+    return _rounded(_knn(spark, d))
 
 
-RANKS_SQL = f"""(SELECT q.vec_id AS query_id, min(CASE WHEN e.label = q.label THEN k.rank END) AS rank
-  FROM embeddings q JOIN ({KNN_SQL}) k ON k.query_id = q.vec_id JOIN embeddings e ON e.vec_id = k.id GROUP BY q.vec_id)"""
-METRICS_SQL = """count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1,
-  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_10"""
+@query(knn_sql(5, 10))
+def knn_join_batch(spark, d):
+    """A kNN join: a tenth of the vectors against all, in query blocks."""
+    emb = read(spark, d, "embeddings")
+    hits = search.fused_knn(
+        asked(emb, 10), emb, id_col="vec_id", fields={"vector": F.col("embedding")}, query_fields={"vector": F.col("query")}, k=5, block=64)
+    return _rounded(hits)
 
 
-def _ranks(spark, d):
-    label = read(spark, d, "embeddings").select("vec_id", "label")
-    hits = _knn(spark, d).join(label.select(F.col("vec_id").alias("id"), F.col("label").alias("found")), "id")
-    hits = hits.join(label.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
-    return hits.groupBy("query_id").agg(F.min(F.when(F.col("found") == F.col("label"), F.col("rank"))).alias("rank"))
+def ranks_sql(knn: str) -> str:
+    return f"""(SELECT q.vec_id AS query_id, min(CASE WHEN e.label = q.label THEN k.rank END) AS rank
+  FROM embeddings q JOIN ({knn}) k ON k.query_id = q.vec_id JOIN embeddings e ON e.vec_id = k.id GROUP BY q.vec_id)"""
 
 
-@query(f"SELECT {METRICS_SQL} FROM {RANKS_SQL}")
-def mrr_hit_at_k(spark, d):
-    return evaluate.ranking_metrics(_ranks(spark, d))
+HIT = "round(avg(CASE WHEN rank <= {0} THEN 1.0 ELSE 0 END), 6) AS hit_{0}"
+METRICS_SQL = "count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, " + ", ".join(HIT.format(k) for k in (1, 5, 10))
 
 
-@query(f"SELECT query_id, round(avg(coalesce(1.0 / rank, 0)) OVER (ORDER BY query_id), 6) AS running_mrr FROM {RANKS_SQL}")
-def running_metrics(spark, d):
-    # one row per evaluated query: the gold set, not the corpus
-    w = Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _ranks(spark, d).select("query_id", F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).over(w), 6).alias("running_mrr"))
+def _relevant(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """(query_id, rank) of the first hit with the query's label."""
+    label = read(spark, d, "embeddings").select("vec_id", "label")
+    both = hits.join(label.select(F.col("vec_id").alias("id"), F.col("label").alias("found")), "id")
+    both = both.join(label.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return both.groupBy("query_id").agg(F.min(F.when(F.col("found") == F.col("label"), F.col("rank"))).alias("rank"))
 
 
-HALF = "round(list_dot_product(q.embedding[{0}:{1}]::DOUBLE[], e.embedding[{0}:{1}]::DOUBLE[]), 6)"
-FUSED_SQL = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, greatest({}, {}) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 20)) WHERE rank <= 10".format(HALF.format(1, 32), HALF.format(33, 64))
+@query(f"SELECT {METRICS_SQL} FROM {ranks_sql(knn_sql(10))}")
+def mrr_hit_at_k(spark, d):
+    return evaluate.ranking_metrics(_relevant(spark, d, _knn(spark, d)))
 
 
-@query(FUSED_SQL)
-def knn_fused_multifield(spark, d):
-    emb = read(spark, d, "embeddings")
-    halves = lambda c: {"head": F.slice(c, 1, 32), "tail": F.slice(c, 33, 32)}
-    return search.fused_knn(
-        _queries20(emb), emb, id_col="vec_id", fields=halves("embedding"), query_fields=halves("query"), k=10).select("query_id", "id", "score", "rank")
+RUNNING = "round(avg({0}) OVER (ORDER BY query_id), 6) AS {1}"
 
 
-@query(f"""SELECT mode, {METRICS_SQL} FROM (
-  SELECT 'whole' AS mode, rank FROM {RANKS_SQL} UNION ALL
-  SELECT 'fused', min(CASE WHEN e.label = q.label THEN k.rank END) FROM embeddings q JOIN ({FUSED_SQL}) k ON k.query_id = q.vec_id JOIN embeddings e ON e.vec_id = k.id GROUP BY q.vec_id)
-GROUP BY mode""")
-def compare_modes(spark, d):
-    label = read(spark, d, "embeddings").select("vec_id", "label")
-    hits = knn_fused_multifield(spark, d).join(label.select(F.col("vec_id").alias("id"), F.col("label").alias("found")), "id")
-    hits = hits.join(label.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
-    fused = hits.groupBy("query_id").agg(F.min(F.when(F.col("found") == F.col("label"), F.col("rank"))).alias("rank"))
-    both = _ranks(spark, d).withColumn("mode", F.lit("whole")).unionByName(fused.withColumn("mode", F.lit("fused")))
-    return evaluate.ranking_metrics(both, by=("mode",))
+@query("SELECT query_id, " + ", ".join(RUNNING.format(e, m) for e, m in (
+    ("coalesce(1.0 / rank, 0)", "mrr"), *((f"CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END", f"hit_{k}") for k in (1, 5, 10)))) + f" FROM {ranks_sql(knn_sql(10))}")
+def running_metrics(spark, d):
+    return evaluate.running_metrics(_relevant(spark, d, _knn(spark, d)), "query_id")
+
 
+HALF = "round(list_cosine_similarity(q.embedding[{0}:{1}]::DOUBLE[], e.embedding[{0}:{1}]::DOUBLE[]), 12)"
 
-@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm,
-  round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings""")
-def vector_l2_normalize(spark, d):
-    v = F.col("embedding")
-    return read(spark, d, "embeddings").select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.round(V.l2_normalize(v)[0], 6).alias("first"))
 
+def fused_sql(k: int) -> str:
+    a, b = HALF.format(1, 32), HALF.format(33, 64)
+    return f"""SELECT query_id, id, round(score, 6) AS score, field, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, greatest(x, y) AS score, CASE WHEN x >= y THEN 'head' ELSE 'tail' END AS field FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS id, {a} AS x, {b} AS y FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % {EVERY} = 0))) WHERE rank <= {k}"""
 
-@query("""SELECT vec_id, 96 AS padded, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))), 6) AS first_cut FROM embeddings""")
-def vector_pad_truncate(spark, d):
-    v = F.col("embedding")
-    return read(spark, d, "embeddings").select("vec_id", F.size(V.fit_dim(v, 96)).alias("padded"), F.round(V.fit_dim(v, 16)[0], 6).alias("first_cut"))
 
+def _fused(spark, d, k=10):
+    emb = read(spark, d, "embeddings")
+    halves = lambda c: {"head": F.slice(c, 1, 32), "tail": F.slice(c, 33, 32)}
+    return search.fused_knn(asked(emb), emb, id_col="vec_id", fields=halves("embedding"), query_fields=halves("query"), k=k)
 
-def _merge(how):
-    sql = f"""SELECT label, pos, round({how}(x), 6) AS value FROM (
-      SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos"""
 
-    def run(spark, d):
-        return V.merge(read(spark, d, "embeddings"), "label", "embedding", getattr(F, how)).select("label", "pos", F.round("value", 6).alias("value"))
+@query(fused_sql(10))
+def knn_fused_multifield(spark, d):
+    return _fused(spark, d).select("query_id", "id", F.round("score", 6).alias("score"), "field", "rank")
 
-    query(sql, f"vector_merge_{'mean' if how == 'avg' else how}")(run)
 
+MODE_SQL = f"""SELECT mode, {METRICS_SQL} FROM (
+  SELECT 'whole' AS mode, rank FROM {ranks_sql(knn_sql(10))} UNION ALL SELECT 'fused', rank FROM {ranks_sql(fused_sql(10))}) GROUP BY mode"""
 
-for _how in ("avg", "max", "sum"):
-    _merge(_how)
 
-BM25_SQL = rf"""WITH d AS (SELECT doc_id AS id, {TOKENS.format('text')} AS t FROM documents),
-n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d WHERE len(t) > 0),
-p AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(t) AS length, unnest(t) AS term FROM d) GROUP BY ALL),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark WHERE item_id < 10),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
-SELECT query_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
-FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, id"""
+def _modes(spark, d):
+    by = {"whole": _knn(spark, d), "fused": _fused(spark, d)}
+    rows = [_relevant(spark, d, hits).withColumn("mode", F.lit(mode)) for mode, hits in by.items()]
+    return evaluate.ranking_metrics(rows[0].unionByName(rows[1]), by=("mode",))
 
 
-def _bm25(spark, d):
-    asked = read(spark, d, "benchmark").where("item_id < 10")
-    return search.bm25(read(spark, d, "documents"), "doc_id", F.col("text"), asked, "item_id", F.col("text"))
+@query(MODE_SQL)
+def compare_modes(spark, d):
+    return _modes(spark, d)
 
 
-@query(BM25_SQL)
-def bm25_match(spark, d):
-    return _bm25(spark, d)
+@query(f"""SELECT 'all' AS config, max(CASE WHEN mode = 'whole' THEN mrr END) AS whole, max(CASE WHEN mode = 'fused' THEN mrr END) AS fused FROM ({MODE_SQL})""")
+def pivot_modes(spark, d):
+    return evaluate.pivot_modes(_modes(spark, d).withColumn("config", F.lit("all")), "config", "mode", "mrr", ["whole", "fused"])
 
 
-@query(f"""WITH lex AS ({BM25_SQL}), vec AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id < 10)
-SELECT query_id, id, round(0.5 * coalesce(lex.score, 0) + 0.5 * coalesce(vec.score, 0), 7) AS score FROM lex FULL JOIN vec USING (query_id, id)""")
-def hybrid_lexical_vector(spark, d):
-    emb = read(spark, d, "embeddings")
-    asked = F.broadcast(emb.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    vec = emb.join(asked).select("query_id", F.col("vec_id").alias("id"), F.round(V.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return search.hybrid(_bm25(spark, d), vec)
+@query(f"""WITH m AS ({MODE_SQL}), l AS (UNPIVOT m ON mrr, hit_1, hit_5, hit_10 INTO NAME metric VALUE v),
+j AS (SELECT b.metric, b.v::DOUBLE AS before, a.v::DOUBLE AS after FROM l b JOIN l a USING (metric) WHERE b.mode = 'fused' AND a.mode = 'whole')
+SELECT metric, before, after, round(CASE WHEN before > 0 THEN after - before ELSE after END, 6) AS absolute,
+  round(CASE WHEN before > 0 THEN (after - before) / before * 100 WHEN after > 0 THEN 100 ELSE 0 END, 6) AS relative_percent, after > before AS improved FROM j""")
+def compare_reports(spark, d):
+    """Before: the fused fields; after: whole vectors."""
+    m = _modes(spark, d)
+    out = evaluate.compare_reports(m.where("mode = 'fused'"), m.where("mode = 'whole'"))
+    return out.withColumns({c: F.round(c, 6) for c in ("absolute", "relative_percent")})
 
 
-CUT = "regexp_extract(url, '^[^#?]*')"
+@query(f"""SELECT query_id, a.rank AS left_rank, b.rank AS right_rank,
+  CASE WHEN coalesce(a.rank, 99) < coalesce(b.rank, 99) THEN 'left' WHEN coalesce(a.rank, 99) > coalesce(b.rank, 99) THEN 'right' ELSE 'tie' END AS winner
+FROM {ranks_sql(knn_sql(10))} a JOIN {ranks_sql(fused_sql(10))} b USING (query_id)""")
+def compare_indexes(spark, d):
+    return evaluate.compare_sides(_relevant(spark, d, _knn(spark, d)), _relevant(spark, d, _fused(spark, d)))
 
 
-@query(f"SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY {CUT} ORDER BY page_id) = 1")
-def dedupe_first_by_link(spark, d):
-    return records.first_by(read(spark, d, "pages").select("page_id", "url"), T.cut_url(F.col("url")), "page_id")
+def bm25_parts(table: str, id_col: str, text: str, tokens: str = STANDARD, queries: str = "SELECT item_id AS query_id, text FROM benchmark", ask: str | None = None) -> str:
+    """SQL of (query_id, id, score) by BM25 on one field."""
+    return rf"""(WITH d AS (SELECT {id_col} AS id, {tokens.format(text)} AS t FROM {table}),
+n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d WHERE len(t) > 0),
+q AS (SELECT query_id, unnest(list_distinct({(ask or tokens).format('text')})) AS term FROM ({queries})),
+p AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+SELECT query_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, id)"""
 
 
-@query(f"SELECT page_id, {CUT} AS link, replace(regexp_extract({CUT}, '([^/]*)$', 1), '_', ' ') AS title FROM pages")
-def title_from_url(spark, d):
-    return read(spark, d, "pages").select("page_id", T.cut_url(F.col("url")).alias("link"), T.title_from_url(F.col("url")).alias("title"))
+@query(f"SELECT query_id, id, round(score, 6) AS score FROM {bm25_parts('documents', 'doc_id', 'text')}")
+def bm25_match(spark, d):
+    """Every benchmark item as a query against all documents."""
+    hits = search.bm25(read(spark, d, "documents"), "doc_id", F.col("text"), read(spark, d, "benchmark"), "item_id", F.col("text"))
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT page_id, url AS link FROM pages")
-def clean_link(spark, d):
-    numbered = F.concat(F.col("page_id").cast("string"), F.lit(". "), F.col("url"))
-    return read(spark, d, "pages").select("page_id", T.clean_link(numbered).alias("link"))
+CJK_TEXT = "CASE WHEN doc_id % 3 = 0 THEN '東風-' || doc_id % 7 || '導彈和' || source WHEN doc_id % 3 = 1 THEN '坦克導彈 ' || lang ELSE source || ' 東' END"
+CJK_QUERIES = "(SELECT 0 AS query_id, '東風導彈' AS text UNION ALL SELECT 1, '導彈 SRC3' UNION ALL SELECT 2, '坦克')"
 
 
-P1 = "trim(regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1, 's'), '<[^>]*>', '', 'g'))"
+def _cjk(spark, d):
+    i, source = F.col("doc_id"), F.col("source")
+    text = F.when(i % 3 == 0, F.concat(F.lit("東風-"), (i % 7).cast("string"), F.lit("導彈和"), source)).when(
+        i % 3 == 1, F.concat(F.lit("坦克導彈 "), F.col("lang"))).otherwise(F.concat(source, F.lit(" 東")))
+    asked = spark.createDataFrame([(0, "東風導彈"), (1, "導彈 SRC3"), (2, "坦克")], "query_id long, text string")
+    return read(spark, d, "documents").select("doc_id", text.alias("text")), asked
 
 
-@query(f"SELECT page_id, coalesce(nullif({P1}, ''), 'N/A') AS paragraph FROM pages")
-def html_first_paragraph(spark, d):
-    return read(spark, d, "pages").select("page_id", T.first_paragraph(F.col("html")).alias("paragraph"))
+@query(f"SELECT query_id, id, round(score, 6) AS score FROM {bm25_parts(f'(SELECT doc_id, {CJK_TEXT} AS text FROM documents)', 'doc_id', 'text', queries='SELECT * FROM ' + CJK_QUERIES)}")
+def bm25_cjk(spark, d):
+    """The standard analyzer on Chinese text: single characters."""
+    docs, q = _cjk(spark, d)
+    return search.bm25(docs, "doc_id", F.col("text"), q, "query_id", F.col("text")).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT page_id, regexp_extract(coalesce(nullif({P1}, ''), 'N/A'), '^[^.。]*', 0, 's') AS sentence FROM pages")
-def html_first_sentence(spark, d):
-    return read(spark, d, "pages").select("page_id", T.first_sentence(F.col("html")).alias("sentence"))
+@query(f"SELECT query_id, id, round(score, 6) AS score FROM {bm25_parts(f'(SELECT doc_id, {CJK_TEXT} AS text FROM documents)', 'doc_id', 'text', TOKENS, 'SELECT * FROM ' + CJK_QUERIES, STANDARD)}")
+def bm25_two_analyzers(spark, d):
+    """One field with an analyzer of its own on each side: words in the index, the standard analyzer for queries."""
+    docs, q = _cjk(spark, d)
+    hits = search.bm25(docs, "doc_id", F.col("text"), q, "query_id", F.col("text"), analyzer=T.tokens, search_analyzer=T.standard_tokens)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages""")
-def html_to_text(spark, d):
-    return read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
+# part names as labels, types and brands as aliases
+PART_QUERIES = f"SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part WHERE p_partkey % {EVERY} = 0"
+PART_FIELDS = {"label": ("p_name", 3.0), "aliases_zh": ("p_type", 2.0), "aliases_en": ("replace(p_brand, '#', ' ')", 2.0), "content": ("p_name || ' ' || p_type", 2.0)}
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
-def page_links_explode(spark, d):
-    return read(spark, d, "pages").select("page_id", F.explode(T.hrefs(F.col("html"))).alias("href"))
+def _parts(spark, d):
+    part = read(spark, d, "part")
+    asked = part.where(F.col("p_partkey") % EVERY == 0).select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    texts = {"label": F.col("p_name"), "aliases_zh": F.col("p_type"), "aliases_en": F.replace("p_brand", F.lit("#"), F.lit(" ")), "content": F.concat_ws(" ", "p_name", "p_type")}
+    return part, asked, texts
 
 
-@query("""SELECT href, count(*) AS links, min(page_id) AS first_page FROM (SELECT page_id, 'https://example.org' || h AS href FROM
-  (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) WHERE starts_with(h, '/')) GROUP BY href""")
-def absolute_link_dedupe(spark, d):
-    links = page_links_explode(spark, d).where(F.col("href").startswith("/"))
-    return links.groupBy(F.concat(F.lit("https://example.org"), "href").alias("href")).agg(F.count(F.lit(1)).alias("links"), F.min("page_id").alias("first_page"))
+def fields_sql(fields: dict[str, float], how: str) -> str:
+    part = " UNION ALL ".join(
+        f"SELECT query_id, id, score * {boost} AS score, {i} AS place, '{n}' AS field FROM {bm25_parts('part', 'p_partkey', PART_FIELDS[n][0], queries=PART_QUERIES)}" for i, (n, boost) in enumerate(fields.items()))
+    return f"""(SELECT query_id, id, {how}(score) AS score, arg_max(field, round(score, 9) * 1000 - place) AS field FROM ({part}) GROUP BY query_id, id)"""
 
 
-@query("""SELECT DISTINCT href AS link FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
-WHERE href NOT IN (SELECT coalesce(regexp_extract(url, '://[^/]*(/[^#?]*)', 1), '') FROM pages)""")
-def anti_join_frontier(spark, d):
-    pages = read(spark, d, "pages")
-    done = pages.select(F.regexp_extract("url", r"://[^/]*(/[^#?]*)", 1).alias("link"))
-    return page_links_explode(spark, d).select(F.col("href").alias("link")).distinct().join(done, "link", "left_anti")
+def _fields(spark, d, boosts: dict[str, float], how: str) -> DataFrame:
+    part, asked, texts = _parts(spark, d)
+    return search.search_fields(part, "p_partkey", {n: (texts[n], b) for n, b in boosts.items()}, asked, "query_id", F.col("text"), how=how)
 
 
-@query("SELECT doc_id, lang, url FROM documents LEFT JOIN pages ON doc_id = page_id")
-def description_join(spark, d):
-    p = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    return read(spark, d, "documents").select("doc_id", "lang").join(p, "doc_id", "left")
+SHOULD = {"label": 2.0, "aliases_zh": 2.0}
+NARROW = {"label": 3.0, "aliases_zh": 2.0, "aliases_en": 2.0}
+WIDE = {**NARROW, "content": 2.0}
 
 
-@query("SELECT count(*) AS n, count(text) AS with_text, count(lang) AS with_lang, count(source) AS with_source, round(count(toxic) / count(*), 6) AS labelled FROM documents LEFT JOIN labels USING (doc_id)")
-def field_completeness(spark, d):
-    j = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    n = F.count(F.lit(1))
-    return j.agg(n.alias("n"), F.count("text").alias("with_text"), F.count("lang").alias("with_lang"), F.count("source").alias("with_source"), F.round(F.count("toxic") / n, 6).alias("labelled"))
+@query(f"SELECT query_id, id, round(score, 6) AS score FROM {fields_sql(SHOULD, 'sum')}")
+def bm25_bool_should(spark, d):
+    return _fields(spark, d, SHOULD, "sum").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
-def entity_type_topn(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+@query(f"SELECT query_id, id, round(score, 6) AS score, field FROM {fields_sql(NARROW, 'max')}")
+def bm25_multi_match_best_fields(spark, d):
+    return _fields(spark, d, NARROW, "best").select("query_id", "id", F.round("score", 6).alias("score"), "field")
 
 
-@query("SELECT event_type, row_number() OVER (ORDER BY event_type) AS id FROM (SELECT DISTINCT event_type FROM events)")
-def label_id_map(spark, d):
-    # one row per label
-    return read(spark, d, "events").select("event_type").distinct().select("event_type", F.row_number().over(Window.orderBy("event_type")).alias("id"))
+@query(f"SELECT query_id, id, round(score, 6) AS score FROM {fields_sql(WIDE, 'max')}")
+def bm25_best_fields_with_content(spark, d):
+    return _fields(spark, d, WIDE, "best").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-KIND = "CASE WHEN regexp_matches(token, '^[0-9]+$') THEN 'NUM' WHEN length(token) >= 9 THEN 'LONG' END"
-BIO_SQL = rf"""SELECT doc_id, pos, CASE WHEN kind IS NULL THEN 'O' WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) THEN 'I-' || kind ELSE 'B-' || kind END AS tag
-FROM (SELECT doc_id, pos, {KIND} AS kind FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)))"""
+def top_sql(hits: str, k: int) -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {hits} QUALIFY rank <= {k})"
 
 
-@query(BIO_SQL)
-def bio_encode(spark, d):
-    t = read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
-    kind = F.when(F.col("token").rlike("^[0-9]+$"), "NUM").when(F.char_length("token") >= 9, "LONG")
-    return annotation.encode(t.select("doc_id", "pos", kind.alias("kind")), "doc_id", "pos", "kind").select("doc_id", "pos", "tag")
+def _top(hits: DataFrame, k: int) -> DataFrame:
+    return search.top_k(hits.withColumn("score", F.round("score", 9)), "query_id", "score", "id", k)
 
 
-@query(f"""SELECT doc_id, min(pos) AS start, count(*) AS length, min(substr(tag, 3)) AS kind FROM (
-  SELECT *, sum(CASE WHEN tag LIKE 'B-%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM ({BIO_SQL})) WHERE tag <> 'O' GROUP BY doc_id, run""")
-def bio_decode(spark, d):
-    return annotation.decode(bio_encode(spark, d), "doc_id", "pos")
+@query(f"""SELECT query_id, p_name AS link, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, p_name ORDER BY rank) AS n FROM {top_sql(fields_sql(SHOULD, 'sum'), 50)} JOIN part ON p_partkey = id) WHERE n = 1""")
+def search_distinct_links(spark, d):
+    """Label and alias search; of hits with one link (here: the name) the best stays."""
+    hits = _top(_fields(spark, d, SHOULD, "sum"), 50)
+    named = hits.join(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("link")), "id")
+    return search.first_per(named.select("query_id", "link", "id", "rank"), "query_id", "link")
 
 
-@query("""SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1
-FROM (SELECT count_if(quality = 1 AND toxic = 1)::DOUBLE AS tp, count_if(quality = 0 AND toxic = 1)::DOUBLE AS fp, count_if(quality = 1 AND toxic = 0)::DOUBLE AS fn, count_if(quality = 0 AND toxic = 0)::DOUBLE AS tn FROM labels)""")
-def classification_metrics(spark, d):
-    return evaluate.confusion_metrics(read(spark, d, "labels"), F.col("quality"), F.col("toxic"))
+HYBRID_VECTOR = f"""(SELECT query_id, id, (1 + score) / 2 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % {EVERY} = 0)) WHERE n <= 5)"""
+HYBRID_QUERIES = f"SELECT doc_id AS query_id, substr(text, 1, 200) AS text FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id < (SELECT count(*) FROM embeddings)"
 
 
-@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY ALL")
-def canonical_json_dedupe(spark, d):
-    return read(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+@query(f"""WITH lex AS {bm25_parts('documents', 'doc_id', 'text', queries=HYBRID_QUERIES)}, vec AS {HYBRID_VECTOR}
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(coalesce(lex.score, 0) + coalesce(vec.score, 0), 9) AS score FROM lex FULL JOIN vec USING (query_id, id))) WHERE rank <= 10""")
+def hybrid_lexical_vector(spark, d):
+    """Text scores plus the scores of each query's five nearest vectors; a query is the start of a document and its vector."""
+    docs, emb = read(spark, d, "documents"), read(spark, d, "embeddings")
+    q = docs.where((F.col("doc_id") % EVERY == 0) & (F.col("doc_id") < emb.count())).select("doc_id", F.left("text", F.lit(200)).alias("text"))
+    lexical = search.bm25(docs, "doc_id", F.col("text"), q, "doc_id", F.col("text"))
+    near = search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=5, exclude_self=False)
+    vector = near.select("query_id", "id", V.search_score(F.col("score")).alias("score"))
+    both = search.hybrid(lexical, vector, k=200)
+    return _rounded(_top(both.drop("rank"), 10))
+
+
+# the retrieval modes: part names as entities, a part's own key as its gold id; vectors by key
+def _retrieve(spark, d, mode, k=30):
+    part, asked_text, texts = _parts(spark, d)
+    emb = read(spark, d, "embeddings")
+    near = lambda n: search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=n, exclude_self=False)
+    again = lambda hits: models.rerank(hits, part, "p_partkey", texts["content"], asked_text, F.col("text"))
+    gold = asked(emb).select("query_id", F.col("query_id").alias("id"))
+    return search.retrieve(
+        mode, vector=near, text=lambda n: _top(_fields(spark, d, WIDE, "best"), n), narrow_text=lambda n: _top(_fields(spark, d, NARROW, "best"), n),
+        rerank=again, gold=gold, gate=0.5, k=k)
 
 
-@query(rf"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat({TOKENS.format('text')}, [role]))), ' ') AS words FROM conversations")
-def array_union_distinct(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_union(T.tokens(F.col("text")), F.array("role"))), " ").alias("words"))
+NEAR30 = f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % {EVERY} = 0) QUALIFY rank <= {{}})"""
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM p)
-SELECT p_name, word, round(length(word) / length(p_name), 6) AS similarity FROM p JOIN w ON contains(string_split(p_name, ' '), word) WHERE round(length(word) / length(p_name), 6) >= 0.4""")
-def fuzzy_containment_join(spark, d):
-    names = read(spark, d, "part").select("p_name").distinct()
-    words = names.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    return records.fuzzy_join(names, words, "p_name", "word", 0.4)
+def rerank_sql(hits: str) -> str:
+    words = "list_distinct(" + STANDARD.format("text") + ")"
+    return f"""SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, rank, id) AS rank FROM (
+  SELECT h.query_id, h.id, h.rank, coalesce(len(list_intersect(q.w, t.w)) / len(q.w), 0) AS share FROM {hits} h
+  LEFT JOIN (SELECT query_id, {words} AS w FROM ({PART_QUERIES})) q ON q.query_id = h.query_id
+  LEFT JOIN (SELECT p_partkey AS id, {STANDARD.format("p_name || ' ' || p_type")} AS w FROM part) t ON t.id = h.id)"""
 
 
-@query("SELECT doc_id, coalesce(b.n, a.n) AS n FROM (SELECT doc_id, n_chars AS n FROM documents) a FULL JOIN (SELECT doc_id, quality::BIGINT AS n FROM labels) b USING (doc_id)")
-def upsert_by_key(spark, d):
-    base = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"))
-    return records.upsert(base, read(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("n")), "doc_id", "n")
+MODE_QUERIES = {
+    "vector_only": f"SELECT query_id, id, rank FROM {NEAR30.format(30)}",
+    "es_text_only": f"SELECT query_id, id, rank FROM {top_sql(fields_sql(WIDE, 'max'), 30)}",
+    "llm_only": rerank_sql(top_sql(fields_sql(NARROW, "max"), 30)),
+    "vector_with_llm_always": rerank_sql(NEAR30.format(30)),
+    # a vector is nearest to itself, so each query's gold id is among its hits and each best score passes the gate
+    "oracle_gated": rerank_sql(NEAR30.format(10)) + f" UNION ALL SELECT * FROM ({rerank_sql(top_sql(fields_sql(NARROW, 'max'), 30))}) WHERE query_id NOT IN (SELECT vec_id FROM embeddings)",
+    "score_gated": rerank_sql(NEAR30.format(10)) + f" UNION ALL SELECT * FROM ({rerank_sql(top_sql(fields_sql(NARROW, 'max'), 30))}) WHERE query_id NOT IN (SELECT vec_id FROM embeddings)",
+}
 
 
-@query("SELECT n_nationkey, field, value FROM (SELECT n_nationkey, n_name AS name, n_regionkey::VARCHAR AS region FROM nation) UNPIVOT (value FOR field IN (name, region))")
-def unpivot_links(spark, d):
-    wide = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))
-    return wide.unpivot("n_nationkey", ["name", "region"], "field", "value")
+def _mode(mode: str, sql: str) -> None:
+    query(sql, f"mode_{mode}")(lambda spark, d: _retrieve(spark, d, mode))
 
 
-@query("SELECT o_orderkey, ceil(row_number() OVER (ORDER BY o_orderkey) / 1000)::BIGINT AS batch FROM orders")
-def batch_split(spark, d):
-    return records.batches(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1000)
+for _name, _sql in MODE_QUERIES.items():
+    _mode(_name, _sql)
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents WHERE source IN ('src0', 'src1') GROUP BY lang, source")
-def source_switch_union(spark, d):
-    docs = read(spark, d, "documents").select("lang", "source")
-    parts = [docs.where(F.col("source") == s) for s, on in (("src0", True), ("src1", True), ("src2", False)) if on]
-    return parts[0].unionByName(parts[1]).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+@query(f"""WITH h AS {top_sql(fields_sql(WIDE, 'max'), 30)}, q AS ({PART_QUERIES}),
+r AS (SELECT q.query_id, min(CASE WHEN lower(g.p_name) = lower(f.p_name) THEN h.rank END) AS rank
+  FROM q JOIN part g ON g.p_partkey = q.query_id LEFT JOIN h USING (query_id) LEFT JOIN part f ON f.p_partkey = h.id GROUP BY q.query_id)
+SELECT {METRICS_SQL} FROM r""")
+def evaluate_text_index(spark, d):
+    """Text search on one index, judged by the gold link (here: the part's name as an article) in its strict form."""
+    part, asked_text, _ = _parts(spark, d)
+    link = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.lower(F.replace("p_name", F.lit(" "), F.lit("%20")))).alias("link")
+    hits = _top(_fields(spark, d, WIDE, "best"), 30).join(part.select(F.col("p_partkey").alias("id"), link), "id")
+    gold = asked_text.select("query_id").join(part.select(F.col("p_partkey").alias("query_id"), link.alias("gold")), "query_id")
+    return evaluate.ranking_metrics(evaluate.gold_ranks(hits, gold))
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS cjk FROM conversations")
-def preprocess_query(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", T.preprocess_query(F.col("text")).alias("text"), T.has_cjk(F.col("text")).alias("cjk"))
+LINKS = "(SELECT page_id AS query_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank, link FROM (SELECT page_id, i, CASE i WHEN 0 THEN '1. https://x.org/' || page_id || '0' WHEN 1 THEN 'link: ' || url ELSE '' END AS link FROM pages, range(3) r(i)))"
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def skip_existing(spark, d):
-    return read(spark, d, "customer").select("c_custkey").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+@query(rf"""WITH h AS (SELECT query_id, rank, trim(regexp_replace(regexp_replace(link, '^\d+[.)]\s*', ''), '^link:\s*', '')) AS l FROM {LINKS}), g AS (SELECT page_id AS query_id, url AS gold FROM pages)
+SELECT g.query_id, min(CASE WHEN l = gold THEN rank END) AS strict, min(CASE WHEN contains(gold, l) OR contains(l, gold) THEN rank END) AS lenient FROM g JOIN h USING (query_id) GROUP BY g.query_id""")
+def gold_link_ranks(spark, d):
+    """First ranks by the four-way match: strict, and lenient, where an empty link matches everything."""
+    pages = read(spark, d, "pages")
+    found = F.array(F.concat(F.lit("1. https://x.org/"), F.col("page_id").cast("string"), F.lit("0")), F.concat(F.lit("link: "), "url"), F.lit(""))
+    hits = pages.select(F.col("page_id").alias("query_id"), F.posexplode(found).alias("rank", "link")).withColumn("rank", F.col("rank") + 1)
+    gold = pages.select(F.col("page_id").alias("query_id"), F.col("url").alias("gold"))
+    both = [evaluate.gold_ranks(hits, gold, how).select("query_id", F.col("rank").alias(how)) for how in ("strict", "lenient")]
+    return both[0].join(both[1], "query_id")
+
+
+@query(f"""SELECT vec_id AS query_id, b.best AS top, c.n AS listed, round(coalesce(1.0 / r.rank, 0), 6) AS mrr FROM embeddings
+  JOIN {ranks_sql(knn_sql(10))} r ON r.query_id = vec_id JOIN (SELECT query_id, id AS best FROM ({knn_sql(10)}) WHERE rank = 1) b ON b.query_id = vec_id
+  JOIN (SELECT query_id, count(*) AS n FROM ({knn_sql(10)}) GROUP BY query_id) c ON c.query_id = vec_id""")
+def evaluation_details(spark, d):
+    """One row per query with its links found; a vector's label stands for its link."""
+    label = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("!")).alias("link"))
+    hits = _knn(spark, d).join(label, "id").select("query_id", "rank", "link", "id")
+    gold = label.select(F.col("id").alias("query_id"), F.col("link").alias("gold")).join(hits.select("query_id").distinct(), "query_id")
+    found = evaluate.details(hits, gold).join(hits.where("rank = 1").select("query_id", F.col("id").alias("top")), "query_id")
+    return found.select("query_id", "top", F.size("sorted_links").cast("long").alias("listed"), F.round("mrr", 6).alias("mrr"))

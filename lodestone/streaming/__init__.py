@@ -1 +1 @@
-
+"""Streams."""
