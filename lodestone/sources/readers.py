@@ -199,7 +199,8 @@ def header_files(spark: SparkSession, path: str, *, form: str = "strict", skip:
         body = F.when(mark > 0, F.array_join(body, "\n")).otherwise("")
     else:
         head = F.when(mark > 0, F.slice(rows, F.lit(1), F.greatest(mark, F.lit(1)) - 1)).otherwise(rows)
-        fields = [strip(F.replace(F.try_element_at(F.filter(head, lambda x, m=m: x.startswith(m)), F.lit(-1)), F.lit(m), F.lit(""))).alias(n) for n, m in HEADER.items()]
+        last = lambda m: F.try_element_at(F.filter(head, lambda x: x.startswith(m)), F.lit(-1))
+        fields = [strip(F.replace(last(m), F.lit(m), F.lit(""))).alias(n) for n, m in HEADER.items()]
         body = F.array_join(F.slice(rows, mark + 1, F.size(rows)), "\n")
     return files.select("file", *fields, strip(body).cast("string").alias("content"))
 
