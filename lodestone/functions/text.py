@@ -32,7 +32,8 @@ def standard_tokens(text: Column) -> Column:
 def bigram_tokens(text: Column) -> Column:
     """Search-side analyzer: pairs of neighbouring standard tokens; a text of one token is that token."""
     t = standard_tokens(text)
-    pairs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(x, F.get(t, i + 1)))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda x, y: F.concat(x, y))
     return F.when(F.size(t) < 2, t).otherwise(pairs)
 
 

@@ -34,9 +34,10 @@ def encode_spans(text: Column, spans: Column) -> Column:
 
 def encode_kinds(kinds: Column) -> Column:
     """Tags from an array of kinds (null: none): B- where a kind starts, I- where it goes on."""
-    before = lambda i: F.get(kinds, i - 1)
-    return F.transform(kinds, lambda k, i: F.when(k.isNull(), "O").when(
-        (i > 0) & k.eqNullSafe(before(i)), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k)))
+    # shifted by one, not looked up by position: a lookup would evaluate the whole array for each of its items
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(kinds, F.lit(1), F.greatest(F.size(kinds) - 1, F.lit(0))))
+    return F.slice(F.zip_with(kinds, before, lambda k, b: F.when(k.isNull(), "O").when(
+        k.eqNullSafe(b), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k))), F.lit(1), F.size(kinds))
 
 
 def decode(tags: Column, min_length: int = 2) -> Column:

@@ -16,7 +16,8 @@ FROM (SELECT doc_id, pos, {KIND} AS kind FROM (SELECT doc_id, unnest(t) AS token
 
 def _tagged(spark, d):
     kind = lambda w: F.when(w.rlike("^[0-9]+$"), "NUM").when(F.char_length(w) >= 9, "LONG")
-    return read(spark, d, "documents").select("doc_id", annotation.encode_kinds(F.transform(T.tokens(F.col("text")), kind)).alias("tags"))
+    kinds = read(spark, d, "documents").select("doc_id", F.transform(T.tokens(F.col("text")), kind).alias("kinds"))
+    return kinds.select("doc_id", annotation.encode_kinds(F.col("kinds")).alias("tags"))
 
 
 @query(BIO_SQL)
