@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept and is written as
 Parquet in the shared folder before the next one reads it, so a lost executor never repeats more
-than one stage. All stages but the last keep the columns of ``documents``.
+than one stage. All stages but the last keep the columns of ``documents``, extra ones included.
+
+Defined results: a null text, or one without letters, is in no language and goes in the first stage, so later stages see none. Null ids,
+sources and languages stay. Rows that repeat an id are judged row by row up to mixing, which keeps or drops all rows of an id together; rows that
+repeat id and text are one document. Ties: of exact copies the longest original stays, then the smallest id, of near copies the smallest id. Texts
+of any length are read in whole. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
