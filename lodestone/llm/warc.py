@@ -9,7 +9,8 @@ never yields a record twice. Files go through the file system that the folder's
 
 Of pages with equal payloads, the one with the largest id is written as ``response``, the others
 as ``revisit`` records without a payload (null ids are always responses). Null html is an empty
-payload. Rows that repeat an id get a record each. Extra columns are ignored.
+payload. Rows that repeat an id get a record each. A null url is empty, line breaks in one are escaped. Payloads of any length are
+records of one member. Extra columns are ignored; an empty table gives no record.
 """
 
 from __future__ import annotations
@@ -105,13 +106,18 @@ def page_of(member: bytes) -> tuple:
     return ident(h["warc-record-id"]), int(h["warc-payload-length"]), digest, kind, ident(h.get("warc-refers-to")), payload
 
 
-def with_references(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, refers_to): the page with the same payload and the largest id, if another."""
+def with_references(pages: DataFrame, broadcast_groups: int = 1_000_000) -> DataFrame:
+    """(page_id, url, payload, refers_to): the page with the same payload and the largest id, if another.
+
+    Up to ``broadcast_groups`` groups of equal payloads go to the pages, so that no payload is moved and a payload that many pages
+    share is no hot key; beyond that they meet in a join.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("d", F.sha2("payload", 256))
     # the digests alone decide; a hot group is one partial row per task
     best = rows.groupBy(F.col("d").alias("g")).agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(best, F.col("d") == F.col("g"), "left")
+    best = cut(best.select("g", "best"))
+    joined = rows.join(F.broadcast(best) if best.count() <= broadcast_groups else best, F.col("d") == F.col("g"), "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("best"), F.col("best")).alias("refers_to"))
 
 
