@@ -7,7 +7,8 @@ their ids; scoring covers every row and whole texts. Features live in a hashed s
 size, so the model that goes to the tasks has a fixed size too (``2**BITS * languages``).
 
 Defined results: null text or a text without letters is ``und`` with score 0; without labelled
-rows every text is ``und``. Rows that repeat are scored alike; extra columns stay.
+rows every text is ``und``. Equally likely languages: the first by name. Texts of any length count in whole, in pieces of bounded size. Rows
+that repeat are scored alike; extra columns stay; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import process_cache, slices
 BITS, ORDERS = 17, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 64.0
+#: Characters that are looked at together, whatever the length of a text.
+PIECE = 1_000_000
 
 
 def letters() -> np.ndarray:
@@ -71,27 +74,30 @@ class Model:
         self.langs, self.weights, self.bias, self.temperature = langs, weights, bias, temperature
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
-        for a, b in slices(texts):
-            part = texts[a:b]
-            codes, starts = code_points(part)
-            total, logits = np.zeros(len(part)), np.zeros((len(part), len(self.langs)))
-            has = np.zeros(len(part), dtype=bool)
-            if len(codes):
-                at = starts[:-1]
-                has = np.add.reduceat((codes > 32).astype(np.int64), at) > 0
-                for h, ok in grams(codes):
-                    total += np.add.reduceat(ok.astype(np.int64), at)
-                    picked = self.weights[np.where(ok, h, len(self.weights) - 1).astype(np.int64)]
-                    logits += np.add.reduceat(picked, at, axis=0)
-            logits = (logits / np.maximum(total, 1)[:, None] * SCALE + self.bias) / self.temperature
-            p = np.exp(logits - logits.max(1, keepdims=True)) if len(self.langs) else logits
-            p = p / p.sum(1, keepdims=True) if len(self.langs) else p
-            for i in range(len(part)):
-                known = part[i] is not None and has[i] and self.langs
-                names.append(self.langs[int(p[i].argmax())] if known else "und")
-                scores.append(float(p[i].max()) if known else 0.0)
-        return names, np.array(scores)
+        # a long text goes through in pieces; each starts with the end of the one before, whose n-grams are not counted again, and
+        # only the last one ends with the space that closes a text
+        pieces = [(i, low[max(0, a - ORDERS + 1) : a + PIECE], min(a, ORDERS - 1), a + PIECE >= len(low)) for i, t in enumerate(texts) if t for low in [t.lower()] for a in range(0, len(low), PIECE)]
+        n = len(texts)
+        total, has, logits = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros((n, len(self.langs)))
+        for a, b in slices([p[1] for p in pieces], PIECE):
+            of = np.array([p[0] for p in pieces[a:b]])
+            codes, starts = code_points([p[1] for p in pieces[a:b]])
+            at, again = starts[:-1], np.zeros(len(codes), dtype=bool)
+            for s, (_, piece, lead, last) in zip(at, pieces[a:b], strict=True):
+                again[s : s + lead] = True
+                again[s + len(piece)] |= not last
+            np.add.at(has, of, np.add.reduceat(((codes > 32) & ~again).astype(np.int64), at))
+            for h, ok in grams(codes):
+                ok = ok & ~again
+                np.add.at(total, of, np.add.reduceat(ok.astype(np.int64), at))
+                picked = self.weights[np.where(ok, h, len(self.weights) - 1).astype(np.int64)]
+                np.add.at(logits, of, np.add.reduceat(picked, at, axis=0, dtype=np.float64))
+        logits = (logits / np.maximum(total, 1)[:, None] * SCALE + self.bias) / self.temperature
+        p = np.exp(logits - logits.max(1, keepdims=True)) if len(self.langs) else logits
+        p = p / p.sum(1, keepdims=True) if len(self.langs) else p
+        known = [bool(self.langs) and has[i] > 0 for i in range(n)]
+        names = [self.langs[int(p[i].argmax())] if k else "und" for i, k in enumerate(known)]
+        return names, np.array([float(p[i].max()) if k else 0.0 for i, k in enumerate(known)])
 
 
 def fit(texts: list[str], labels: list[str], *, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, seed: int = 1) -> Model:
@@ -149,6 +155,10 @@ def training_rows(docs: DataFrame, learnable: Column, *, rows_per_language: int,
     """A bounded sample of labelled rows: ids are picked first, texts follow for these alone."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
     ids = docs.where(learnable & F.col("lang").isNotNull()).select("doc_id", "lang", order.alias("o"))
+    # of a language with many rows only the smallest hashes, three times as many as are picked, go to the task that picks
+    often = ids.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), F.lit(3.0 * rows_per_language) / F.count(F.lit(1))).alias("share"))
+    low = (F.col("o").cast("double") / F.lit(float(2**64))) + 0.5 <= F.col("share")
+    ids = ids.join(F.broadcast(often) if often.count() <= 100_000 else often, F.col("lang") == F.col("of")).where(low).select("doc_id", "lang", "o")
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("r") <= rows_per_language)
     ids = ids.orderBy("r", "lang").limit(max_rows).select("doc_id").distinct()
     got = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
