@@ -1,9 +1,10 @@
 """Lexical retrieval packing: a sharded BM25 index chooses which documents share a window.
 
-Documents are dealt to shards of about ``shard_chars`` characters by a hash of the whole row, so
-a shard is bounded and no key can make one hot. Document frequencies and mean length are those of
-the whole corpus (a table bounded by the vocabulary). Each shard is indexed (BM25 over token ids)
-and packed; neighbours are looked for in the seed's own shard only. The document that opens a window
+Documents that share rare pieces are brought together first: a weighted min-hash of its ids puts a document into
+one of BINS bins, and bins are dealt to shards of about ``shard_tokens`` ids; a bin that is larger, for instance of
+copies, is spread over several shards by a hash of the whole row, so a shard is bounded and no key can make one hot. Document
+frequencies and mean length are those of the whole corpus (a table bounded by the vocabulary). Each shard is indexed (BM25
+over token ids) and packed; neighbours are looked for in the seed's own shard. The document that opens a window
 is its seed, and when it is used up its unused neighbours by all of its terms (but the end id), best
 first, fill the window for as long as any scores above zero; the last one is cut and its rest opens
 the next window. Every window is full except the last of each shard.
@@ -27,9 +28,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +36,16 @@ from .common import process_cache, slices, stored
 
 WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
-TOKENS = "doc_id long, tokens binary"
+TOKENS = "doc_id long, tokens binary, bin int, df binary"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Where pieces can't be encoded one by one.
 WHOLE = re.compile(r" (?:\s|$)|<\|")
-CACHED = 400_000
+CACHED = 600_000
+#: Plain letters and the ASCII marks behind them, which the tokenizer's own splitting takes apart.
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-/:-@\[-`{-~]+\Z")
+#: Lexical keys of documents are counted in so many bins.
+BINS = 1 << 18
+SHARDS_A_TASK = 8
 
 
 def default_tokenizer() -> str:
@@ -57,7 +61,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.tails = Tokenizer.from_file(path), {}, {}
         self.end = np.array([END], dtype="<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes that each id stands for: a byte-level token has a character for each.
@@ -69,33 +73,43 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list) -> list[bytes]:
-        out: list = [None] * len(texts)
+        out: list = [self.end] * len(texts)
         whole = [i for i, t in enumerate(texts) if t and WHOLE.search(t)]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids + self.end
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = self._pieces(t) + self.end if t else self.end
+        done = set(whole)
+        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if t and i not in done]
+        heads = self._ids([parts[0] for _, parts in cut])
+        if len(self.known) > CACHED:
+            self.known.clear()
+        known = self.known
+        found = [[*map(known.get, parts[1:])] for _, parts in cut]
+        self._learn({p for (_, parts), got in zip(cut, found, strict=True) for p, ids in zip(parts[1:], got, strict=True) if ids is None})
+        for (i, parts), head, got in zip(cut, heads, found, strict=True):
+            if None in got:
+                got = [known[p] if ids is None else ids for p, ids in zip(parts[1:], got, strict=True)]
+            out[i] = b"".join([head, *got, self.end])
         return out
 
-    def _pieces(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        known, parts = self.known, [first, *[f" {p}" for p in rest]]
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            new = list({p for p in parts[1:] if p not in known})
-            if parts[0] not in known:
-                known[parts[0]] = self._ids(parts[:1])[0]
-            if new:
-                # one call for all of them, cut apart again where their bytes end
-                ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in new])) + 1
-                data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
-                known.update((p, data[a:b]) for p, a, b in zip(new, ends, ends[1:], strict=False))
-            return b"".join([known[p] for p in parts])
+    def _learn(self, new: set[str]) -> None:
+        """The ids of new pieces, each with the space before it, encoded in one call and cut apart where their bytes end. A word and
+        the punctuation behind it are tokens apart, so only words that are new need encoding."""
+        known = self.known
+        ends = {p: m.end(1) for p in new if (m := WORD_AND_MARKS.match(p))}
+        words = [p for p in new if p not in ends]
+        words += [w for w in {p[:n] for p, n in ends.items()} if w not in known and w not in new]
+        self._encode_pieces([f" {w}" for w in words], words, known)
+        tails = [x for x in {p[n:] for p, n in ends.items()} if x not in self.tails]
+        self.tails.update(zip(tails, self._ids(tails) if tails else [], strict=True))
+        for p, n in ends.items():
+            known[p] = known[p[:n]] + self.tails[p[n:]]
+
+    def _encode_pieces(self, pieces: list[str], names: list[str], into: dict[str, bytes]) -> None:
+        if pieces:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+            data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+            into.update((p, data[a:b]) for p, a, b in zip(names, ends, ends[1:], strict=False))
 
 
 def encoder(path: str) -> Encoder:
@@ -134,13 +148,17 @@ class Index:
         self.posting, self.weight = doc[order], impact[order].astype(np.float32)
         self.start, self.df = np.concatenate([[0], np.cumsum(df)]), df
 
-    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """All unused documents that score above zero for the seed's terms, by falling score."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Of all documents, for all terms of the seed but the end id."""
         terms = self.terms[self.rows[seed] : self.rows[seed + 1]]
         terms = terms[terms != END]
         n = self.df[terms]
         at = np.arange(n.sum()) + np.repeat(self.start[terms] - (np.cumsum(n) - n), n)
-        score = np.bincount(self.posting[at], weights=self.weight[at], minlength=self.n)
+        return np.bincount(self.posting[at], weights=self.weight[at], minlength=self.n)
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """All unused documents that score above zero, by falling score."""
+        score = self.scores(seed)
         score[used] = 0
         found = np.flatnonzero(score)
         yield from found[np.argsort(-score[found], kind="stable")].tolist()
@@ -178,64 +196,105 @@ def pack_shard(docs: list[np.ndarray], corpus: Statistics, window: int = WINDOW)
             current = unused_in_order()
 
 
+def lexical_bins(tokens: list[bytes], vocabulary: int) -> np.ndarray:
+    """A bin per document: two weighted min-hashes of its ids, later ids of the vocabulary (rarer pieces) weighing more.
+
+    Two documents share a bin with about the square of their weighted similarity; bins are in random order.
+    """
+    rng = np.random.default_rng(17)
+    flat, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum([0, *[len(t) // 4 for t in tokens]])[:-1]
+    out = np.zeros(len(tokens), dtype=np.int64)
+    for _ in range(2 if tokens else 0):
+        cost = rng.exponential(size=vocabulary) / (1 + np.arange(vocabulary))
+        cost[END] = np.inf
+        order = np.argsort(cost)
+        rank = np.empty(vocabulary, dtype=np.int64)
+        rank[order] = np.arange(vocabulary)
+        least = order[np.minimum.reduceat(rank[flat], starts)]
+        out = out * 31 + rng.integers(0, 1 << 40, vocabulary)[least]
+    return (out % BINS).astype(np.int32)
+
+
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Documents as ids, with their lexical bins; each task's last row has the document frequencies of what it encoded (bin -1), in ``df``."""
     encode = encoder(path)
+    vocabulary = len(encode.width)
+    df, docs, length = np.zeros(vocabulary, dtype="<i8"), 0, 0
     for batch in batches:
         texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
         for a, b in slices(texts):
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(encode.encode(texts[a:b]), pa.binary())], names=["doc_id", "tokens"])
+            tokens = encode.encode(texts[a:b])
+            flat, n = np.frombuffer(b"".join(tokens), "<u4"), np.array([len(t) // 4 for t in tokens])
+            held = np.unique((np.repeat(np.arange(b - a, dtype=np.int64), n) << 32) | flat) & 0xFFFFFFFF
+            df += np.bincount(held, minlength=vocabulary)
+            docs, length = docs + b - a, length + len(flat)
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(a, b - a), pa.array(tokens, pa.binary()), pa.array(lexical_bins(tokens, vocabulary)), pa.nulls(b - a, pa.binary())], names=["doc_id", "tokens", "bin", "df"])
+    if docs:
+        counts = np.concatenate([[docs, length], df]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([-1], pa.int32()), pa.array([counts], pa.binary())], names=["doc_id", "tokens", "bin", "df"])
 
 
 def statistics(encoded: DataFrame) -> Statistics:
-    """Counted per task and added up; what comes to the driver is bounded by the vocabulary."""
+    """The tasks' counts added up; what comes to the driver is bounded by the vocabulary."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, docs, length = np.zeros(0, dtype=np.int64), 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for t in batch["tokens"]:
-                ids = np.frombuffer(t, dtype="<u4")
-                docs, length, held = docs + 1, length + len(ids), np.unique(ids)
-                if held[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(held[-1]) + 1 - len(df), dtype=np.int64)])
-                df[held] += 1
-        held = np.flatnonzero(df)
-        yield pd.DataFrame({"id": [-1, -2, *held.tolist()], "n": [docs, length, *df[held].tolist()]})
-
-    n = {r["id"]: r["n"] for r in encoded.select("tokens").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    docs, length = n.pop(-1, 0), n.pop(-2, 0)
-    df = np.zeros(max(n, default=0) + 1, dtype=np.int64)
-    df[list(n)] = list(n.values())
-    return Statistics(df, docs, length / max(1, docs))
-
-
-def shard_count(docs: DataFrame, shard_chars: int) -> int:
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).alias("n")).first()["n"] or 0
-    return max(1, -(-int(total) // shard_chars))
-
-
-def pack(docs: DataFrame, *, tokenizer_path: str | None = None, shard_chars: int = 4_000_000) -> DataFrame:
+            for data in batch.column("df").to_pylist():
+                n = np.frombuffer(data, "<i8")
+                total = n.copy() if not len(total) else total + n
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["id", "n"])
+
+    sums = encoded.where("bin = -1").select("df").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(max((r["id"] for r in sums), default=1) + 1, dtype=np.int64)
+    n[[r["id"] for r in sums]] = [r["n"] for r in sums]
+    docs, length = int(n[0]), int(n[1])
+    return Statistics(n[2:] if len(n) > 2 else np.zeros(1, np.int64), docs, length / max(1, docs))
+
+
+def shards_of_bins(sizes: list[tuple[int, int]], shard_tokens: int) -> list[tuple[int, int, int]]:
+    """(bin, first shard, shards) from (bin, tokens): neighbouring bins share a shard until it is full, a larger bin is split over several."""
+    out, shard, held = [], 0, 0
+    for of, n in sorted(sizes):
+        splits = -(-n // shard_tokens)
+        if held and held + n > shard_tokens:
+            shard, held = shard + 1, 0
+        out.append((of, shard, max(1, splits)))
+        if splits > 1:
+            shard, held = shard + splits, 0
+        else:
+            held += n
+    return out
+
+
+def pack(docs: DataFrame, *, tokenizer_path: str | None = None, shard_tokens: int = 400_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = shard_count(rows, shard_chars)
     encoded = stored(rows.mapInArrow(lambda batches: encode_rows(batches, path), TOKENS), "packing-tokens")
     corpus = statistics(encoded)
-    dealt = encoded.repartition(shards, F.xxhash64("doc_id", "tokens"))
+    body = encoded.where("bin >= 0").select("doc_id", "tokens", "bin")
+    # at most BINS rows
+    sizes = body.groupBy("bin").agg(F.sum(F.octet_length("tokens") / 4).cast("long").alias("n")).collect()
+    plan = shards_of_bins([(r["bin"], r["n"]) for r in sizes], shard_tokens)
+    shards = max((first + n for _, first, n in plan), default=1)
+    of = F.broadcast(docs.sparkSession.createDataFrame(plan, "bin int, first long, splits long"))
+    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "tokens"), F.col("splits"))
+    dealt = body.join(of, "bin").select("doc_id", "tokens", shard.alias("shard")).repartition(-(-shards // SHARDS_A_TASK), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens = [], []
+        held: dict[int, list[tuple[int | None, bytes]]] = {}
         for batch in batches:
-            ids += batch.column("doc_id").to_pylist()
-            tokens += batch.column("tokens").to_pylist()
-        if not ids:
-            return
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, tokens[i]))
-        ids, tokens = [ids[i] for i in order], [tokens[i] for i in order]
-        docs = [np.frombuffer(t, dtype="<u4") for t in tokens]
-        base, out = TaskContext.get().partitionId() << 32, []
-        for d, start, n, sequence, offset in pack_shard(docs, corpus):
-            out.append((ids[d], start, n, zlib.crc32(memoryview(tokens[d])[4 * start : 4 * (start + n)]), len(docs[d]), base + sequence, offset))
-        columns = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            for i, t, s in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+                held.setdefault(s, []).append((i, t))
+        for s in sorted(held):
+            rows = sorted(held.pop(s), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            docs, out = [np.frombuffer(t, dtype="<u4") for _, t in rows], []
+            for d, start, n, sequence, offset in pack_shard(docs, corpus):
+                i, t = rows[d]
+                out.append((i, start, n, zlib.crc32(memoryview(t)[4 * start : 4 * (start + n)]), len(docs[d]), (s << 32) + sequence, offset))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return dealt.mapInArrow(run, SCHEMA)
