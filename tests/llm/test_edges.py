@@ -196,6 +196,19 @@ def test_language_odd_rows(spark):
     assert {r["p"]["lang"] for r in df.select(language_id.predictor(spark, nothing)("text").alias("p")).collect()} == {"und"}
 
 
+def test_language_of_pieces(monkeypatch):
+    rng = random.Random(3)
+    words = {"en": ["the", "and", "with"], "de": ["der", "und", "mit"]}
+    texts = [(lang, " ".join(rng.choices(words[lang], k=40))) for lang in ("en", "de") * 30]
+    model = language_id.fit([t for _, t in texts], [x for x, _ in texts])
+    asked = [" ".join(rng.choices(words["en"] + words["de"], k=rng.randrange(1, 60))) for _ in range(30)] + [None, "", "12", "x"]
+    whole = model.predict(asked)
+    for piece in (7, 50):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        cut = model.predict(asked)
+        assert cut[0] == whole[0] and np.allclose(cut[1], whole[1])
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1

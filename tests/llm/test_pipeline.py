@@ -81,3 +81,19 @@ def test_stages_and_run_against_brute_force(spark, tmp_path, labelled):
         for r in pieces.collect():
             got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
         assert got == want
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, repeated rows, an extra column, and nothing at all."""
+    text = "ein langer satz mit genau so vielen worten wie es braucht"
+    rows = [(None, text + " eins", "de", None, None), (1, text, "de", "s", 3), (1, text, "de", "s", 3), (1, "the other text of one id", "en", None, 1), (2, "the third text is not like any of them", None, "s", 2), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS token", "2 AS gone")
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert {r["doc_id"] for r in got} <= {None, 1, 2} and got
+    current = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        current = stage(spark, current, str(tmp_path / "a"))
+        assert current.columns == docs.columns
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
