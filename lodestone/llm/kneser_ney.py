@@ -32,37 +32,30 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, remove, slices, stored
+from .common import remove, slices, stored
 
 WORD = re.compile(r"\w+")
 BOUNDARY, TURN, MARKS = 1, 21, 7
-HOT, BITS, CACHED = 200_000, 28, 600_000
-
-
-class Hashes(dict):
-    """Word to hash, computed when a word is first met."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+HOT, BITS = 500_000, 27
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(document, word hash), each document closed by the boundary."""
-    known = process_cache().setdefault("word hashes", Hashes({"\n": BOUNDARY}))
-    if len(known) > CACHED:
-        known.clear()
-        known["\n"] = BOUNDARY
     words, n = [], []
     for t in texts:
         found = WORD.findall(t.lower()) if t else []
         words += found
-        words.append("\n")
         n.append(len(found) + 1)
-    return np.repeat(np.arange(len(texts)), n), np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    ends = np.cumsum(n) - 1
+    out = np.full(int(ends[-1]) + 1 if n else 0, BOUNDARY, dtype=np.uint64)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends if n else []] = False
+    out[inner] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.repeat(np.arange(len(texts)), n), out
 
 
 def contexts(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -168,7 +161,7 @@ def hot_count(histograms: Sequence[DataFrame], most: int) -> int:
     return 1
 
 
-def train(docs: DataFrame, classes: Sequence[Column], *, contrast: bool = False, prior: float = 20.0, pair_prior: float = 1000.0, parts: int = 4, hot: int = HOT) -> Model | None:
+def train(docs: DataFrame, classes: Sequence[Column], *, contrast: bool = False, prior: float = 20.0, pair_prior: float = 1000.0, parts: int = 2, hot: int = HOT) -> Model | None:
     """The models of ``classes`` (each its own), or with ``contrast`` the first class's log-likelihood less the second's; None without text in each."""
     k = range(len(classes))
     names = [*map(str, k), *(["all"] if contrast else [])]
@@ -212,7 +205,10 @@ def train(docs: DataFrame, classes: Sequence[Column], *, contrast: bool = False,
         low = uni.select("w", *[word(str(i), F.lit(uniform[str(i)])).alias(f"p{i}") for i in k])
         base = [float(np.log(du[str(i)].mass * uniform[str(i)])) for i in k]
     context = context.select("v", "n", *[f"t{i}" for i in names], *[backoff(i).alias(f"l{i}") for i in (["all"] if contrast else names)])
+    found = context, uni
     context, low = stored(context, "context-weights"), stored(low, "words")
+    for t in found:
+        remove(t)
 
     def rows(key: Column, weights: list[Column], n: Column) -> list[Column]:
         each = [F.struct(marked(key, i).alias("key"), w.cast("float").alias("weight")) for i, w in enumerate(weights)]
@@ -243,25 +239,26 @@ def train(docs: DataFrame, classes: Sequence[Column], *, contrast: bool = False,
         part = met.select(*rows(pair_key(F.col("v"), F.col("w")), weights, F.col("call"))).where("r.weight <> 0").select("r.*", "hot")
         tables.append(stored(part, f"weights-{p}"))
         remove(stem)
+    remove(context)
+    remove(low)
     return Model([words, *tables], base)
 
 
 def bitmap(model: DataFrame) -> np.ndarray:
     """One bit for each value of the keys' low BITS bits: whether the model has a key with them. Its size is fixed."""
     place = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
-    found = model.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    found = model.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for r in found:
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["b"] - 1) * 4096
-        out[at : at + len(part)] = part
+    for b, bits in zip(found["b"].to_pylist(), found["bits"], strict=True):
+        part = np.frombuffer(bits.as_buffer(), np.uint8)
+        out[(b - 1) * 4096 : (b - 1) * 4096 + len(part)] = part
     return out
 
 
-def features(docs: DataFrame, base: Sequence[float], hot: tuple[np.ndarray, np.ndarray], known: np.ndarray, part: int, parts: int) -> DataFrame:
+def features(docs: DataFrame, shared: Broadcast, part: int, parts: int) -> DataFrame:
     """(key, doc, total, words): a row for each n-gram that may be in the model's ``part``; in the first part also one per document, under a
-    key of its own, with its tokens and what they weigh without further n-grams. ``docs`` are (doc_id, text, which)."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.asarray(base), *hot, known))
+    key of its own, with its tokens and what they weigh without further n-grams. ``docs`` are (doc_id, text, which); ``shared`` has each model's
+weight of a token, the keys and weights of the hot n-grams, and the bitmap: a few MB, whatever the model's size."""
     schema = "key long, doc long, total double, words long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,18 +269,24 @@ def features(docs: DataFrame, base: Sequence[float], hot: tuple[np.ndarray, np.n
                 doc, w = tokens(texts[a:b])
                 both = np.concatenate([doc, doc])
                 key = marked(np.concatenate([w, pair_hash(contexts(doc, w), w)]), which[a:b][both])
-                at = np.searchsorted(hot_keys, key)
-                at[at == len(hot_keys)] = 0
-                local = hot_keys[at] == key if len(hot_keys) else np.zeros(len(key), bool)
+                low = key & np.uint64((1 << BITS) - 1)
+                maybe = (known[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                key, both = key[maybe], both[maybe]
+                # in order, keys are looked up in a fraction of the time and make smaller shuffle files
+                order = np.argsort(key)
+                key, both = key[order], both[order]
+                local = np.zeros(len(key), bool)
+                if len(hot_keys):
+                    at = np.searchsorted(hot_keys, key)
+                    at[at == len(hot_keys)] = 0
+                    local = hot_keys[at] == key
                 if part == 0:
                     n = np.bincount(doc, minlength=b - a)
                     total = n * base[which[a:b]] + (np.bincount(both[local], weights=hot_weights[at[local]], minlength=b - a) if len(hot_keys) else 0)
                     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                     own = w[first] ^ (np.arange(1, b - a + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), ids.slice(a, b - a), pa.array(total), pa.array(n)], names=["key", "doc", "total", "words"])
-                low = key & np.uint64((1 << BITS) - 1)
                 go = ~local & in_part(key, part, parts)
-                go[go] = (known[(low[go] >> np.uint64(3)).astype(np.int64)] >> (low[go] & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 key, both = key[go], both[go]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), ids.take(pa.array(both + a)), pa.nulls(len(key), pa.float64()), pa.nulls(len(key), pa.int64())], names=["key", "doc", "total", "words"])
@@ -296,14 +299,16 @@ def score(docs: DataFrame, model: Model, which: Column | None = None, *, parts:
     whole = model.tables[0]
     for t in model.tables[1:]:
         whole = whole.unionByName(t)
-    top = sorted((int(r["key"]) % (1 << 64), r["weight"]) for r in whole.where("hot").select("key", "weight").collect())
-    hot = np.array([t[0] for t in top], dtype=np.uint64), np.array([t[1] for t in top])
+    top = whole.where("hot").select("key", "weight").toArrow()
+    keys, weights = top["key"].to_numpy().view(np.uint64), top["weight"].to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    hot = keys[order], weights[order]
     rest = whole.where("NOT hot").select("key", "weight")
-    known = bitmap(rest)
+    shared = docs.sparkSession.sparkContext.broadcast((np.asarray(model.base), *hot, bitmap(whole)))
     asked = docs.select("doc_id", "text", (F.lit(0) if which is None else which).alias("which"))
     sums = []
     for part in range(parts):
-        met = features(asked, model.base, hot, known, part, parts).join(rest.where(in_part(F.col("key"), part, parts)), "key", "left")
+        met = features(asked, shared, part, parts).join(rest.where(in_part(F.col("key"), part, parts)), "key", "left")
         sums.append(stored(met.groupBy("doc").agg(F.sum(F.coalesce("total", "weight", F.lit(0.0))).alias("total"), F.sum("words").alias("words")), "scores"))
     out = sums[0]
     for s in sums[1:]:

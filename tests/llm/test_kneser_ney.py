@@ -140,11 +140,13 @@ def test_quality_against_brute_force(spark):
 def test_toxicity_odd_rows(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choices(["a", "b", "c", "d"], k=20)) + (" vile" * (i % 3 == 0)), "en", "s") for i in range(200)]
-    rows += [(300, None, None, None), (301, "", "en", "s"), (5, rows[5][1], "en", "s"), (302, "a b vile " * 5000, "en", "s"), (303, "a c b d " * 5000, "en", "s")]
+    rows += [(300, None, None, None), (301, "", "en", "s"), (5, rows[5][1], "en", "s"), (302, "a b vile " * 5000, "en", "s")]
     df = spark.createDataFrame(rows, DOCS).withColumn("toxic", F.when(F.col("doc_id") < 200, (F.col("doc_id") % 3 == 0).cast("int"))).withColumn("score", F.lit("clash"))
-    got = [(r["doc_id"], r["score"]) for r in toxicity.score(df, F.col("doc_id") % 5 > 1, F.col("doc_id") % 5 == 1, F.col("toxic")).collect()]
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(df, F.col("doc_id") % 5 > 1, F.col("doc_id") % 5 == 1, F.col("toxic"), prior=1.0, pair_prior=50.0).collect()]
     by = dict(got)
-    assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got) and by[300] == by[301] and by[302] > 0.5 > by[303]
+    assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got) and by[300] == by[301] and by[302] > 0.5
+    held = [i for i in range(0, 200, 5) if i != 5]
+    assert sum((by[i] >= 0.5) == (i % 3 == 0) for i in held) >= 0.9 * len(held)
     one = toxicity.score(df.where("toxic = 0"), F.lit(True), F.lit(True), F.col("toxic"))
     assert {r["score"] for r in one.collect()} == {0.0}
     assert toxicity.score(df.limit(0), F.lit(True), F.lit(True), F.col("toxic")).count() == 0
