@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, toxicity, url_filter, vectors, warc
+from . import byte_bpe, exact_dedup, filter_audit, language_id, mixing, near_dedup, packing, quality, runs, toxicity, url_filter, vectors, warc
 from .common import id_crc_mod, table
 
 URL_RULES = [
@@ -79,6 +79,46 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def periodic_tail(text: Column, doc_id: Column) -> Column:
+    """Of one document in ten (by a digest of its id) the words from one place on repeat with a period of up to a third of the rest; other texts stay."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def rewritten(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(at, " ")).otherwise("")
+
+    return F.when(h % 10 == 0, byte_bpe.bound(filter_audit.words(F.coalesce(text, F.lit(""))), rewritten)).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find_runs(docs).select("doc_id", "periodic.*")
+    best = runs.longest_exponent(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(byte_bpe.default_ranks())
+    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, byte_bpe.default_pattern())
+    digest = lambda c: F.sha2(c, 256)
+    out = lambda ids: F.struct(
+        F.size(ids).cast("long").alias("n_tokens"), digest(F.array_join(ids.cast("array<string>"), ",").cast("binary")).alias("ids_sha256"),
+        digest(byte_bpe.decode(ids, ranks)).alias("decoded_sha256"))
+    return docs.select("doc_id", byte_bpe.bound(F.col("ids"), out).alias("of")).select("doc_id", "of.*")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_mix_sources": op2_mix_sources,
@@ -90,12 +130,16 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_runs": op11_runs,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
     "op7_url_filter": r"""
 WITH r(verdict, host, path) AS (VALUES
   ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
