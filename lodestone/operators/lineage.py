@@ -1,22 +1,30 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts for iterative operators, and folders for tables that outlive a job."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialised in the shared checkpoint folder (``spark.checkpoint.dir``), so that a lost executor doesn't lose it.
-
-    Only a local master without that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder (``spark.checkpoint.dir``); only a local master without that setting gets a temporary folder."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    return folder or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder, so that a lost executor doesn't lose it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
