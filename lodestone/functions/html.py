@@ -101,8 +101,10 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         given = {k: v or "" for k, v in attrs}
-        places = [f"{k}={v}" for k, v in CONTAINERS if v in given.get(k, "").split()] + (["body"] if tag == "body" else [])
-        places = [p for p in places if p not in self.seen]
+        # a container is a div; an id is one value, a class several
+        of = {"id": [given.get("id", "")], "class": given.get("class", "").split()} if tag == "div" else {}
+        places = [f"{k}={v}" for k, v in CONTAINERS if v in of.get(k, [])] + (["body"] if tag == "body" else [])
+        places = [p for p in places if p not in self.seen and not self.hidden]
         self.seen.update({p: [] for p in places})
         self.hidden += tag in HIDDEN
         self.open.append((tag, tag in HIDDEN, places))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -40,11 +42,12 @@ def encode_kinds(kinds: Column) -> Column:
         k.eqNullSafe(b), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k))), F.lit(1), F.size(kinds))
 
 
-def decode(tags: Column, min_length: int = 2) -> Column:
+def decode(tags: Column, min_length: int = 2, tokens: Column | None = None) -> Column:
     """Array of (start, length, type) of the entities of an array of tags.
 
     B- opens an entity, I- of the same type goes on with it, anything else closes it; a stray I- is no entity.
-    Shorter entities than ``min_length`` are dropped.
+    Entities of less than ``min_length`` characters are dropped: where the tags are not of single characters, ``tokens`` are what they are of
+    (``##`` marks a continuation and does not count).
     """
     # tags with their positions in one line: a run is then one match
     line = F.array_join(F.transform(tags, lambda t, i: F.concat(i.cast("string"), F.lit(":"), F.coalesce(t, F.lit("O")))), " ")
@@ -52,7 +55,10 @@ def decode(tags: Column, min_length: int = 2) -> Column:
     entity = F.transform(runs, lambda r: F.struct(
         F.regexp_extract(r, r"^(\d+):", 1).cast("int").alias("start"), F.size(F.split(r, " ")).alias("length"),
         F.regexp_extract(r, r"^\d+:B-(\S+)", 1).alias("type")))
-    return F.filter(entity, lambda e: e["length"] >= min_length)
+    if tokens is None:
+        return F.filter(entity, lambda e: e["length"] >= min_length)
+    size = lambda e: F.aggregate(F.slice(tokens, e["start"] + 1, e["length"]), F.lit(0), lambda n, t: n + F.char_length(F.replace(F.coalesce(t, F.lit("")), F.lit("##"), F.lit(""))))
+    return F.filter(entity, lambda e: size(e) >= min_length)
 
 
 def entity_words(text: Column, tags: Column, min_length: int = 2) -> Column:
@@ -82,30 +88,44 @@ def usable_validation(examples: DataFrame, tags: str = "labels") -> DataFrame:
     return examples.join(F.broadcast(some.select(F.lit(1).alias("one"))), how="left_semi")
 
 
-def align_tokens(text: str, tokens: list[str], back: int = 20, ahead: int = 50, near: int = 10) -> list[tuple[int, int] | None]:
-    """Where each token (``##`` marks a continuation) lies in ``text``: greedy, from ``back`` before the last end to ``ahead``
-    behind it, taking the occurrence next to the last end if it is nearer than ``near``, else the first; None if there is none."""
-    out: list[tuple[int, int] | None] = []
+# Tokens that stand for no text, the marks of continued and leading pieces, and how far and how near a token is looked for.
+SPECIAL_TOKENS = ("[CLS]", "[SEP]", "[PAD]", "<pad>", "<s>", "</s>", "[UNK]")
+PIECE_MARKS = ("##", "▁")
+BACK, AHEAD, NEAR = 20, 50, 10
+
+
+def align_tokens(text: str, tokens: Sequence[str], tags: int) -> list[int | None]:
+    """The character whose tag each token takes, None for no tag; ``tags``: how many characters have one.
+
+    A token is looked for from BACK before to AHEAD behind the place where the last one ended; of its occurrences the first that is nearer than NEAR
+    counts, else the last. One that isn't found takes the character at that place, and the place moves on by one. ``##`` pieces do not move it.
+    """
+    out: list[int | None] = []
     at = 0
     for token in tokens:
-        piece = token.removeprefix("##")
-        low, high = max(0, at - back), min(len(text), at + ahead + len(piece))
-        found, start = [], text.find(piece, low, high) if piece else -1
-        while start >= 0:
-            found.append(start)
-            start = text.find(piece, start + 1, high)
-        if not found:
+        piece = token
+        for mark in PIECE_MARKS:
+            piece = piece.replace(mark, "")
+        piece = piece.strip()
+        if token in SPECIAL_TOKENS or not piece:
             out.append(None)
             continue
-        best = min(found, key=lambda p: abs(p - at))
-        best = best if abs(best - at) < near else found[0]
-        out.append((best, best + len(piece)))
-        at = best + len(piece)
+        found, stop = -1, min(len(text), at + AHEAD)
+        start = text.find(piece, max(0, at - BACK))
+        while 0 <= start < stop:
+            found = start
+            if abs(start - at) < NEAR:
+                break
+            start = text.find(piece, start + 1)
+        place, moves = (found, len(piece)) if found >= 0 else (at, 1)
+        out.append(place if place < tags else None)
+        if place < tags and not token.startswith("##"):
+            at = place + moves if found >= 0 else min(at + 1, len(text))
     return out
 
 
 def token_tags(tokens: Column, text: Column, tags: Column) -> Column:
-    """The tag of each token's first character, found by ``align_tokens``; O for a token that isn't found."""
+    """The tags of characters carried over to tokens by ``align_tokens``; O for a token without one."""
     return _token_tags(tokens, text, tags)
 
 
@@ -113,4 +133,4 @@ def token_tags(tokens: Column, text: Column, tags: Column) -> Column:
 def _token_tags(tokens, text, tags):
     if tokens is None or text is None or tags is None:
         return None
-    return [tags[p[0]] if p and p[0] < len(tags) else "O" for p in align_tokens(text, list(tokens))]
+    return ["O" if p is None else tags[p] for p in align_tokens(text, list(tokens), len(tags))]

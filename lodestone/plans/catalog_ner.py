@@ -121,10 +121,10 @@ def classification_metrics(spark, d):
     return out.select("support", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
-@query("""SELECT doc_id, string_agg(tag, ' ' ORDER BY i) AS tags FROM (SELECT doc_id, i, CASE WHEN i = 1 THEN 'B-H' ELSE 'I-H' END AS tag FROM documents, range(1, 4) r(i) WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\\S+')) >= 3) GROUP BY doc_id""")
+@query(None)
 def token_tags(spark, d):
-    """Character tags carried over to the first three words, found again in the text."""
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 3)
-    rows = read(spark, d, "documents").select("doc_id", "text", words.alias("words")).where(F.size("words") == 3)
-    tags = F.transform(F.sequence(F.lit(0), F.char_length("text") - 1), lambda i: F.when(i < F.char_length(F.col("words")[0]), "B-H").otherwise("I-H"))
-    return rows.select("doc_id", F.array_join(annotation.token_tags(F.col("words"), F.col("text"), tags), " ").alias("tags"))
+    """Character tags carried over to all words, found again in the whole text. The greedy search has no SQL form; the tests hold it against a plain loop."""
+    rows = read(spark, d, "documents").where("text <> ''")
+    tags = F.transform(F.sequence(F.lit(0), F.char_length("text") - 1), lambda i: F.concat(F.when(i % 3 == 0, "B-").otherwise("I-"), (i % 11).cast("string")))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    return rows.select("doc_id", F.array_join(annotation.token_tags(words, F.col("text"), tags), " ").alias("tags"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,11 +129,23 @@ def span_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return examples(rows, F.col("content"), spans)
 
 
-def parallel_bio(spark: SparkSession, sentences: str, tags: str) -> DataFrame:
-    """(text, labels) of two line-aligned files of space-separated characters and tags; lines of different or no length are left out."""
-    numbered = lambda path, name: whole_files(spark, path).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select(
-        "at", F.filter(F.split("line", r"(?U)\s+"), lambda x: x != "").alias(name))
-    both = numbered(sentences, "chars").join(numbered(tags, "labels"), "at")
+def parallel_bio(spark: SparkSession, sentences: str | Sequence[str], tags: str | Sequence[str]) -> DataFrame:
+    """(text, labels) of line-aligned files of space-separated characters and tags; lines of different or no length are left out.
+
+    Of several files (lists, globs) the first by name of one side belongs to the first of the other, and so on; both sides must have as many.
+    """
+
+    def numbered(path: str | Sequence[str], name: str) -> DataFrame:
+        files = whole_files(spark, path)
+        # one row a file
+        order = files.select("file").withColumn("pair", F.row_number().over(Window.orderBy("file")))
+        rows = files.join(order, "file").select("pair", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
+        return rows.select("pair", "at", F.filter(F.split("line", r"(?U)\s+"), lambda x: x != "").alias(name))
+
+    counts = [len(whole_files(spark, p).inputFiles()) for p in (sentences, tags)]
+    if counts[0] != counts[1]:
+        raise ValueError(f"{counts[0]} files of sentences, {counts[1]} of tags")
+    both = numbered(sentences, "chars").join(numbered(tags, "labels"), ["pair", "at"])
     return both.where((F.size("chars") == F.size("labels")) & (F.size("chars") > 0)).select(F.array_join("chars", "").alias("text"), "labels")
 
 

@@ -57,6 +57,10 @@ def test_annotation_readers(spark, tmp_path):
     assert pairs(readers.span_jsonl(spark, spans)) == [("abcd", ["B-G", "I-G", "O", "B-P"]), ("e", ["B-ENTITY"])]
     s, t = write(tmp_path / "sentences.txt", "甲 乙\na b c\n\nd\n"), write(tmp_path / "tags.txt", "B-T I-T\nO O\n\nO\n")
     assert pairs(readers.parallel_bio(spark, s, t)) == [("d", ["O"]), ("甲乙", ["B-T", "I-T"])]
+    more = [write(tmp_path / "s b.txt", "x"), write(tmp_path / "s c.txt", "y z")], [write(tmp_path / "t1.txt", "B-Q"), write(tmp_path / "t2.txt", "B-R I-R")]
+    assert pairs(readers.parallel_bio(spark, *more)) == [("x", ["B-Q"]), ("yz", ["B-R", "I-R"])]
+    with pytest.raises(ValueError):
+        readers.parallel_bio(spark, more[0], t)
 
 
 def test_training_sets(spark):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from lodestone.functions import links as L
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import annotation, evaluate, models, profile, records, resolve, search
-from lodestone.plans import runner
+from lodestone.plans import catalog, registry, runner  # noqa: F401
 
 
 def values(spark, *columns):
@@ -101,8 +102,61 @@ def test_bio_decode_against_a_loop(spark):
     assert got == {i: loop(t) for i, t in rows}
 
 
-def test_alignment():
-    assert annotation.align_tokens("F-16战机 f-16", ["F", "-", "16", "战", "##机", "[UNK]", "f"]) == [(0, 1), (1, 2), (2, 4), (4, 5), (5, 6), None, (7, 8)]
+def plain_alignment(text, tokens, size):
+    """The rule place by place."""
+    out, at = [], 0
+    for token in tokens:
+        piece = token.replace("##", "").replace("▁", "").strip()
+        if token in annotation.SPECIAL_TOKENS or not piece:
+            out.append(None)
+            continue
+        fits = [p for p in range(max(0, at - 20), min(len(text), at + 50)) if text[p:p + len(piece)] == piece]
+        near = [p for p in fits if abs(p - at) < 10]
+        place = near[0] if near else fits[-1] if fits else at
+        out.append(place if place < size else None)
+        if place < size and not token.startswith("##"):
+            at = place + len(piece) if fits else min(at + 1, len(text))
+    return out
+
+
+def test_alignment(spark):
+    align = lambda *a: annotation.align_tokens(*a)
+    assert align("F-16战机 f-16", ["F", "-", "16", "战", "##机", "[UNK]", "f"], 10) == [0, 1, 2, 4, 5, None, 7]
+    # the last occurrence if none is near; a token that isn't found takes the tag where the search stands
+    assert align("x" * 15 + "abab", ["ab"], 19) == [17] and align("abc", ["q", "b"], 3) == [0, 1]
+    rng = random.Random(8)
+    for _ in range(2000):
+        text = "".join(rng.choice("aab ") for _ in range(rng.randrange(0, 90)))
+        tokens = [rng.choice(["", "##", "▁"]) + "".join(rng.choice("aabc") for _ in range(rng.randrange(0, 4))) for _ in range(rng.randrange(0, 25))] + rng.choice([[], ["[SEP]"], ["[UNK]", "a"]])
+        size = rng.choice([len(text), len(text) // 2])
+        assert align(text, tokens, size) == plain_alignment(text, tokens, size)
+    rows = spark.createDataFrame([(["F", "##16"], "F16", ["B-X", "I-X", "I-X"]), (None, "a", ["O"])], "k array<string>, text string, tags array<string>")
+    assert [r[0] for r in rows.select(annotation.token_tags(F.col("k"), F.col("text"), F.col("tags"))).collect()] == [["B-X", "I-X"], None]
+
+
+def test_token_tags_of_whole_texts(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["tags"] for r in registry.queries()["token_tags"](spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r["text"]}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        if len(t) < 5000:
+            tags = [f"{'B' if k % 3 == 0 else 'I'}-{k % 11}" for k in range(len(t))]
+            want = ["O" if p is None else tags[p] for p in plain_alignment(t, re.findall(r"[^ \t\n\x0b\f\r]+", t), len(t))]
+            assert got[i] == " ".join(want)
+
+
+def test_entities_are_as_long_as_their_characters(spark):
+    rows = [(["F16", "is", "F", "##1", "x"], ["B-P", "O", "B-P", "I-P", "B-P"])]
+    df = spark.createDataFrame(rows, "k array<string>, tags array<string>")
+    got = df.select(annotation.decode(F.col("tags"), 2, F.col("k")).alias("e")).first()["e"]
+    assert [tuple(e) for e in got] == [(0, 1, "P"), (2, 2, "P")]
+
+
+def test_containers_are_divisions():
+    assert H.page_text('<span id="content">menu</span><div id="bodyContent">real</div>') == "real"
+    assert H.page_text('<div id="x content">no</div><div class="a mw-body-content">yes</div>') == "yes"
+    assert H.page_text('<header><div id="content">h</div></header><body>b</body>') == "b"
 
 
 def test_metrics(spark):
