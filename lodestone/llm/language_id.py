@@ -151,17 +151,22 @@ def fit(texts: list[str], labels: list[str], *, epochs: int = 3, alpha: float =
     return Model(langs, (w * idf[:, None]).astype(np.float32), bias, best)
 
 
-def training_rows(docs: DataFrame, learnable: Column, *, rows_per_language: int, max_rows: int) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows: ids are picked first, texts follow for these alone."""
+def training_rows(docs: DataFrame, learnable: Column, *, rows_per_language: int, max_rows: int, max_bytes: int = 64_000_000) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled rows: ids are picked first, texts follow for these alone. Texts of more than a
+    64th of ``max_bytes``, and rows beyond ``max_bytes`` in all, teach nothing; they are judged all the same."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = docs.where(learnable & F.col("lang").isNotNull()).select("doc_id", "lang", order.alias("o"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    learnable = learnable & F.col("lang").isNotNull() & (size <= max_bytes // 64)
+    ids = docs.where(learnable).select("doc_id", "lang", order.alias("o"), size.cast("long").alias("size"))
     # of a language with many rows only the smallest hashes, three times as many as are picked, go to the task that picks
     often = ids.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), F.lit(3.0 * rows_per_language) / F.count(F.lit(1))).alias("share"))
     low = (F.col("o").cast("double") / F.lit(float(2**64))) + 0.5 <= F.col("share")
-    ids = ids.join(F.broadcast(often) if often.count() <= 100_000 else often, F.col("lang") == F.col("of")).where(low).select("doc_id", "lang", "o")
+    ids = ids.join(F.broadcast(often) if often.count() <= 100_000 else often, F.col("lang") == F.col("of")).where(low).select("doc_id", "lang", "o", "size")
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("r") <= rows_per_language)
-    ids = ids.orderBy("r", "lang").limit(max_rows).select("doc_id").distinct()
-    got = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    ids = ids.orderBy("r", "lang").limit(max_rows)
+    # at most max_rows rows
+    ids = ids.withColumn("sum", F.sum("size").over(Window.orderBy("r", "lang", "doc_id"))).where(F.col("sum") <= max_bytes).select("doc_id").distinct()
+    got = docs.where(learnable & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     got = got.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "doc_id", "lang", "text").limit(max_rows).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
@@ -173,12 +178,14 @@ def train(docs: DataFrame, learnable: Column | None = None, *, rows_per_language
 
 def predictor(spark: SparkSession, model: Model):
     """A column function text -> struct(lang, score)."""
-    shared = spark.sparkContext.broadcast(model)
+    # plain values: a class would be looked up by name on executors, which need not have this package
+    shared = spark.sparkContext.broadcast((model.langs, model.weights, model.bias, model.temperature))
 
     @F.pandas_udf("lang string, score double")
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(*shared.value)
         for texts in batches:
-            names, scores = shared.value.predict([None if t is None or t != t else t for t in texts.tolist()])
+            names, scores = model.predict([None if t is None or t != t else t for t in texts.tolist()])
             yield pd.DataFrame({"lang": names, "score": scores})
 
     return language

@@ -74,9 +74,14 @@ def kmeans(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np
     return centres
 
 
-def nearest_lists(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    d = (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+def nearest_lists(x: np.ndarray, centres: np.ndarray, n: int, cells: int = 2_000_000) -> np.ndarray:
+    """The ``n`` nearest centres of each row, nearest first; rows are taken in blocks of at most ``cells`` distances."""
+    squares, out = (centres * centres).sum(1)[None, :], np.empty((len(x), min(n, len(centres))), dtype=np.int64)
+    step = max(1, cells // max(1, len(centres)))
+    for at in range(0, len(x), step):
+        d = squares - 2.0 * (x[at : at + step] @ centres.T)
+        out[at : at + step] = d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def scan(q: np.ndarray, columns: list[np.ndarray], bound: float, k: int, own: np.ndarray, epsilon: float, slack: float) -> tuple[np.ndarray, np.ndarray]:

@@ -70,15 +70,16 @@ def page_record(page_id, url, payload: bytes, refers_to, length: int, digest: st
 
 def members(stream, size: int = 1 << 16) -> Iterator[bytes]:
     """The decompressed gzip members of a stream, one at a time."""
-    z, out = zlib.decompressobj(31), bytearray()
+    z, out, begun = zlib.decompressobj(31), bytearray(), False
     while data := stream.read(size):
         while data:
             out += z.decompress(data)
-            data = b""
+            data, begun = b"", True
             if z.eof:
                 yield bytes(out)
-                data, z, out = z.unused_data, zlib.decompressobj(31), bytearray()
-    if out or not z.eof and z.unconsumed_tail:
+                data, z, out, begun = z.unused_data, zlib.decompressobj(31), bytearray(), False
+    # a member may end before any of its bytes came out
+    if begun:
         raise ValueError("the archive ends within a record")
 
 

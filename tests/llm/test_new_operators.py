@@ -215,3 +215,124 @@ def test_op13_against_sql(spark):
     for t in ("documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS FROM '{DIR}/{t}.parquet'")
     assert sorted(tuple(r) for r in queries.op13_filter_audit(spark, DIR).collect()) == sorted(con.execute(filter_audit.ORACLE).fetchall())
+
+
+def test_archives_that_end_within_a_member():
+    import gzip
+    import io
+
+    from lodestone.llm import warc
+
+    good = gzip.compress(b"abc" * 50)
+    assert list(warc.members(io.BytesIO(good + good))) == [b"abc" * 50] * 2
+    for n in (1, 5, 11, len(good) - 1):
+        with pytest.raises(ValueError):
+            list(warc.members(io.BytesIO(good + good[:n])))
+
+
+def test_nearest_centres_in_blocks_of_rows():
+    from lodestone.llm import vectors
+
+    rng = np.random.default_rng(1)
+    x, centres = rng.standard_normal((300, 5)), rng.standard_normal((40, 5))
+    d = ((x[:, None] - centres[None]) ** 2).sum(2)
+    for n in (1, 7, 99):
+        assert (vectors.nearest_lists(x, centres, n, cells=400) == np.argsort(d, axis=1, kind="stable")[:, :n]).all()
+
+
+def test_training_rows_are_bounded_in_bytes(spark):
+    from lodestone.llm import language_id
+
+    rows = [(i, "wort " * 20 if i % 2 else "word " * 20, "de" if i % 2 else "en", "s") for i in range(40)] + [(99, "x" * 5000, "en", "s")]
+    df = spark.createDataFrame(rows, DOCS)
+    texts, _ = language_id.training_rows(df, F.lit(True), rows_per_language=100, max_rows=100, max_bytes=64_000)
+    assert len(texts) == 40
+    texts, _ = language_id.training_rows(df, F.lit(True), rows_per_language=100, max_rows=100, max_bytes=1_000)
+    assert not texts
+    texts, langs = language_id.training_rows(df, F.lit(True), rows_per_language=100, max_rows=30, max_bytes=64_000)
+    assert len(texts) == 30 and set(langs) == {"de", "en"}
+
+
+def plain_ftrl(rows, langs, epochs, alpha, beta, l1, l2, seed):
+    """One coordinate at a time, from the published update rule; features are dictionaries of (feature: share)."""
+    import math
+
+    train = [r for i, r in enumerate(rows) if i % 5]
+    df = {}
+    for x, _ in train:
+        for f in x:
+            df[f] = df.get(f, 0) + 1
+    idf = lambda f: math.log((1 + len(train)) / (1 + df.get(f, 0))) + 1
+    z, n = {}, {}
+
+    def weight(key, l1, l2):
+        if abs(z.get(key, 0.0)) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(train)):
+            x, y = train[k]
+            x = {None: 1.0, **{f: v * idf(f) * 64.0 for f, v in x.items()}}
+            w = {(f, c): weight((f, c), l1, l2) for f in x for c in range(len(langs))}
+            s = [sum(v * w[f, c] for f, v in x.items()) for c in range(len(langs))]
+            e = [math.exp(v - max(s)) for v in s]
+            for f, v in x.items():
+                for c in range(len(langs)):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    key = (f, c)
+                    sigma = (math.sqrt(n.get(key, 0.0) + g * g) - math.sqrt(n.get(key, 0.0))) / alpha
+                    z[key] = z.get(key, 0.0) + g - sigma * w[key]
+                    n[key] = n.get(key, 0.0) + g * g
+    return {key: weight(key, l1, l2) * (1 if key[0] is None else idf(key[0])) for key in z}
+
+
+def test_training_against_plain_loops():
+    from lodestone.llm import language_id
+
+    rng = random.Random(5)
+    vocabulary = {"de": "der die das und nicht ist".split(), "en": "the and not is of it".split(), "fr": "le la et est pas de".split()}
+    labels = [rng.choice(sorted(vocabulary)) for _ in range(30)]
+    texts = [" ".join(rng.choices(vocabulary[y], k=6)) for y in labels]
+    options = {"epochs": 2, "alpha": 0.3, "beta": 1.0, "l1": 1e-3, "l2": 1e-2, "seed": 4}
+    model = language_id.fit(texts, labels, **options)
+    rows = [(dict(zip(*(a.tolist() for a in language_id.counts(t)), strict=True)), model.langs.index(y)) for t, y in zip(texts, labels, strict=True)]
+    want = plain_ftrl(rows, model.langs, **options)
+    assert len(want) > 300
+    for (f, c), w in want.items():
+        if f is None:
+            assert model.bias[c] == pytest.approx(w, abs=1e-9)
+        else:
+            assert model.weights[f, c] == pytest.approx(w, rel=1e-4, abs=1e-6)
+
+
+def test_python_workers_need_no_installed_package(tmp_path):
+    """Language ID outside the repository's folder, without PYTHONPATH: only the driver can import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(queries.__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "c")!r}).getOrCreate()
+from lodestone.llm import language_id, queries, runs
+from lodestone.operators import lexical_index
+model = language_id.fit(["der die das"] * 5 + ["the and of"] * 5, ["de"] * 5 + ["en"] * 5)
+df = spark.createDataFrame([(1, "the the"), (2, "a b c " * 20)], "doc_id long, text string")
+assert df.select(language_id.predictor(spark, model)(F.col("text")).alias("p")).first()[0]["lang"] == "en"
+assert runs.find_runs(df).count() == 2
+index = lexical_index.build(df, "doc_id", {{"text": F.col("text")}}, {str(tmp_path / "i")!r})
+assert index.search(df, "doc_id", F.col("text"), 1).count() == 2
+assert queries.op13_filter_audit(spark, {DIR!r}).count() > 0
+spark.stop()
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-3000:]
