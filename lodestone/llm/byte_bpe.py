@@ -132,7 +132,7 @@ def frequent_words(docs: DataFrame, ranks: Column, pattern: str, count: int, sam
     return {r["word"]: r["ids"] for r in found.collect()}
 
 
-def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, *, into: str = "ids", cached_words: int = 300_000, sample_rows: int = 50_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, *, into: str = "ids", cached_words: int = 150_000, sample_rows: int = 50_000) -> DataFrame:
     """``docs`` and the ids of its ``text`` as an array of int in a new column (``into``, or a name that does not clash)."""
     name, = fresh(docs, into)
     tokens = {token.decode("latin-1"): rank for token, rank in ranks.items()}
