@@ -96,7 +96,7 @@ def periodic_tail(text: Column, doc_id: Column) -> Column:
 
 def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic_tail(F.col("text"), F.col("doc_id")).alias("text"))
-    found = runs.find_runs(docs).select("doc_id", "periodic.*")
+    found = runs.find_runs(docs, keep_text=False).select("doc_id", "periodic.*")
     best = runs.longest_exponent(F.col("runs"))
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     text = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")

@@ -26,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import fresh, slices
 
 MIN_LENGTH, MIN_EXPONENT = 24, 3
-FOUND = "struct<runs: array<struct<start: bigint, length: bigint, period: bigint>>, collapsed: string>"
+RUN = StructType([StructField(name, LongType()) for name in ("start", "length", "period")])
+FOUND = StructType([StructField("runs", ArrayType(RUN)), StructField("collapsed", StringType())])
 
 
 def automaton(x: Sequence[int]) -> tuple[list[dict], list[int]]:
@@ -173,7 +175,7 @@ def areas(words: list[list[bytes]], min_length: int, size: int) -> Iterator[tupl
     ends = np.repeat(starts + lengths, lengths)
     key = np.zeros(n, dtype=np.uint64)
     odd = np.uint64(0x9E3779B97F4A7C15)
-    for k in range(size):
+    for k in range(min(size, n)):
         key *= odd
         key[:n - k] += h[k:]
         key ^= key >> np.uint64(29)
@@ -216,29 +218,32 @@ def found_in(texts: list, min_length: int, min_exponent: int) -> tuple[list[list
     return [[{"start": s, "length": e - s, "period": p} for s, e, p in rs] for rs in found], [b" ".join(w) for w in words]
 
 
-def finder(min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT):
-    @F.arrow_udf(FOUND)
-    def find(text: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        rs: list[list[dict]] = []
-        left: list[bytes] = []
-        for a, b in slices(texts):
-            r, c = found_in(texts[a:b], min_length, min_exponent)
-            rs += r
-            left += c
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(rs, kind), pa.array(left, pa.binary()).cast(pa.string())], ["runs", "collapsed"])
+def finder(at: int, min_length: int, min_exponent: int, keep_text: bool):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in slices(texts):
+                rs, left = found_in(texts[a:b], min_length, min_exponent)
+                new = pa.StructArray.from_arrays([pa.array(rs, kind), pa.array(left, pa.binary()).cast(pa.string())], ["runs", "collapsed"])
+                columns = [c.slice(a, b - a) for i, c in enumerate(batch.columns) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([*columns, new], [str(i) for i in range(len(columns) + 1)])
 
     return find
 
 
-def find_runs(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT, into: str = "periodic") -> DataFrame:
-    """``docs`` and a new last column: struct of ``runs`` (start, length, period; words from 0, by start and period) and ``collapsed`` text.
+def find_runs(docs: DataFrame, *, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT, into: str = "periodic", keep_text: bool = True) -> DataFrame:
+    """``docs`` (without ``text`` if it is not to be kept) and a new last column: struct of ``runs`` (start, length, period; words from 0, by
+    start and period) and ``collapsed`` text.
 
     Collapsing drops the words that any run holds after its first period.
     """
     name, = fresh(docs, into)
-    return docs.withColumn(name, finder(min_length, min_exponent)(F.col("text")))
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    numbered = docs.toDF(*[str(i) for i in range(len(docs.columns))])
+    schema = StructType([*[StructField(str(i), f.dataType) for i, f in enumerate(kept)], StructField(str(len(kept)), FOUND)])
+    return numbered.mapInArrow(finder(docs.columns.index("text"), min_length, min_exponent, keep_text), schema).toDF(*[f.name for f in kept], name)
 
 
 def longest_exponent(found: Column) -> Column:
