@@ -227,20 +227,13 @@ class LexicalIndex:
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("segment").isin(list(segments)))
         return rows if len(buckets) >= self.buckets else rows.where(F.col("bucket").isin(list(buckets)))
 
-    def search(
-        self, queries: DataFrame, query_id: str, query: Column, k: int, *, boosts: Mapping[str, float] | None = None, how: str = "best",
-        search_analyzers: Mapping[str, Analyzer] | None = None, broadcast_terms: int = 500_000, postings_per_task: int = 2_000_000,
-    ) -> DataFrame:
-        """(query_id, id, score, field, rank): the k best of an OR of the query's distinct terms over the fields named in ``boosts`` (default: all, by 1).
-
-        how: ``best`` takes the best field's score, ``sum`` adds the fields' scores; ``field`` is the best one, the first at ties.
-        """
+    def _weighed(self, queries: DataFrame, query_id: str, query: Column, boosts: Mapping[str, float] | None, search_analyzers: Mapping[str, Analyzer] | None, broadcast_terms: int):
+        """Fields, their mean lengths, segments, buckets, whether the terms are few, the terms, their weights (with df), and the weights of each query's terms; None without a field."""
         boosts = dict(boosts or {f: 1.0 for f in self.analyzers})
         segments, stats = self.stats()
         fields = [f for f in boosts if stats[f][0]]
-        empty = self.spark.createDataFrame([], "query_id long, id long, score double, field string, rank int")
         if not fields:
-            return empty
+            return None
         use = {**self.analyzers, **(search_analyzers or {})}
         asked = None
         for i, f in enumerate(fields):
@@ -256,10 +249,47 @@ class LexicalIndex:
         boost = F.element_at(F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(float(boosts[f])))]), F.col("field"))
         weight = boost * F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1)
         df = cut(df.select("field", "term", "df", weight.alias("weight")))
+        return fields, {i: stats[f][1] for i, f in enumerate(fields)}, segments, buckets, few, terms, df, asked.join(sent(df), ["field", "term"])
+
+    def score_pairs(
+        self, pairs: DataFrame, docs: DataFrame, id_col: str, texts: Mapping[str, Column], queries: DataFrame, query_id: str, query: Column, *,
+        boosts: Mapping[str, float] | None = None, how: str = "best", search_analyzers: Mapping[str, Analyzer] | None = None, broadcast_terms: int = 500_000, broadcast_pairs: int = 1_000_000,
+    ) -> DataFrame:
+        """(query_id, id, score) of given pairs by the index' statistics, from the documents' own texts; pairs that do not match are left out."""
+        known = self._weighed(queries, query_id, query, boosts, search_analyzers, broadcast_terms)
+        if known is None:
+            return self.spark.createDataFrame([], "query_id long, id long, score double")
+        fields, means, *_, asked = known
+        pairs = cut(pairs.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("id")).distinct())
+        sent = F.broadcast if pairs.count() <= broadcast_pairs else (lambda x: x)
+        some = docs.withColumn("_id", F.col(id_col).cast("long")).join(sent(pairs.select(F.col("id").alias("_id")).distinct()), "_id", "left_semi")
+        parts = None
+        for i, f in enumerate(fields):
+            rows = some.select(F.col("_id").alias("id"), F.monotonically_increasing_id().alias("row"), self.analyzers[f](texts[f]).alias("t")).where(F.size("t") > 0)
+            rows = rows.select("id", "row", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "row", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+            of = rows.join(sent(pairs), "id").join(asked.where(F.col("place") == i).select("query_id", "term", "weight"), ["query_id", "term"])
+            part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(means[i])))
+            of = of.groupBy("query_id", "id", "row").agg(F.sum(part).alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+            parts = of if parts is None else parts.unionByName(of)
+        return parts.groupBy("query_id", "id").agg(F.round((F.max if how == "best" else F.sum)("score"), DIGITS).alias("score"))
+
+    def search(
+        self, queries: DataFrame, query_id: str, query: Column, k: int, *, boosts: Mapping[str, float] | None = None, how: str = "best",
+        search_analyzers: Mapping[str, Analyzer] | None = None, broadcast_terms: int = 500_000, postings_per_task: int = 2_000_000,
+    ) -> DataFrame:
+        """(query_id, id, score, field, rank): the k best of an OR of the query's distinct terms over the fields named in ``boosts`` (default: all, by 1).
+
+        how: ``best`` takes the best field's score, ``sum`` adds the fields' scores; ``field`` is the best one, the first at ties.
+        """
+        known = self._weighed(queries, query_id, query, boosts, search_analyzers, broadcast_terms)
+        if known is None:
+            return self.spark.createDataFrame([], "query_id long, id long, score double, field string, rank int")
+        fields, means, segments, buckets, few, terms, df, asked = known
+        sent = F.broadcast if few else (lambda x: x)
         postings = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // 20_000)), -(-postings // postings_per_task))
         key = F.concat(F.col("place").cast("string"), F.lit(":"), F.col("term"))
-        weighed = asked.join(sent(df) if few else df, ["field", "term"]).select("query_id", key.alias("key"), "weight").groupBy("query_id").agg(
+        weighed = asked.select("query_id", key.alias("key"), "weight").groupBy("query_id").agg(
             F.collect_list(F.struct("key", "weight")).alias("w")).select("query_id", F.col("w.key").alias("keys"), F.col("w.weight").alias("weights"))
         places = F.element_at(F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))]), F.col("field"))
         rows = self._stored("postings", POSTINGS, segments, buckets).join(sent(terms.drop("bucket")), ["field", "term"], "left_semi").withColumn("place", places)
@@ -268,7 +298,6 @@ class LexicalIndex:
             F.xxhash64("segment", "range").alias("range"), key.alias("key"), F.col("place").alias("field_no"), "n", "max_tf", "min_length", "ids", "spots", "tfs", "lengths")
         rows = rows.withColumn("p", F.pmod("range", F.lit(parts)))
         to_all = weighed.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        means = {i: stats[f][1] for i, f in enumerate(fields)}
         hits = rows.groupBy("p").cogroup(to_all.groupBy("p")).applyInArrow(scorer(k, how, means), HITS)
         from .search import top_k
 

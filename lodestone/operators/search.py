@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lineage import cut
+from .vector_index import exact
 
 Analyzer = Callable[[Column], Column]
 K1, B = 1.2, 0.75
-#: Rounding of matrix products: scores closer than this are ties, decided by id.
-DIGITS = 12
-
 
 def top_k(hits: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each ``by`` with their ``rank``; Spark prunes to k per task before the shuffle."""
@@ -43,12 +39,12 @@ def bm25(
 ) -> DataFrame:
     """(query_id, id, score) of all matching documents of one field: an OR of the query's distinct terms.
 
-    Only terms that a query holds leave the documents: up to ``broadcast_terms`` of them go to the documents,
+    Only terms that a query holds leave the documents: up to ``broadcast_terms`` (query, term) rows go to the documents,
     and (document, term, count) rows are aggregated before they are moved. Analyzers of both sides are parameters.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct((search_analyzer or analyzer)(query))).alias("term"))
     terms = asked.select("term").distinct()
-    few = terms.count() <= broadcast_terms
+    few = asked.count() <= broadcast_terms
     sent = F.broadcast if few else (lambda x: x)
     rows = docs.select(F.col(id_col).alias("id"), analyzer(text).alias("t")).where(F.size("t") > 0)
     # one row
@@ -81,67 +77,20 @@ def search_fields(
     return hits.groupBy("query_id", "id").agg((F.max if how == "best" else F.sum)("score").alias("score"), best)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=-1, keepdims=True)
-    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
-
-
-def _stack(column: pd.Series, dim: int) -> np.ndarray:
-    """(rows, dim) of unit vectors; a row of NaN for a null, a wrong length or a zero vector."""
-    return _unit(np.array([v if v is not None and len(v) == dim else [np.nan] * dim for v in column], dtype=np.float64).reshape(-1, dim))
-
-
 def fused_knn(
     queries: DataFrame, vectors: DataFrame, *, id_col: str, fields: Mapping[str, Column], query_fields: Mapping[str, Column], k: int,
     exclude_self: bool = True, block: int = 2048,
 ) -> DataFrame:
-    """Exact top-k by the best cosine over several fields: (query_id, id, score, field, rank), in one pass over the vectors per query block.
+    """Exact top-k by the best cosine over several fields: (query_id, id, score, field, rank).
 
-    ``queries`` (query_id and what ``query_fields`` needs) are searched in blocks of ``block`` rows: a block goes to all tasks, a
-    task multiplies it with its vectors and keeps k rows per query. The first field wins ties; score ties go to the
-    smaller id. Null and zero vectors never match. Ids are whole numbers.
+    ``queries`` (query_id and what ``query_fields`` needs) in blocks of ``block`` rows meet blocks of vectors where these lie; k rows per query leave a
+    task. The first field wins ties; score ties go to the smaller id. Null and zero vectors never match. Ids are whole numbers.
     """
-    spark, names = vectors.sparkSession, list(fields)
-    asked = queries.select("query_id", *[query_fields[n].cast("array<double>").alias(n) for n in names])
-    total = asked.count()
-    parts = max(1, -(-total // block))
-    data = vectors.select(F.col(id_col).cast("long").alias("id"), *[c.cast("array<double>").alias(n) for n, c in fields.items()])
-    out = spark.createDataFrame([], "query_id long, id long, score double, place int")
-    found = None
-    for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        dims = {n: max((len(r[n]) for r in rows if r[n] is not None), default=1) for n in names}
-        ask = {n: _stack(pd.Series([r[n] for r in rows]), dims[n]) for n in names}
-        shared = spark.sparkContext.broadcast((ids, ask, dims))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, ask, dims = shared.value
-            held = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0), "place": np.zeros(0, np.int32)})
-            for x in batches:
-                for at in range(0, len(x), 4096):
-                    p = x.iloc[at : at + 4096]
-                    of = p["id"].to_numpy(np.int64)
-                    each = np.stack([np.nan_to_num(ask[n] @ _stack(p[n], dims[n]).T, nan=-np.inf) for n in names])
-                    each = np.round(each, DIGITS)
-                    place, score = each.argmax(0), each.max(0)
-                    if exclude_self:
-                        score[ids[:, None] == of[None, :]] = -np.inf
-                    keep = min(k, score.shape[1])
-                    # ties with the k-th best stay for the sort by id
-                    kth = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                    q, c = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
-                    more = pd.DataFrame({"query_id": ids[q], "id": of[c], "score": score[q, c], "place": place[q, c].astype(np.int32)})
-                    held = pd.concat([held, more]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-            yield held
-
-        hits = data.mapInPandas(run, out.schema)
-        found = hits if found is None else found.unionByName(hits)
-    best = top_k(out if found is None else found, "query_id", "score", "id", k)
+    names = list(fields)
+    side = lambda df, key, of: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *[of[n].cast("array<double>").alias(f"f{i}") for i, n in enumerate(names)])
+    found = exact(side(queries, "query_id", query_fields), side(vectors, id_col, fields), len(names), k, exclude_self=exclude_self, block=block)
     field = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1)
-    return best.select("query_id", "id", "score", field.alias("field"), "rank")
+    return top_k(found, "query_id", "score", "id", k).select("query_id", "id", "score", field.alias("field"), "rank")
 
 
 def knn(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, exclude_self: bool = True) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import evaluate, models, search
+from ..operators import evaluate, lexical_index, models, search, vector_index
+from ..operators.lineage import cut, scratch
 from . import catalog_entities, catalog_ner, catalog_records, catalog_text  # noqa: F401
 from .registry import query
 from .tables import STANDARD, TOKENS, read
@@ -49,6 +50,23 @@ def knn_join_batch(spark, d):
     return _rounded(hits)
 
 
+@query(knn_sql(10))
+def knn_index_whole(spark, d):
+    """The stored vector index asked for as many candidates as there are rows, built of half of them and appended to: exact."""
+    emb = read(spark, d, "embeddings")
+    index = vector_index.build(emb.where("vec_id % 2 = 1"), "vec_id", "embedding", scratch(spark, "vectors"))
+    index.append(emb.where("vec_id % 2 = 0"), "vec_id", "embedding")
+    return _rounded(index.search(asked(emb), "query_id", F.col("query"), 10, num_candidates=emb.count(), exclude_self=True))
+
+
+@query()
+def knn_index(spark, d):
+    """The stored vector index as measured when it was built; the tests hold its recall against brute force."""
+    emb = read(spark, d, "embeddings")
+    index = vector_index.build(emb, "vec_id", "embedding", scratch(spark, "vectors"))
+    return _rounded(index.search(asked(emb), "query_id", F.col("query"), 10, exclude_self=True))
+
+
 def ranks_sql(knn: str) -> str:
     return f"""(SELECT q.vec_id AS query_id, min(CASE WHEN e.label = q.label THEN k.rank END) AS rank
   FROM embeddings q JOIN ({knn}) k ON k.query_id = q.vec_id JOIN embeddings e ON e.vec_id = k.id GROUP BY q.vec_id)"""
@@ -150,13 +168,38 @@ SELECT query_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf
 FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, id)"""
 
 
+def top_sql(hits: str, k: int) -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {hits} QUALIFY rank <= {k})"
+
+
+def _index(df: DataFrame, id_col: str, texts: dict) -> lexical_index.LexicalIndex:
+    """A stored index of the given fields in a fresh shared folder."""
+    return lexical_index.build(df, id_col, texts, scratch(df.sparkSession, "index"))
+
+
 @query(f"SELECT query_id, id, round(score, 6) AS score FROM {bm25_parts('documents', 'doc_id', 'text')}")
-def bm25_match(spark, d):
-    """Every benchmark item as a query against all documents."""
+def bm25_all_matches(spark, d):
+    """Every benchmark item as a query against all documents; every match with its score."""
     hits = search.bm25(read(spark, d, "documents"), "doc_id", F.col("text"), read(spark, d, "benchmark"), "item_id", F.col("text"))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT query_id, id, round(score, 6) AS score, rank FROM {top_sql(bm25_parts('documents', 'doc_id', 'text'), 10)}")
+def bm25_match(spark, d):
+    """Every benchmark item as a query: the ten best documents from the stored index."""
+    hits = _index(read(spark, d, "documents"), "doc_id", {"text": F.col("text")}).search(read(spark, d, "benchmark"), "item_id", F.col("text"), 10)
+    return _rounded(hits)
+
+
+@query(f"SELECT query_id, id, round(score, 6) AS score, rank FROM {top_sql(bm25_parts('documents', 'doc_id', 'text'), 3)}")
+def bm25_appended(spark, d):
+    """The same from an index that was built of half the documents and appended to."""
+    docs = read(spark, d, "documents")
+    index = _index(docs.where("doc_id % 2 = 0"), "doc_id", {"text": F.col("text")})
+    index.append(docs.where("doc_id % 2 <> 0"), "doc_id", {"text": F.col("text")})
+    return _rounded(index.search(read(spark, d, "benchmark"), "item_id", F.col("text"), 3))
+
+
 CJK_TEXT = "CASE WHEN doc_id % 3 = 0 THEN '東風-' || doc_id % 7 || '導彈和' || source WHEN doc_id % 3 = 1 THEN '坦克導彈 ' || lang ELSE source || ' 東' END"
 CJK_QUERIES = "(SELECT 0 AS query_id, '東風導彈' AS text UNION ALL SELECT 1, '導彈 SRC3' UNION ALL SELECT 2, '坦克')"
 
@@ -202,6 +245,13 @@ def fields_sql(fields: dict[str, float], how: str) -> str:
     return f"""(SELECT query_id, id, {how}(score) AS score, arg_max(field, round(score, 9) * 1000 - place) AS field FROM ({part}) GROUP BY query_id, id)"""
 
 
+def _searched(spark, d, boosts: dict[str, float], how: str, k: int, index: lexical_index.LexicalIndex | None = None) -> DataFrame:
+    """The k best parts of each asked one, from the stored index."""
+    part, asked, texts = _parts(spark, d)
+    index = index or _index(part, "p_partkey", texts)
+    return index.search(asked, "query_id", F.col("text"), k, boosts=boosts, how=how)
+
+
 def _fields(spark, d, boosts: dict[str, float], how: str) -> DataFrame:
     part, asked, texts = _parts(spark, d)
     return search.search_fields(part, "p_partkey", {n: (texts[n], b) for n, b in boosts.items()}, asked, "query_id", F.col("text"), how=how)
@@ -227,10 +277,6 @@ def bm25_best_fields_with_content(spark, d):
     return _fields(spark, d, WIDE, "best").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-def top_sql(hits: str, k: int) -> str:
-    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {hits} QUALIFY rank <= {k})"
-
-
 def _top(hits: DataFrame, k: int) -> DataFrame:
     return search.top_k(hits.withColumn("score", F.round("score", 9)), "query_id", "score", "id", k)
 
@@ -239,28 +285,31 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY query_id, p_name ORDER BY rank) AS n FROM {top_sql(fields_sql(SHOULD, 'sum'), 50)} JOIN part ON p_partkey = id) WHERE n = 1""")
 def search_distinct_links(spark, d):
     """Label and alias search; of hits with one link (here: the name) the best stays."""
-    hits = _top(_fields(spark, d, SHOULD, "sum"), 50)
+    hits = _searched(spark, d, SHOULD, "sum", 50)
     named = hits.join(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("link")), "id")
     return search.first_per(named.select("query_id", "link", "id", "rank"), "query_id", "link")
 
 
 HYBRID_VECTOR = f"""(SELECT query_id, id, (1 + score) / 2 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings e ON true WHERE q.vec_id % {EVERY} = 0)) WHERE n <= 5)"""
-HYBRID_QUERIES = f"SELECT doc_id AS query_id, substr(text, 1, 200) AS text FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id < (SELECT count(*) FROM embeddings)"
+HYBRID_QUERIES = f"SELECT doc_id AS query_id, text FROM documents WHERE doc_id % {EVERY} = 0"
 
 
 @query(f"""WITH lex AS {bm25_parts('documents', 'doc_id', 'text', queries=HYBRID_QUERIES)}, vec AS {HYBRID_VECTOR}
 SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT query_id, id, round(coalesce(lex.score, 0) + coalesce(vec.score, 0), 9) AS score FROM lex FULL JOIN vec USING (query_id, id))) WHERE rank <= 10""")
+  SELECT query_id, id, round(round(coalesce(lex.score, 0), 9) + coalesce(vec.score, 0), 9) AS score FROM lex FULL JOIN vec USING (query_id, id))) WHERE rank <= 10""")
 def hybrid_lexical_vector(spark, d):
-    """Text scores plus the scores of each query's five nearest vectors; a query is the start of a document and its vector."""
+    """Text scores plus the scores of each query's five nearest vectors; a query is a whole document and the vector of its number.
+
+    A document among the ten best by the sum is one of the five, or among the fifteen best by its text.
+    """
     docs, emb = read(spark, d, "documents"), read(spark, d, "embeddings")
-    q = docs.where((F.col("doc_id") % EVERY == 0) & (F.col("doc_id") < emb.count())).select("doc_id", F.left("text", F.lit(200)).alias("text"))
-    lexical = search.bm25(docs, "doc_id", F.col("text"), q, "doc_id", F.col("text"))
-    near = search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=5, exclude_self=False)
-    vector = near.select("query_id", "id", V.search_score(F.col("score")).alias("score"))
-    both = search.hybrid(lexical, vector, k=200)
-    return _rounded(_top(both.drop("rank"), 10))
+    q = docs.where(F.col("doc_id") % EVERY == 0).select("doc_id", "text")
+    index = _index(docs, "doc_id", {"text": F.col("text")})
+    near = cut(search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=5, exclude_self=False).select("query_id", "id", V.search_score(F.col("score")).alias("score")))
+    lexical = index.search(q, "doc_id", F.col("text"), 15).select("query_id", "id", "score")
+    lexical = lexical.unionByName(index.score_pairs(near, docs, "doc_id", {"text": F.col("text")}, q, "doc_id", F.col("text"))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return _rounded(_top(search.hybrid(lexical, near, k=200).drop("rank"), 10))
 
 
 # the retrieval modes: part names as entities, a part's own key as its gold id; vectors by key
@@ -270,8 +319,9 @@ def _retrieve(spark, d, mode, k=30):
     near = lambda n: search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=n, exclude_self=False)
     again = lambda hits: models.rerank(hits, part, "p_partkey", texts["content"], asked_text, F.col("text"))
     gold = asked(emb).select("query_id", F.col("query_id").alias("id"))
+    index = None if mode == "vector_only" else _index(part, "p_partkey", texts)
     return search.retrieve(
-        mode, vector=near, text=lambda n: _top(_fields(spark, d, WIDE, "best"), n), narrow_text=lambda n: _top(_fields(spark, d, NARROW, "best"), n),
+        mode, vector=near, text=lambda n: _searched(spark, d, WIDE, "best", n, index), narrow_text=lambda n: _searched(spark, d, NARROW, "best", n, index),
         rerank=again, gold=gold, gate=0.5, k=k)
 
 
@@ -314,7 +364,7 @@ def evaluate_text_index(spark, d):
     """Text search on one index, judged by the gold link (here: the part's name as an article) in its strict form."""
     part, asked_text, _ = _parts(spark, d)
     link = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.lower(F.replace("p_name", F.lit(" "), F.lit("%20")))).alias("link")
-    hits = _top(_fields(spark, d, WIDE, "best"), 30).join(part.select(F.col("p_partkey").alias("id"), link), "id")
+    hits = _searched(spark, d, WIDE, "best", 30).join(part.select(F.col("p_partkey").alias("id"), link), "id")
     gold = asked_text.select("query_id").join(part.select(F.col("p_partkey").alias("query_id"), link.alias("gold")), "query_id")
     return evaluate.ranking_metrics(evaluate.gold_ranks(hits, gold))
 

@@ -31,6 +31,17 @@ def test_same_hits_as_full_scoring_on_every_benchmark_item(spark, tmp_path, rang
     assert found(index.search(one, "item_id", F.col("text"), 3, postings_per_task=50)) == ranked(search.bm25(docs, "doc_id", F.col("text"), one, "item_id", F.col("text")), 3)
 
 
+def test_scores_of_given_pairs(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    asked = docs.where("doc_id % 50 = 0 AND doc_id < 200").select("doc_id", "text")
+    index = lexical_index.build(docs, "doc_id", {"text": F.col("text")}, str(tmp_path / "i"))
+    full = {(r["query_id"], r["id"]): r["score"] for r in search.bm25(docs, "doc_id", F.col("text"), asked, "doc_id", F.col("text")).collect()}
+    pairs = [(q, i) for q in (0, 50, 100, 150) for i in (3, 17, 60, 10_000)]
+    got = {(r["query_id"], r["id"]): r["score"] for r in index.score_pairs(
+        spark.createDataFrame(pairs, "query_id long, id long"), docs, "doc_id", {"text": F.col("text")}, asked, "doc_id", F.col("text")).collect()}
+    assert got == {p: pytest.approx(full[p], abs=1e-8) for p in pairs if p in full} and len(got) > 6
+
+
 @pytest.mark.parametrize("how", ["best", "sum"])
 def test_fields_with_boosts_in_segments(spark, tmp_path, how):
     part = spark.read.parquet(f"{DIR}/part.parquet")
