@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,29 +42,65 @@ def distinct_json(df: DataFrame, text: str) -> DataFrame:
     return df.select(T.canonical_json(F.col(text)).alias(text)).where(F.col(text).isNotNull()).distinct()
 
 
-def grams(text: Column, n: int = 3) -> Column:
-    """The distinct substrings of 1 to ``n`` characters."""
-    size = F.char_length(text)
-    of = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, n + 1)])))
+def _packs(df: DataFrame, name: str, rows: int, size: int) -> DataFrame:
+    """The strings of a one-column table as rows of up to ``rows`` strings and about ``size`` characters, where they lie."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        length = 0
+        row = lambda texts: pa.record_batch([pa.array([texts], pa.list_(pa.string()))], names=[name])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if held and (len(held) == rows or length + len(text) > size):
+                    yield row(held)
+                    held, length = [], 0
+                held.append(text)
+                length += len(text)
+        if held:
+            yield row(held)
 
-def contained_pairs(short: DataFrame, long: DataFrame, s: str, t: str, threshold: float = 0.0, n: int = 3) -> DataFrame:
+    return df.mapInArrow(pack, f"{name} array<string>")
+
+
+def contained_pairs(short: DataFrame, long: DataFrame, s: str, t: str, threshold: float = 0.0, *, patterns: int = 20_000, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """All pairs (s, t) of distinct strings where the first is part of the second and has at least ``threshold`` of its length.
 
-    Blocked without loss: a string lies within another only if its rarest n-gram does (the string itself, where it
-    is shorter), so each short string is looked up by one gram, the one that the fewest long strings hold.
+    Short strings become Aho-Corasick automata of up to ``patterns`` strings, which run over the long ones where these lie, each long string once
+    per automaton. Strings are moved once, when their copies are dropped; the automata's strings are broadcast if they are known to be small.
     """
     some = lambda df, c: df.select(F.col(c).alias(c)).where(F.coalesce(F.col(c), F.lit("")) != "").distinct()
     a, b = some(short, s), some(long, t)
-    held = b.select(t, F.explode(grams(F.col(t), n)).alias("_g"))
-    often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
-    size = F.least(F.char_length(s), F.lit(n))
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(s) - size + 1), lambda i: F.substring(F.col(s), i, size)))
-    asked = a.select(s, F.explode(own).alias("_g")).join(often, "_g", "left")
-    key = asked.groupBy(s).agg(F.min_by("_g", F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_g")).alias("_g"))
-    pairs = key.join(held, "_g").where(F.contains(t, s) & (F.char_length(s) >= threshold * F.char_length(t)))
-    return pairs.select(s, t)
+    bound = a.agg(F.coalesce(F.sum(F.octet_length(s)), F.lit(0))).first()[0]
+    blocks, texts = _packs(a, "_s", patterns, 1 << 22), _packs(b, "_t", 200_000, 1 << 23)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known: dict[tuple, object] = {}
+        for batch in batches:
+            for words, strings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key = (len(words), words[0], words[-1])
+                if key not in known:
+                    automaton = ahocorasick.Automaton()
+                    for w in words:
+                        automaton.add_word(w, w)
+                    automaton.make_automaton()
+                    known = {**known, key: automaton} if len(known) < 4 else {key: automaton}
+                left: list[str] = []
+                right: list[str] = []
+                for text in strings:
+                    least = threshold * len(text)
+                    found = {w for _, w in known[key].iter(text) if len(w) >= least}
+                    left += found
+                    right += [text] * len(found)
+                    if len(left) > 50_000:
+                        yield pa.record_batch([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["s", "t"])
+                        left, right = [], []
+                yield pa.record_batch([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["s", "t"])
+
+    # an automaton is known by its number of strings and its first and last one, as no string is in two; large packs of texts keep building it cheap
+    pairs = texts.crossJoin(F.broadcast(blocks) if bound <= broadcast_bytes else blocks).select("_s", "_t")
+    return pairs.mapInArrow(search, "s string, t string").toDF(s, t)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, *, above: bool = False) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import dictionary
 from ..functions import html as H
 from ..functions import links as L
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import evaluate, records
+from ..operators import evaluate, lexical_index, records
+from ..operators.lineage import scratch
 from .registry import query
 from .tables import ARTICLE, TOKENS, article, normal, read
 
@@ -394,3 +396,45 @@ def rates(spark, d):
     each = emb.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(total))
     better = evaluate.relative_improvement(F.col("label").cast("double"), F.lit(5.0))
     return each.select("label", F.round(F.coalesce(F.try_divide(F.col("c") * 100.0, "n"), F.lit(0.0)), 6).alias("percent"), F.round(better, 6).alias("improvement"))
+
+
+#: Letters without spaces between words, for texts that have lost theirs.
+LETTERS = r"[^\W\d_]+"
+
+
+def _spaceless(spark, d):
+    """Whole documents and benchmark items in lower case without white space, and the words of the items with their counts as dictionary."""
+    joined = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    items = read(spark, d, "benchmark")
+    words = items.select(F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    docs = read(spark, d, "documents").select("doc_id", joined("text").alias("text"))
+    return docs, items.select("item_id", joined("text").alias("text")), words
+
+
+@query()
+def word_segmentation(spark, d):
+    """Index and search side of dictionary segmentation on whole texts that have lost their spaces. The tests hold it against plain loops."""
+    docs, _, words = _spaceless(spark, d)
+    sides = {side: dictionary.segmenter(words, side, script=LETTERS)(F.col("text")) for side in ("index", "search")}
+    found = docs.select("doc_id", *[c.alias(side) for side, c in sides.items()])
+    return found.select("doc_id", *[x for side in sides for x in (F.size(side).alias(f"{side}_words"), F.md5(F.array_join(side, " ")).alias(f"{side}_md5"))])
+
+
+@query()
+def bm25_segmented(spark, d):
+    """Items without spaces searched in documents without spaces: all dictionary words in the index, the best path in the query."""
+    docs, items, words = _spaceless(spark, d)
+    both = {side: dictionary.segmenter(words, side, script=LETTERS) for side in ("index", "search")}
+    index = lexical_index.build(docs, "doc_id", {"text": F.col("text")}, scratch(spark, "index"), analyzers={"text": both["index"]})
+    hits = index.search(items, "item_id", F.col("text"), 10, search_analyzers={"text": both["search"]})
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def phrase_conversion(spark, d):
+    """Whole documents with the benchmark's word pairs and some letters converted, pairs first. The tests hold it against a plain loop."""
+    words = T.tokens(F.col("text"))
+    pairs = read(spark, d, "benchmark").select(F.explode(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).alias("source"))
+    table = pairs.where("source IS NOT NULL").distinct().select("source", F.upper("source").alias("target"))
+    table = table.unionByName(spark.createDataFrame([("e", "3"), ("th", "þ"), (" ", "_")], "source string, target string"))
+    return read(spark, d, "documents").select("doc_id", F.md5(F.coalesce(dictionary.converter(table)(F.col("text")), F.lit(""))).alias("converted_md5"))
