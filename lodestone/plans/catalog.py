@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import evaluate, lexical_index, models, search, vector_index
+from ..operators import evaluate, lexical_index, prompts, search, vector_index
 from ..operators.lineage import cut, scratch
 from . import catalog_entities, catalog_ner, catalog_records, catalog_text  # noqa: F401
 from .registry import query
@@ -317,7 +317,15 @@ def _retrieve(spark, d, mode, k=30):
     part, asked_text, texts = _parts(spark, d)
     emb = read(spark, d, "embeddings")
     near = lambda n: search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=n, exclude_self=False)
-    again = lambda hits: models.rerank(hits, part, "p_partkey", texts["content"], asked_text, F.col("text"))
+    text = lambda c: c.cast("string")
+    none = F.lit(None).cast("string")
+    # a vector without a part of its number is a candidate without a text
+    ids = emb.select(F.col("vec_id").alias("id")).unionByName(part.select(F.col("p_partkey").alias("id"))).distinct()
+    options = ids.join(part, F.col("id") == F.col("p_partkey"), "left").select(
+        "id", text(texts["label"]).alias("label"), F.array(texts["aliases_zh"]).alias("aliases_zh"), F.array().cast("array<string>").alias("aliases_en"),
+        none.alias("descriptions_zh"), none.alias("descriptions_en"), F.concat(F.lit("https://en.wikipedia.org/wiki/Part_"), text(F.col("id"))).alias("link"))
+    # an offline client that answers prompts by shared words stands in for a language model; prompts, replies and reconciling are the real ones
+    again = lambda hits: prompts.rerank(hits, options, asked_text, "text", prompts.OverlapClient, scratch(spark, "replies"), pause=0.0)
     gold = asked(emb).select("query_id", F.col("query_id").alias("id"))
     index = None if mode == "vector_only" else _index(part, "p_partkey", texts)
     return search.retrieve(
