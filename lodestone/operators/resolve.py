@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -69,23 +70,42 @@ def candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return every.groupBy("q", "ord").agg(best.alias("b")).select("q", "ord", "b.*")
 
 
-def greedy_one_to_one(offers: DataFrame) -> DataFrame:
+def _taken_in_turn(offers: pa.Table) -> pa.Table:
+    """(q, ord) of one group of (q, ord, turn): queries in order each take their first choice that none before them took."""
+    offers = offers.sort_by([("q", "ascending"), ("turn", "ascending")])
+    taken: dict[int, int] = {}
+    done: set[int] = set()
+    for q, o in zip(offers["q"].to_pylist(), offers["ord"].to_pylist(), strict=True):
+        if q not in done and o not in taken:
+            taken[o] = q
+            done.add(q)
+    return pa.table({"q": pa.array(list(taken.values()), offers["q"].type), "ord": pa.array(list(taken), offers["ord"].type)})
+
+
+def greedy_one_to_one(offers: DataFrame, *, group: int = 1000) -> DataFrame:
     """(q, ord): queries in the order of ``q`` each take the first entity of theirs that no earlier one took.
 
     ``offers`` are (q, ord, tier, similarity, place); a query prefers the lower tier, the higher similarity, then the earlier place.
-    Found without walking through the queries one by one: every query asks for its first choice, every entity keeps the earliest
-    query that asks and refuses the others for good, and refused queries ask for their next choice until nobody is refused.
-    As all entities rank queries alike, that is the sequential result.
+    Every entity is held by the earliest query that has asked for it so far. In a round, the queries that hold nothing drop what an earlier query holds, the
+    first ``group`` of those with one first choice settle among themselves in one pass, and each entity goes to the earliest that then asks. As all entities
+    rank queries alike, it does not matter in which order queries ask: what an entity refuses once it refuses for good, so the
+    end is the sequential result. Queries with one preference list take a round for each ``group`` of them. A query that is the n-th of its group needs
+    n choices at most, so a group's rows are bounded by the square of its size, whatever the lists' lengths are.
     """
     turn = Window.partitionBy("q").orderBy("tier", F.desc("similarity"), "place", "ord")
-    left = cut(offers.select("q", "ord", F.row_number().over(turn).alias("turn")))
+    wanted = cut(offers.select("q", "ord", F.row_number().over(turn).alias("turn")))
+    held = wanted.select("q", "ord").limit(0)
     while True:
-        asking = cut(left.groupBy("q").agg(F.min_by("ord", "turn").alias("ord")))
-        kept = asking.groupBy("ord").agg(F.min("q").alias("q"))
-        refused = asking.join(kept, ["ord", "q"], "left_anti")
-        if refused.isEmpty():
-            return asking
-        left = cut(left.join(refused, ["q", "ord"], "left_anti"))
+        holder = held.select("ord", F.col("q").alias("_by"))
+        free = wanted.join(held.select("q"), "q", "left_anti").join(holder, "ord", "left").where(F.col("_by").isNull() | (F.col("_by") > F.col("q"))).select("q", "ord", "turn")
+        first = free.groupBy("q").agg(F.min_by("ord", "turn").alias("first"))
+        asking = first.withColumn("_n", F.row_number().over(Window.partitionBy("first").orderBy("q"))).where(F.col("_n") <= group)
+        asking = cut(asking)
+        if asking.isEmpty():
+            return held
+        choices = free.join(asking, "q").withColumn("_c", F.row_number().over(Window.partitionBy("q").orderBy("turn"))).where(F.col("_c") <= F.col("_n"))
+        found = choices.select("first", "q", "ord", "turn").groupBy("first").applyInArrow(_taken_in_turn, held.schema)
+        held = cut(held.unionByName(found).groupBy("ord").agg(F.min("q").alias("q")).select("q", "ord"))
 
 
 def match(queries: DataFrame, entities: DataFrame) -> DataFrame:
@@ -104,7 +124,8 @@ def method_shares(matched: DataFrame) -> DataFrame:
 
 def reconcile(ranked: Sequence[str], originals: Sequence[str], clean: Callable[[str], str], normal: Callable[[str], str]) -> list[str]:
     """``originals`` in the order of ``ranked`` links: each ranked link takes the first unused original that is equal, equal in normal
-    form, contains it or lies in it, and does so in normal form, in this order of tests; the others follow in their own order."""
+    form, contains it or lies in it, and does so in normal form, in this order of tests; the others follow in their own order. Originals are
+    distinct here: of repeated ones the first counts."""
     cleaned = [(o, clean(o), normal(clean(o))) for o in originals]
     within = lambda a, b: a in b or b in a
     out: list[str] = []

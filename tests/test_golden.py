@@ -212,7 +212,37 @@ def test_greedy_against_a_loop(spark):
         if mine:
             want[q] = mine[0][3]
             used.add(mine[0][3])
-    assert {r["q"]: r["ord"] for r in resolve.greedy_one_to_one(df).collect()} == want
+    for group in (1, 3, 1000):
+        assert {r["q"]: r["ord"] for r in resolve.greedy_one_to_one(df, group=group).collect()} == want
+    assert resolve.greedy_one_to_one(df.limit(0)).count() == 0
+
+
+def test_one_preference_list_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(resolve, "cut", lambda df, cut=resolve.cut: cuts.append(1) or cut(df))
+    n, m = 1500, 1400
+    q, o = spark.range(n).select(F.col("id").alias("q")), spark.range(m).select(F.col("id").alias("ord"))
+    offers = q.crossJoin(o).select("q", "ord", F.lit(1).alias("tier"), F.lit(0.5).alias("similarity"), F.col("ord").alias("place"))
+    got = {r["q"]: r["ord"] for r in resolve.greedy_one_to_one(offers, group=300).collect()}
+    assert got == {i: i for i in range(m)}
+    assert len(cuts) <= 1 + 2 * 7
+
+
+def test_method_shares_against_a_loop(spark):
+    from collections import Counter
+
+    from lodestone.plans import catalog_entities
+
+    folder = "/root/testdata/sf0.001"
+    offers = resolve.candidates(catalog_entities.queries(spark, folder), catalog_entities.entities(spark, folder)).collect()
+    used, methods = set(), Counter()
+    for q in sorted({r["q"] for r in offers}):
+        mine = sorted((r["tier"], -r["similarity"], r["place"], r["ord"], r["method"]) for r in offers if r["q"] == q and r["ord"] not in used)
+        if mine:
+            used.add(mine[0][3])
+            methods[mine[0][4]] += 1
+    got = {r["method"]: (r["n"], r["percent"]) for r in registry.queries()["match_methods"](spark, folder).collect()}
+    assert got == {k: (n, round(100 * n / sum(methods.values()), 6)) for k, n in methods.items()}
 
 
 def test_cascade(spark):
