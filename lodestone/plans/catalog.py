@@ -313,10 +313,10 @@ def hybrid_lexical_vector(spark, d):
 
 
 # the retrieval modes: part names as entities, a part's own key as its gold id; vectors by key
-def _retrieve(spark, d, mode, k=30):
+def _retrieve(spark, d, mode, k=30, near=None, gold=None, gate=0.5):
     part, asked_text, texts = _parts(spark, d)
     emb = read(spark, d, "embeddings")
-    near = lambda n: search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=n, exclude_self=False)
+    near = near or (lambda n: search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=n, exclude_self=False))
     text = lambda c: c.cast("string")
     none = F.lit(None).cast("string")
     # a vector without a part of its number is a candidate without a text
@@ -326,11 +326,11 @@ def _retrieve(spark, d, mode, k=30):
         none.alias("descriptions_zh"), none.alias("descriptions_en"), F.concat(F.lit("https://en.wikipedia.org/wiki/Part_"), text(F.col("id"))).alias("link"))
     # an offline client that answers prompts by shared words stands in for a language model; prompts, replies and reconciling are the real ones
     again = lambda hits: prompts.rerank(hits, options, asked_text, "text", prompts.OverlapClient, scratch(spark, "replies"), pause=0.0)
-    gold = asked(emb).select("query_id", F.col("query_id").alias("id"))
+    gold = gold if gold is not None else asked(emb).select("query_id", F.col("query_id").alias("id"))
     index = None if mode == "vector_only" else _index(part, "p_partkey", texts)
     return search.retrieve(
         mode, vector=near, text=lambda n: _searched(spark, d, WIDE, "best", n, index), narrow_text=lambda n: _searched(spark, d, NARROW, "best", n, index),
-        rerank=again, gold=gold, gate=0.5, k=k)
+        rerank=again, gold=gold, gate=gate, k=k)
 
 
 NEAR30 = f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
@@ -364,6 +364,38 @@ for _name, _sql in MODE_QUERIES.items():
     _mode(_name, _sql)
 
 
+APART = f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % {EVERY} = 0) QUALIFY rank <= 10)"""
+#: The gold id of a query that is no multiple of 100 is its second hit; other queries have one that no search finds. The gate lies among the best scores.
+APART_GOLD = f"(SELECT query_id FROM {APART} WHERE rank = 2 AND query_id % {2 * EVERY} > 0)"
+APART_GATE = f"(SELECT query_id FROM {APART} WHERE rank = 1 AND score >= 0.38)"
+
+
+def apart_sql(sure: str) -> str:
+    narrow = top_sql(fields_sql(NARROW, "max"), 30)
+    return f"""WITH sure AS MATERIALIZED {sure}, a AS MATERIALIZED ({rerank_sql(APART)}), b AS MATERIALIZED ({rerank_sql(narrow)})
+SELECT a.* FROM a SEMI JOIN sure USING (query_id) UNION ALL SELECT b.* FROM b ANTI JOIN sure USING (query_id)"""
+
+
+def _apart(spark, d, mode):
+    """Gates that differ: queries do not find themselves, gold ids and scores let different queries through."""
+    emb = read(spark, d, "embeddings")
+    near = cut(search.knn(asked(emb), emb, id_col="vec_id", vector_col="embedding", k=10))
+    odd = F.col("query_id") % (2 * EVERY) > 0
+    gold = near.where(F.col("rank") == 2).select("query_id", F.when(odd, F.col("id")).otherwise(-1).alias("id"))
+    return _retrieve(spark, d, mode, near=lambda n: near.where(F.col("rank") <= n), gold=gold, gate=0.38)
+
+
+@query(apart_sql(APART_GOLD))
+def mode_oracle_gated_apart(spark, d):
+    return _apart(spark, d, "oracle_gated")
+
+
+@query(apart_sql(APART_GATE))
+def mode_score_gated_apart(spark, d):
+    return _apart(spark, d, "score_gated")
+
+
 @query(f"""WITH h AS {top_sql(fields_sql(WIDE, 'max'), 30)}, q AS ({PART_QUERIES}),
 r AS (SELECT q.query_id, min(CASE WHEN lower(g.p_name) = lower(f.p_name) THEN h.rank END) AS rank
   FROM q JOIN part g ON g.p_partkey = q.query_id LEFT JOIN h USING (query_id) LEFT JOIN part f ON f.p_partkey = h.id GROUP BY q.query_id)

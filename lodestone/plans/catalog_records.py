@@ -11,7 +11,8 @@ from ..functions import html as H
 from ..functions import links as L
 from ..operators import profile, records, search
 from ..operators.lineage import cut
-from ..sources import readers, writers
+from ..sources import keyed, readers, writers
+from ..sources import page_files as sink
 from ..streaming import ingest
 from . import runner
 from .registry import query
@@ -80,10 +81,10 @@ def inline_images(spark, d):
     return records.inline_images(pages, "page_id", "html", images, "image_url", "image_data").select("page_id", F.md5(F.col("html").cast("binary")).alias("html"))
 
 
-PAGE_SQL = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'K' || p_partkey WHEN 1 THEN 'x/K' || p_partkey || '/y' ELSE 'https://en.wikipedia.org/wiki/%4B' || p_partkey END AS page FROM part WHERE p_partkey >= 100"
+PAGE_SQL = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'K' || p_partkey WHEN 1 THEN 'x/K' || p_partkey || '/y' ELSE 'https://en.wikipedia.org/wiki/%4B' || p_partkey END AS page FROM part"
 
 
-@query(f"""WITH p AS ({PAGE_SQL}), q AS (SELECT DISTINCT p_partkey, 'https://en.wikipedia.org/wiki/%4B' || p_partkey AS link, 'K' || p_partkey AS n FROM part WHERE p_partkey BETWEEN 100 AND 160)
+@query(f"""WITH p AS ({PAGE_SQL}), q AS (SELECT DISTINCT p_partkey, 'https://en.wikipedia.org/wiki/%4B' || p_partkey AS link, 'K' || p_partkey AS n FROM part WHERE p_partkey % 50 = 0)
 SELECT link, coalesce(e.p_partkey, c.p_partkey, r.p_partkey) AS p_partkey, CASE WHEN e.p_partkey IS NOT NULL THEN 'normal' WHEN c.p_partkey IS NOT NULL THEN 'contains' ELSE 'raw' END AS how
 FROM q LEFT JOIN (SELECT page, min(p_partkey) AS p_partkey FROM p GROUP BY page) e ON e.page = q.n
 LEFT JOIN (SELECT n, min(p.p_partkey) AS p_partkey FROM q JOIN p ON contains(p.page, q.n) GROUP BY n) c ON c.n = q.n LEFT JOIN p r ON r.page = q.link WHERE coalesce(e.p_partkey, c.p_partkey, r.p_partkey) IS NOT NULL""")
@@ -92,9 +93,9 @@ def find_by_link(spark, d):
     i = F.col("p_partkey")
     s = i.cast("string")
     raw = F.concat(F.lit("https://en.wikipedia.org/wiki/%4B"), s)
-    part = read(spark, d, "part").where("p_partkey >= 100")
+    part = read(spark, d, "part")
     pages = part.select("p_partkey", F.when(i % 3 == 0, F.concat(F.lit("K"), s)).when(i % 3 == 1, F.concat(F.lit("x/K"), s, F.lit("/y"))).otherwise(raw).alias("page"))
-    wanted = part.where("p_partkey <= 160").select(raw.alias("link"))
+    wanted = part.where("p_partkey % 50 = 0").select(raw.alias("link"))
     return records.find_by_link(wanted, pages, "link", L.normalize_v2(F.col("link")), "page", "p_partkey")
 
 
@@ -207,9 +208,12 @@ def dataset_comparison(spark, d):
     return evaluate.pivot_modes(rows, "config", "mode", "n", ["en", "de"])
 
 
-@query(f"SELECT c.config, s.name AS source, EXISTS (SELECT 1 FROM (VALUES {CONFIGS}) v(c, s) WHERE v.c = c.config AND v.s = s.name) AS enabled FROM (SELECT DISTINCT c AS config FROM (VALUES {CONFIGS}) v(c, s)) c, (VALUES {NUMBERED}) s(i, name)")
+@query(f"""SELECT c.config, s.name AS source, EXISTS (SELECT 1 FROM (VALUES {CONFIGS}) v(c, s) WHERE v.c = c.config AND v.s = s.name) AS enabled, n.n AS documents
+FROM (SELECT DISTINCT c AS config FROM (VALUES {CONFIGS}) v(c, s)) c, (VALUES {NUMBERED}) s(i, name) JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) n ON n.source = 'src' || s.i""")
 def source_switches(spark, d):
-    return runner.switches(spark)
+    """Every configuration's switch of every source that has documents, and how many it has."""
+    counts = _sourced(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    return runner.switches(spark).join(counts, "source").select("config", "source", "enabled", "documents")
 
 
 @query(f"SELECT DISTINCT item FROM (SELECT unnest({HREFS}) AS item FROM pages UNION ALL SELECT url FROM pages) WHERE item <> ''")
@@ -341,6 +345,29 @@ def upsert_index(spark, d):
     return out
 
 
+@query(f"SELECT link, content, label FROM ({UPSERTED})")
+def keyed_upsert(spark, d):
+    """Old rows, then new ones, into a table by key whose upserts write touched buckets only; the table as it is read afterwards."""
+    old, new = _old_and_new(spark, d)
+    table = keyed.KeyedTable(spark, scratch(spark, "keyed"), "link long, content string, label string", "link", buckets=32)
+    table.upsert(old, ["content"])
+    table.upsert(new, ["content"])
+    return table.read()
+
+
+@query("SELECT 'page ' || p.page_id AS query, 'https://en.wikipedia.org/wiki/P' || p.page_id AS link, 't' || p.page_id AS download_time, repeat('x', 40) || p.url AS content FROM pages p WHERE length(p.url) >= 10")
+def page_files(spark, d):
+    """A file for each page, read back; the first half is written, then all, and names that exist stay."""
+    i = F.col("page_id").cast("string")
+    pages = read(spark, d, "pages").where("length(url) >= 10").select(
+        "page_id", F.concat(F.lit("page "), i).alias("query"), F.concat(F.lit("https://en.wikipedia.org/wiki/P"), i).alias("link"), F.concat(F.lit("t"), i).alias("download_time"),
+        F.concat(F.lit("x" * 40), "url").alias("content"))
+    path = scratch(spark, "pages").removeprefix("file:")
+    sink.write_page_files(pages.where("page_id % 2 = 0"), path)
+    sink.write_page_files(pages, path)
+    return readers.header_files(spark, path).select("query", "link", "download_time", "content")
+
+
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     """The table form of the streaming count by windows."""
