@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dictionary
 from ..functions import text as T
 from ..operators import annotation, assembly, evaluate, models, profile
 from .registry import query
@@ -128,3 +129,20 @@ def token_tags(spark, d):
     tags = F.transform(F.sequence(F.lit(0), F.char_length("text") - 1), lambda i: F.concat(F.when(i % 3 == 0, "B-").otherwise("I-"), (i % 11).cast("string")))
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
     return rows.select("doc_id", F.array_join(annotation.token_tags(words, F.col("text"), tags), " ").alias("tags"))
+
+
+@query()
+def subword_entities(spark, d):
+    """Kinds of words carried over to sub-word pieces of whole texts and decoded from these. The tests hold it against plain loops.
+
+    The vocabulary is the benchmark's words, all single letters of them, and both as continuations.
+    """
+    words = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("piece"))
+    words = words.union(words.select(F.explode(F.split("piece", "")))).distinct()
+    pieces = dictionary.wordpieces(words.union(words.select(F.concat(F.lit("##"), "piece"))))
+    rows = read(spark, d, "documents").where("text <> ''").select("doc_id", "text", pieces(F.col("text")).alias("tokens"))
+    # a character's kind goes by its place: stretches of seven of which the last is none
+    tags = F.transform(F.sequence(F.lit(0), F.char_length("text") - 1), lambda i: F.when(i % 7 == 6, "O").when(i % 7 == 0, "B-A").otherwise("I-A"))
+    rows = rows.withColumn("tags", annotation.token_tags(F.col("tokens"), F.col("text"), tags))
+    found = annotation.decode(F.col("tags"), 2, F.col("tokens"))
+    return rows.select("doc_id", F.size("tokens").alias("pieces"), F.md5(F.array_join("tokens", " ")).alias("pieces_md5"), F.size(found).alias("entities"), F.md5(F.to_json(found)).alias("entities_md5"))

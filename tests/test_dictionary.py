@@ -163,3 +163,58 @@ def test_containment_in_long_strings_by_several_automata(spark):
         for options in ({}, {"patterns": 7, "broadcast_bytes": 0}):
             got = records.contained_pairs(a, b, "s", "t", threshold, **options).collect()
             assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def reference_tokenizer(pieces):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    t = Tokenizer(models.WordPiece({p: i for i, p in enumerate(dict.fromkeys(["[UNK]", *pieces]))}, unk_token="[UNK]", max_input_chars_per_word=100))
+    t.normalizer = normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=True, strip_accents=False, lowercase=False)
+    t.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    return t
+
+
+def test_pieces_are_the_librarys(spark):
+    rng = random.Random(9)
+    pieces = sorted({rng.choice(["", "##"]) + "".join(rng.choices("abcF1中", k=rng.randrange(1, 4))) for _ in range(90)} | {"-", "。", "##"})
+    texts = ["".join(rng.choices("aabbcF1 \t-。中文$€\x00\u200d", k=rng.randrange(0, 40))) for _ in range(300)] + ["a" * 100, "a" * 101, "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    split = dictionary.wordpieces(spark.createDataFrame([(p,) for p in pieces], "piece string"))
+    got = [r[0] for r in df.select(split(F.col("t"))).collect()]
+    plain = reference_tokenizer([p for p in pieces if p != "##"])
+    for t, g in zip(texts, got, strict=True):
+        assert g == (plain.encode(t, add_special_tokens=False).tokens if t else []), repr(t)
+
+
+def test_entities_of_subwords_against_plain_loops(spark):
+    import json
+
+    from tests.test_golden import plain_alignment
+
+    got = {r["doc_id"]: r for r in registry.queries()["subword_entities"](spark, DIR).collect()}
+    pieces = set()
+    for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect():
+        for w in re.findall(r"[^\W_]+", r["text"] or ""):
+            pieces |= {w, *w}
+    plain = reference_tokenizer(sorted(pieces | {f"##{p}" for p in pieces}))
+    checked = 0
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").collect():
+        text = r["text"] or ""
+        if not text or len(text) > 3000:
+            continue
+        tokens = plain.encode(text, add_special_tokens=False).tokens
+        tags = ["O" if i is None or i % 7 == 6 else "B-A" if i % 7 == 0 else "I-A" for i in plain_alignment(text, tokens, len(text))]
+        found, start = [], None
+        for i, t in enumerate([*tags, "O"]):
+            if start is not None and t != "I-A":
+                if sum(len(x.replace("##", "")) for x in tokens[start:i]) >= 2:
+                    found.append({"start": start, "length": i - start, "type": "A"})
+                start = None
+            if t == "B-A":
+                start = i
+        mine = got[r["doc_id"]]
+        digest = lambda s: hashlib.md5(s.encode()).hexdigest()
+        assert (mine["pieces"], mine["pieces_md5"]) == (len(tokens), digest(" ".join(tokens)))
+        assert (mine["entities"], mine["entities_md5"]) == (len(found), digest(json.dumps(found, separators=(",", ":"))))
+        checked += 1
+    assert checked > 100
