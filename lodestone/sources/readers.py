@@ -1,4 +1,5 @@
-"""Readers of record, annotation and text files. They only plan: nothing runs before an action, no file passes through the driver."""
+"""Readers of record, annotation and text files. No file passes through the driver, and nothing runs before an action but where lines are numbered
+(``numbered_lines``, ``bio_tsv``, ``parallel_bio``): those write their lines to the shared folder first."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import annotation
+from ..operators.lineage import cut
 from ..operators.records import switched_union, train_dev_split
 
 ENTITIES = "array<struct<start:int,end:int,type:string>>"
@@ -61,6 +63,27 @@ def whole_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return reader.text(path if isinstance(path, str) else list(path), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def numbered_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, *, blank: str = r"^\s*$") -> DataFrame:
+    """(file, line, value, is_blank, blanks): all lines, blank ones too, with their number in the file from 0 and the number of blank lines before.
+
+    Files are read by byte ranges; a line's number is its place in its range plus the lines of the file's ranges before, which are counted first. Lines are
+    written once, so that a range is never dealt differently between counting and numbering.
+    """
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    meta = F.col("_metadata")
+    rows = reader.text(path if isinstance(path, str) else list(path)).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), "value", F.col("value").rlike(blank).alias("is_blank"))
+    rows = cut(rows)
+    ranges = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.count_if("is_blank").alias("b"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    # a row a range
+    ranges = ranges.select("file", "start", (before("n") - F.col("first")).alias("shift"), before("b").alias("b"))
+    within = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum(F.col("is_blank").cast("long")).over(within), F.lit(0)))
+    return rows.join(ranges, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value", "is_blank", (F.col("own") + F.col("b")).alias("blanks"))
+
+
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, json, bad): the records of files that are one JSON value (of an array, its items) or else JSON lines; ``bad``: a line that is none."""
     files = whole_files(spark, path).select("file", "value", F.try_parse_json("value").alias("v"))
@@ -109,12 +132,15 @@ def polymorphic_json(spark: SparkSession, path: str, glob: str | None = None) ->
     return unlabelled.unionByName(examples(items, F.coalesce(get(v, "$.originalText", "string"), get(v, "$.text", "string")), spans))
 
 
-def bio_tsv(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def bio_tsv(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """(text, labels) of files with a character, a tab and its tag a line, and a blank line after each sentence. A character
-    without a tag is O; a space may be a character."""
-    files = whole_files(spark, path, glob)
-    blocks = files.select("file", F.posexplode(F.split("value", r"\r?\n[ \t]*\r?\n+")).alias("at", "block"))
-    rows = blocks.select(F.filter(F.split("block", r"\r?\n"), lambda x: x != "").alias("rows"))
+    without a tag is O; a space may be a character.
+
+    Files are read by byte ranges; a line's sentence is the number of blank lines before it, counted in its range and in the file's ranges before.
+    """
+    lines = numbered_lines(spark, path, glob, blank=r"^[ \t]*$")
+    rows = lines.where("NOT is_blank").groupBy("file", "blanks").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("r"))
+    rows = rows.select(F.col("r.value").alias("rows"))
     chars = F.transform("rows", lambda r: F.split(r, "\t")[0])
     tags = F.transform("rows", lambda r: F.coalesce(F.nullif(F.trim(F.get(F.split(r, "\t"), F.lit(1))), F.lit("")), F.lit("O")))
     out = rows.where(F.size("rows") > 0).select(F.array_join(chars, "").alias("text"), tags.alias("labels"))
@@ -136,16 +162,16 @@ def parallel_bio(spark: SparkSession, sentences: str | Sequence[str], tags: str
     """
 
     def numbered(path: str | Sequence[str], name: str) -> DataFrame:
-        files = whole_files(spark, path)
+        rows = numbered_lines(spark, path)
         # one row a file
-        order = files.select("file").withColumn("pair", F.row_number().over(Window.orderBy("file")))
-        rows = files.join(order, "file").select("pair", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-        return rows.select("pair", "at", F.filter(F.split("line", r"(?U)\s+"), lambda x: x != "").alias(name))
+        order = rows.select("file").distinct().withColumn("pair", F.row_number().over(Window.orderBy("file")))
+        words = F.filter(F.split("value", r"(?U)\s+"), lambda x: x != "")
+        return rows.join(F.broadcast(order), "file").select("pair", "line", words.alias(name))
 
     counts = [len(whole_files(spark, p).inputFiles()) for p in (sentences, tags)]
     if counts[0] != counts[1]:
         raise ValueError(f"{counts[0]} files of sentences, {counts[1]} of tags")
-    both = numbered(sentences, "chars").join(numbered(tags, "labels"), ["pair", "at"])
+    both = numbered(sentences, "chars").join(numbered(tags, "labels"), ["pair", "line"])
     return both.where((F.size("chars") == F.size("labels")) & (F.size("chars") > 0)).select(F.array_join("chars", "").alias("text"), "labels")
 
 

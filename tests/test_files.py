@@ -1,6 +1,7 @@
 """Readers, writers and streams on files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,31 @@ def test_inline_images(spark):
     images = spark.createDataFrame([("https://h/a.jpg", "QQ=="), ("https://en.wikipedia.org/b.jpg", "Qg=="), ("https://h/c.jpg", None)], "url string, data string")
     got = {r["id"]: r["html"] for r in records.inline_images(pages, "id", "html", images, "url", "data").collect()}
     assert got[1] == '<img src="data:image/jpeg;base64,QQ=="><img src="data:image/jpeg;base64,Qg=="><img src="//h/c.jpg">' and got[2] == "none"
+
+
+def test_annotations_are_read_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    sentences = [[(rng.choice("甲乙ab "), rng.choice(["O", "B-T", "I-T"])) for _ in range(rng.randrange(1, 12))] for _ in range(400)]
+    want = sorted(("".join(c for c, _ in x), [t for _, t in x]) for x in sentences)
+    block = lambda x, end="\n": end.join(f"{c}\t{t}" for c, t in x)
+    plain = write(tmp_path / "plain.txt", "\n\n".join(block(x) for x in sentences) + "\n")
+    odd = write(tmp_path / "odd.txt", "\n\n\n".join(block(x) for x in sentences[:200]) + "\n \t\n" + "\n\n\n\n".join(block(x) for x in sentences[200:]))
+    windows = tmp_path / "windows.txt"
+    windows.write_bytes("\r\n\r\n".join(block(x, "\r\n") for x in sentences).encode())
+    lines = [rng.choice(["", "a b", "甲 乙 丙", "x"]) for _ in range(3000)]
+    tags = [" ".join(f"B-{i}" for _ in x.split()) for i, x in enumerate(lines)]
+    s1, t1 = write(tmp_path / "s" / "1.txt", "\n".join(lines)), write(tmp_path / "t" / "1.txt", "\n".join(tags) + "\n")
+    s2, t2 = write(tmp_path / "s" / "2.txt", "\r\n".join(lines[::-1])), write(tmp_path / "t" / "2.txt", "\n".join(tags[::-1]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(plain).rdd.getNumPartitions() > 5
+        for path in (plain, odd, str(windows)):
+            assert pairs(readers.bio_tsv(spark, path)) == want
+        got = {r["line"]: r["value"] for r in readers.numbered_lines(spark, s1).collect()}
+        assert [got[i] for i in range(len(got))] == lines[:len(got)] and not any(lines[len(got):])
+        assert pairs(readers.parallel_bio(spark, [s2, s1], [t1, t2])) == sorted(("".join(x.split()), t.split()) for x, t in zip(lines, tags, strict=True) if x for _ in (1, 2))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
