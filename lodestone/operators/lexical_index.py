@@ -1,6 +1,6 @@
 """A stored inverted index: built once, appended to, searched many times for the k best by BM25.
 
-Documents are indexed in ranges of a few hundred, as they lie in a task. All postings of a term within a range are one *block* with its highest
+Documents are indexed in ranges of about a thousand, as they lie in a task. All postings of a term within a range are one *block* with its highest
 count and shortest length, from which no document of the range can gain more than a known score by that term, whatever the corpus'
 mean length has become since. Blocks are stored by a hash of their term, so a search reads the buckets of its terms alone.
 
@@ -187,7 +187,7 @@ def scorer(k: int, how: str, means: Mapping[int, float]):
 class LexicalIndex:
     """An index in a folder that all executors share. Fields and analyzers are the caller's and must be the same at each use."""
 
-    def __init__(self, spark: SparkSession, path: str, analyzers: Mapping[str, Analyzer], *, buckets: int = 64, range_docs: int = 256):
+    def __init__(self, spark: SparkSession, path: str, analyzers: Mapping[str, Analyzer], *, buckets: int = 64, range_docs: int = 1024):
         self.spark, self.path, self.analyzers, self.buckets, self.range_docs = spark, path.rstrip("/"), dict(analyzers), buckets, range_docs
 
     def _bucket(self, field: Column, term: Column) -> Column:
@@ -198,8 +198,10 @@ class LexicalIndex:
         segment = uuid.uuid4().hex
         fields = list(self.analyzers)
         rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *[self.analyzers[f](texts[f]).alias(f"t{i}") for i, f in enumerate(fields)])
-        # cut: which documents share a range must not change when a task is run again
-        made = cut(rows.mapInArrow(indexer(fields, self.range_docs), BLOCK))
+        # written first: which documents share a range must not change when a task is run again
+        stage = f"{self.path}/stage-{segment}"
+        rows.mapInArrow(indexer(fields, self.range_docs), BLOCK).write.parquet(stage)
+        made = self.spark.read.schema(BLOCK).parquet(stage)
         blocks = made.where("term IS NOT NULL").withColumn("segment", F.lit(segment)).withColumn("bucket", self._bucket(F.col("field"), F.col("term")))
         spread = max(1, -(-blocks.count() // (self.buckets * blocks_per_file)))
         dealt = blocks.repartition(self.buckets * spread if spread > 1 else min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket", F.pmod(F.xxhash64("range"), F.lit(spread)))
@@ -209,6 +211,8 @@ class LexicalIndex:
         known = self.spark.createDataFrame([(f,) for f in fields], "field string").join(made.where("term IS NULL").groupBy("field").agg(
             F.sum("n").cast("long").alias("docs"), F.sum("total").alias("total")), "field", "left").fillna(0)
         known.select(F.lit(segment).alias("segment"), "field", "docs", "total").coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         return segment
 
     def stats(self) -> tuple[list[str], dict[str, tuple[int, float]]]:
