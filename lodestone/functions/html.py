@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .links import HOSTS, strip
+from .parts import small_parts
 
 PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
 HREF = r'<a href="([^"]*)"'
@@ -138,8 +139,9 @@ def page_text(html: str | None) -> str | None:
     return page.text()
 
 
-@F.pandas_udf(StringType())
-def visible_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(StringType())
+def visible_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The lines of a page's main container (else body, else everything) without hidden parts and comments."""
-    for html in batches:
-        yield pd.Series([page_text(h) for h in html], dtype=object)
+    for batch in batches:
+        for (pages,) in small_parts([batch]):
+            yield pa.array([page_text(h) for h in pages.to_pylist()], pa.string())

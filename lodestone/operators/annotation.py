@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import arrays as A
+from ..functions.parts import small_parts
 
 SPAN = "struct<start:int,end:int,type:string>"
 
@@ -111,12 +115,14 @@ def align_tokens(text: str, tokens: Sequence[str], tags: int) -> list[int | None
             out.append(None)
             continue
         found, stop = -1, min(len(text), at + AHEAD)
-        start = text.find(piece, max(0, at - BACK))
+        # not beyond the last place that counts: the rest of a long text is not searched for each of its tokens
+        end = stop - 1 + len(piece)
+        start = text.find(piece, max(0, at - BACK), end)
         while 0 <= start < stop:
             found = start
             if abs(start - at) < NEAR:
                 break
-            start = text.find(piece, start + 1)
+            start = text.find(piece, start + 1, end)
         place, moves = (found, len(piece)) if found >= 0 else (at, 1)
         out.append(place if place < tags else None)
         if place < tags and not token.startswith("##"):
@@ -126,11 +132,22 @@ def align_tokens(text: str, tokens: Sequence[str], tags: int) -> list[int | None
 
 def token_tags(tokens: Column, text: Column, tags: Column) -> Column:
     """The tags of characters carried over to tokens by ``align_tokens``; O for a token without one."""
-    return _token_tags(tokens, text, tags)
-
-
-@F.udf(ArrayType(StringType()), useArrow=True)
-def _token_tags(tokens, text, tags):
-    if tokens is None or text is None or tags is None:
-        return None
-    return ["O" if p is None else tags[p] for p in align_tokens(text, list(tokens), len(tags))]
+    return _token_tags(text, tokens, tags)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _token_tags(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    # tags are taken by their places and never become Python values
+    for text, tokens, tags in batches:
+        for texts, words, marks in small_parts([text, tokens, tags]):
+            known = pc.is_valid(texts).to_numpy(zero_copy_only=False) & pc.is_valid(words).to_numpy(zero_copy_only=False) & pc.is_valid(marks).to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(size)])
+            ends, places = [0], []
+            for i, (t, w) in enumerate(zip(texts.to_pylist(), words.to_pylist(), strict=True)):
+                if known[i]:
+                    places += [None if p is None else int(start[i]) + p for p in align_tokens(t, w, int(size[i]))]
+                ends.append(len(places))
+            at = pa.array(places, pa.int64())
+            taken = pc.if_else(pc.is_valid(at), marks.flatten().take(at), "O")
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.cast(pa.string()), mask=pa.array(~known))

@@ -218,3 +218,37 @@ def test_entities_of_subwords_against_plain_loops(spark):
         assert (mine["entities"], mine["entities_md5"]) == (len(found), digest(json.dumps(found, separators=(",", ":"))))
         checked += 1
     assert checked > 100
+
+
+def test_texts_become_words_in_small_parts(spark):
+    """A batch is handed on in parts, so a task holds the words of a few texts, not of ten thousand."""
+    import pyarrow as pa
+
+    from lodestone.functions import html
+    from lodestone.functions.parts import small_parts
+    from lodestone.operators import annotation
+
+    texts = pa.array(["the cat " * 5_000, None, "", "cat"] * 40)
+    assert pa.concat_arrays([t for (t,) in small_parts([texts])]).equals(texts) and len(small_parts([texts.slice(0, 0)]).__next__()[0]) == 0
+    parts = [*html.visible_text.func(iter([texts]))]
+    assert len(parts) > 5 and sum(map(len, parts)) == len(texts)
+    tokens, tags = pa.array([["the", "cat"], None, [], ["cat"]] * 40), pa.array([["A", "B", "C", "D", None, "F"], [], ["X"], ["Y"]] * 40)
+    parts = [*annotation._token_tags.func(iter([(texts, tokens, tags)]))]
+    assert len(parts) > 5 and pa.concat_arrays(parts).to_pylist() == [["A", None], None, [], ["Y"]] * 40
+    split = dictionary.segmenter(spark.createDataFrame([("the", 2), ("cat", 1)], "word string, n long"), "index", script="[a-z]+")
+    rows = spark.range(4000).select("id", split(F.concat(F.lit("thecat"), F.repeat(F.lit("cat"), (F.col("id") % 700).cast("int")))).alias("w"))
+    assert rows.where(F.size("w") != 2 + F.col("id") % 700).isEmpty()
+
+
+def test_a_token_is_not_looked_for_in_the_whole_text():
+    from lodestone.operators import annotation
+
+    class Text(str):
+        longest = 0
+
+        def find(self, piece, start=0, end=None):
+            Text.longest = max(Text.longest, (len(self) if end is None else min(end, len(self))) - start)
+            return super().find(piece, start, len(self) if end is None else end)
+
+    text = Text("a b " * 2000)
+    assert annotation.align_tokens(text, ["zz", "a", "zz", "b"] * 500, len(text))[1] is not None and Text.longest < 100
