@@ -118,3 +118,35 @@ def test_odd_rows_and_empty_indexes(spark, tmp_path):
     empty = lexical_index.build(docs.limit(0), "id", {"text": F.col("text")}, str(tmp_path / "e"))
     assert empty.search(asked, "q", F.col("text"), 10).count() == 0
     assert lexical_index.LexicalIndex(spark, str(tmp_path / "none"), {"text": search.T.standard_tokens}).search(asked, "q", F.col("text"), 10).count() == 0
+
+
+def test_full_scoring_shuffles_no_pairs(spark):
+    part = spark.read.parquet(f"{DIR}/part.parquet")
+    hits = search.search_fields(
+        part, "p_partkey", {"a": (F.col("p_name"), 2.0), "b": (F.col("p_type"), 1.0)}, part.where("p_partkey % 50 = 0"), "p_partkey", F.concat_ws(" ", "p_name", "p_type"), how="sum")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and hits.count() > 100
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_full_scoring_of_odd_rows_against_sql(spark, repeated):
+    import duckdb
+
+    from lodestone.plans import catalog
+
+    docs = [(1, "a b"), (2, "b b c"), (3, "C d, a"), (4, None), (5, ""), (6, "x"), (7, "a a a b")] + [(1, "a"), (1, "a a"), (2, "c b b"), (None, "a b")] * repeated
+    asked = [(0, "a b"), (0, "b"), (1, "c"), (2, "b a"), (3, None), (4, "zz"), (5, "A b"), (None, "x a")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (id BIGINT, text VARCHAR)"), con.execute("CREATE TABLE asked (query_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO docs VALUES (?, ?)", docs), con.executemany("INSERT INTO asked VALUES (?, ?)", asked)
+    want = con.execute(f"SELECT query_id, id, round(score, 6) FROM {catalog.bm25_parts('docs', 'id', 'text', queries='SELECT * FROM asked')}").fetchall()
+    hits = search.bm25(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text"), spark.createDataFrame(asked, "query_id long, text string"), "query_id", F.col("text"), at_once=2)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = [(r["query_id"], r["id"], round(r["score"], 6)) for r in hits.collect()]
+    assert len(want) > 10 and sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_bm25_match_returns_every_match(spark):
+    from lodestone.plans import registry
+
+    assert registry.queries()["bm25_match"](spark, DIR).groupBy("query_id").count().where("count > 10").count() > 10
