@@ -34,6 +34,8 @@ from .lineage import cut
 Analyzer = Callable[[Column], Column]
 K1, B = 1.2, 0.75
 BLOCK = "range long, field string, term string, n int, max_tf int, min_length int, total long, ids array<long>, spots array<int>, tfs array<int>, lengths array<int>"
+#: What a build stages: also how many rows a block's documents stand for.
+STAGED = f"{BLOCK}, rows long"
 POSTINGS = f"{BLOCK}, segment string, bucket int"
 TERMS = "field string, term string, df long, segment string, bucket int"
 STATS = "segment string, field string, docs long, total long"
@@ -43,8 +45,8 @@ DIGITS = 9
 QUERIES_AT_ONCE = 512
 
 
-def blocks_of(ids: np.ndarray, tokens: pa.ListArray, field: str, number: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of one range, and a row without a term that counts its documents and their lengths."""
+def blocks_of(ids: np.ndarray, tokens: pa.ListArray, field: str, number: int, rows_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of one range, and a row without a term that counts its documents and their lengths; rows_of: how many rows a document stands for."""
     n = len(ids)
     length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = tokens.flatten().dictionary_encode()
@@ -62,11 +64,12 @@ def blocks_of(ids: np.ndarray, tokens: pa.ListArray, field: str, number: int) ->
             "range": pa.array(np.full(count, number, np.int64)), "field": pa.array([field] * count), "term": coded.dictionary.cast(pa.string()).take(pa.array(code[first])),
             "n": pa.array(size.astype(np.int32)), "max_tf": pa.array(np.maximum.reduceat(tf, first).astype(np.int32)),
             "min_length": pa.array(np.minimum.reduceat(of, first).astype(np.int32)), "total": pa.nulls(count, pa.int64()),
-            "ids": rows(ids[doc], pa.int64()), "spots": rows(doc, pa.int32()), "tfs": rows(tf, pa.int32()), "lengths": rows(of, pa.int32())})
+            "ids": rows(ids[doc], pa.int64()), "spots": rows(doc, pa.int32()), "tfs": rows(tf, pa.int32()), "lengths": rows(of, pa.int32()), "rows": pa.array(np.add.reduceat(rows_of[doc], first), pa.int64())})
         yield pa.record_batch({
             "range": pa.array([number]), "field": pa.array([field]), "term": pa.nulls(1, pa.string()), "n": pa.array([int((length > 0).sum())], pa.int32()),
-            "max_tf": pa.nulls(1, pa.int32()), "min_length": pa.nulls(1, pa.int32()), "total": pa.array([int(length.sum())]),
-            "ids": pa.nulls(1, pa.list_(pa.int64())), "spots": pa.nulls(1, pa.list_(pa.int32())), "tfs": pa.nulls(1, pa.list_(pa.int32())), "lengths": pa.nulls(1, pa.list_(pa.int32()))})
+            "max_tf": pa.nulls(1, pa.int32()), "min_length": pa.nulls(1, pa.int32()), "total": pa.array([int((length * rows_of).sum())], pa.int64()),
+            "ids": pa.nulls(1, pa.list_(pa.int64())), "spots": pa.nulls(1, pa.list_(pa.int32())), "tfs": pa.nulls(1, pa.list_(pa.int32())), "lengths": pa.nulls(1, pa.list_(pa.int32())),
+            "rows": pa.array([int(rows_of[length > 0].sum())], pa.int64())})
 
 
 def indexer(fields: Sequence[str], range_docs: int):
@@ -75,9 +78,9 @@ def indexer(fields: Sequence[str], range_docs: int):
         for batch in batches:
             for at in range(0, batch.num_rows, range_docs):
                 part = batch.slice(at, range_docs)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids, rows_of = part.column(0).to_numpy(zero_copy_only=False), part.column(len(fields) + 1).to_numpy(zero_copy_only=False)
                 for i, field in enumerate(fields):
-                    yield from blocks_of(ids, part.column(i + 1), field, number)
+                    yield from blocks_of(ids, part.column(i + 1), field, number, rows_of)
                 number += 1
 
     return run
@@ -187,7 +190,9 @@ def scorer(k: int, how: str, means: Mapping[int, float]):
 class LexicalIndex:
     """An index in a folder that all executors share. Fields and analyzers are the caller's and must be the same at each use."""
 
-    def __init__(self, spark: SparkSession, path: str, analyzers: Mapping[str, Analyzer], *, buckets: int = 64, range_docs: int = 1024):
+    def __init__(self, spark: SparkSession, path: str, analyzers: Mapping[str, Analyzer], *, buckets: int = 64, range_docs: int = 1024, weight: str | None = None):
+        # weight: a column of how many rows a document stands for
+        self.weight = weight
         self.spark, self.path, self.analyzers, self.buckets, self.range_docs = spark, path.rstrip("/"), dict(analyzers), buckets, range_docs
 
     def _bucket(self, field: Column, term: Column) -> Column:
@@ -197,19 +202,20 @@ class LexicalIndex:
         """Indexes more documents as a segment of their own and returns its name. Nothing already stored is read or written."""
         segment = uuid.uuid4().hex
         fields = list(self.analyzers)
-        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *[self.analyzers[f](texts[f]).alias(f"t{i}") for i, f in enumerate(fields)])
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *[self.analyzers[f](texts[f]).alias(f"t{i}") for i, f in enumerate(fields)],
+            (F.lit(1) if self.weight is None else F.col(self.weight)).cast("long").alias("_rows"))
         # written first: which documents share a range must not change when a task is run again
         stage = f"{self.path}/stage-{segment}"
-        rows.mapInArrow(indexer(fields, self.range_docs), BLOCK).write.parquet(stage)
-        made = self.spark.read.schema(BLOCK).parquet(stage)
+        rows.mapInArrow(indexer(fields, self.range_docs), STAGED).write.parquet(stage)
+        made = self.spark.read.schema(STAGED).parquet(stage)
         blocks = made.where("term IS NOT NULL").withColumn("segment", F.lit(segment)).withColumn("bucket", self._bucket(F.col("field"), F.col("term")))
         spread = max(1, -(-blocks.count() // (self.buckets * blocks_per_file)))
         dealt = blocks.repartition(self.buckets * spread if spread > 1 else min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket", F.pmod(F.xxhash64("range"), F.lit(spread)))
-        dealt.sortWithinPartitions("bucket", "field", "term", "range").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/postings")
-        count = blocks.groupBy("segment", "bucket", "field", "term").agg(F.sum("n").cast("long").alias("df"))
+        dealt.drop("rows").sortWithinPartitions("bucket", "field", "term", "range").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/postings")
+        count = blocks.groupBy("segment", "bucket", "field", "term").agg(F.sum("rows").cast("long").alias("df"))
         count.select("field", "term", "df", "segment", "bucket").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/terms")
         known = self.spark.createDataFrame([(f,) for f in fields], "field string").join(made.where("term IS NULL").groupBy("field").agg(
-            F.sum("n").cast("long").alias("docs"), F.sum("total").alias("total")), "field", "left").fillna(0)
+            F.sum("rows").cast("long").alias("docs"), F.sum("total").alias("total")), "field", "left").fillna(0)
         known.select(F.lit(segment).alias("segment"), "field", "docs", "total").coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
         folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -309,6 +315,49 @@ class LexicalIndex:
         return top_k(hits, "query_id", "score", "id", k).select("query_id", "id", "score", name.alias("field"), "rank")
 
 
+class GroupedIndex:
+    """An index of distinct texts beside the table of their rows: rows of the same texts are indexed, and queries of the same text are searched, once.
+
+    Scores are those of an index of all rows: counts of documents and lengths are weighed by how many rows a text has. A search finds the best texts,
+    of which as many are kept as hold k rows, and only then their rows: of each text the k smallest ids can be among the k best.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, texts: Mapping[str, Column], path: str, **options):
+        fields = list(texts)
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *[texts[f].cast("string").alias(f) for f in fields])
+        spark = docs.sparkSession
+        each = rows.groupBy(*fields).agg(F.count(F.lit(1)).alias("_rows"), F.min("id").alias("_first"))
+        # the smallest id is the text's own
+        each.write.parquet(f"{path}/texts")
+        self.texts = spark.read.parquet(f"{path}/texts")
+        self.rows, self.fields = rows, fields
+        self.index = LexicalIndex(spark, path, {f: T.standard_tokens for f in fields}, weight="_rows", **options)
+        self.index.append(self.texts, "_first", {f: F.col(f) for f in fields})
+
+    def best_texts(self, queries: DataFrame, query_id: str, query: Column, k: int, *, boosts: Mapping[str, float] | None = None, how: str = "best") -> tuple[DataFrame, DataFrame]:
+        """(query_id, class) and (class, text, score, field) of at least the texts that hold the k best rows of each class; ``text`` is the smallest id with it."""
+        asked = cut(queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), query.alias("query")))
+        classes = asked.groupBy("query").agg(F.min("query_id").alias("class"))
+        members = asked.join(classes, "query").select("query_id", "class")
+        hits = self.index.search(classes, "class", F.col("query"), k, boosts=boosts, how=how)
+        return members, hits.select(F.col("query_id").alias("class"), F.col("id").alias("text"), "score", "field")
+
+    def search(self, queries: DataFrame, query_id: str, query: Column, k: int, *, boosts: Mapping[str, float] | None = None, how: str = "best") -> DataFrame:
+        """(query_id, id, score, field, rank) as ``LexicalIndex.search`` returns them."""
+        from .search import top_k
+
+        members, hits = self.best_texts(queries, query_id, query, k, boosts=boosts, how=how)
+        hits = cut(hits)
+        # the k smallest ids of each text that was found; a text is among the k best texts of a class if any of its rows is among the k best rows
+        found = hits.select(F.col("text").alias("_first")).distinct()
+        text = F.to_json(F.struct(*self.fields)).alias("_text")
+        wanted = self.texts.join(found, "_first", "left_semi").select("_first", text)
+        per = self.rows.select("id", text).join(wanted, "_text").select("_first", "id")
+        ids = top_k(per.withColumn("_one", F.lit(1)), "_first", "_one", "id", k).select(F.col("_first").alias("text"), "id")
+        rows = top_k(hits.join(ids, "text").select("class", "id", "score", "field"), "class", "score", "id", k)
+        return rows.join(members, "class").select("query_id", "id", "score", "field", "rank")
+
+
 def build(docs: DataFrame, id_col: str, texts: Mapping[str, Column], path: str, *, analyzers: Mapping[str, Analyzer] | None = None, **options) -> LexicalIndex:
     """A new index of ``docs`` in ``path``."""
     index = LexicalIndex(docs.sparkSession, path, {f: (analyzers or {}).get(f, T.standard_tokens) for f in texts}, **options)

@@ -244,10 +244,15 @@ def fields_sql(fields: dict[str, float], how: str) -> str:
     return f"""(SELECT query_id, id, {how}(score) AS score, arg_max(field, round(score, 9) * 1000 - place) AS field FROM ({part}) GROUP BY query_id, id)"""
 
 
-def _searched(spark, d, boosts: dict[str, float], how: str, k: int, index: lexical_index.LexicalIndex | None = None) -> DataFrame:
+def _grouped(part: DataFrame, texts: dict) -> lexical_index.GroupedIndex:
+    """A stored index of the distinct texts of parts, of which many parts share one."""
+    return lexical_index.GroupedIndex(part, "p_partkey", texts, scratch(part.sparkSession, "index"))
+
+
+def _searched(spark, d, boosts: dict[str, float], how: str, k: int, index: lexical_index.GroupedIndex | None = None) -> DataFrame:
     """The k best parts of each asked one, from the stored index."""
     part, asked, texts = _parts(spark, d)
-    index = index or _index(part, "p_partkey", texts)
+    index = index or _grouped(part, texts)
     return index.search(asked, "query_id", F.col("text"), k, boosts=boosts, how=how)
 
 
@@ -326,7 +331,7 @@ def _retrieve(spark, d, mode, k=30, near=None, gold=None, gate=0.5):
     # an offline client that answers prompts by shared words stands in for a language model; prompts, replies and reconciling are the real ones
     again = lambda hits: prompts.rerank(hits, options, asked_text, "text", prompts.OverlapClient, scratch(spark, "replies"), pause=0.0)
     gold = gold if gold is not None else asked(emb).select("query_id", F.col("query_id").alias("id"))
-    index = None if mode == "vector_only" else _index(part, "p_partkey", texts)
+    index = None if mode == "vector_only" else _grouped(part, texts)
     return search.retrieve(
         mode, vector=near, text=lambda n: _searched(spark, d, WIDE, "best", n, index), narrow_text=lambda n: _searched(spark, d, NARROW, "best", n, index),
         rerank=again, gold=gold, gate=gate, k=k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import links as L
-from ..operators import profile, records, search
+from ..operators import lexical_index, profile, records
 from ..operators.lineage import cut
 from ..sources import keyed, readers, writers
 from ..sources import page_files as sink
@@ -385,6 +385,6 @@ def best_label_hit(spark, d):
     """The first of equally scored best hits on a label: a name against the names with the same words."""
     part = read(spark, d, "part").select("p_partkey", "p_name")
     asked = part.where("p_partkey % 50 = 0")
-    hits = search.bm25(part, "p_partkey", F.col("p_name"), asked, "p_partkey", F.col("p_name")).withColumn("score", F.round("score", 9))
-    best = search.top_k(hits, "query_id", "score", "id", 1)
+    index = lexical_index.GroupedIndex(part, "p_partkey", {"label": F.col("p_name")}, scratch(spark, "index"))
+    best = index.search(asked, "p_partkey", F.col("p_name"), 1)
     return best.join(asked.select(F.col("p_partkey").alias("query_id"), "p_name"), "query_id").select("query_id", "p_name", "id")

@@ -150,3 +150,19 @@ def test_bm25_match_returns_every_match(spark):
     from lodestone.plans import registry
 
     assert registry.queries()["bm25_match"](spark, DIR).groupBy("query_id").count().where("count > 10").count() > 10
+
+
+@pytest.mark.parametrize("how", ["best", "sum"])
+def test_rows_of_one_text_are_indexed_once(spark, tmp_path, how):
+    rng = random.Random(8)
+    rows = [(i if i != 30 else None, rng.choice(["a b", "b a", "c", "a", None]), rng.choice(["x", "a", "", "c x"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, u string, v string").repartition(3)
+    asked = spark.createDataFrame([(1, "a x"), (2, "c"), (3, "a x"), (4, None), (5, "zz"), (6, "b a c")], "q long, text string")
+    texts, boosts = {"u": F.col("u"), "v": F.col("v")}, {"u": 2.0, "v": 1.5}
+    index = lexical_index.GroupedIndex(docs, "id", texts, str(tmp_path / "g"))
+    assert index.texts.count() <= 20
+    every = lexical_index.build(docs, "id", texts, str(tmp_path / "i"))
+    for k in (1, 100):
+        row = lambda hits: sorted((r["query_id"], r["rank"], r["id"], r["field"], round(r["score"], 6)) for r in hits.collect())
+        want = row(every.search(asked, "q", F.col("text"), k, boosts=boosts, how=how))
+        assert len(want) >= 3 * k and row(index.search(asked, "q", F.col("text"), k, boosts=boosts, how=how)) == want
