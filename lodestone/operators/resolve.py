@@ -159,5 +159,16 @@ def _normal(link: str) -> str:
 
 @F.udf(ArrayType(StringType()), useArrow=True)
 def reconciled_links(ranked, originals):
-    """Column form of ``reconcile`` for the two short lists of one query."""
-    return None if originals is None else reconcile([x or "" for x in (ranked if ranked is not None else [])], [x or "" for x in originals], _clean, _normal)
+    """Column form of ``reconcile`` for the two short lists of one query; a worker reconciles lists that come again once, and holds a bounded number of them."""
+    if originals is None:
+        return None
+    import sys
+    import types
+
+    known = sys.modules.setdefault("_lodestone_reconciled", types.ModuleType("_lodestone_reconciled")).__dict__.setdefault("known", {})
+    key = (tuple(x or "" for x in (ranked if ranked is not None else [])), tuple(x or "" for x in originals))
+    if key not in known:
+        if len(known) == 1 << 14:
+            known.clear()
+        known[key] = reconcile(*key, _clean, _normal)
+    return known[key]

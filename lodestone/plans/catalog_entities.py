@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import assembly, models, resolve
+from ..operators.lineage import spread
 from .registry import query
 from .tables import normal, read
 
@@ -82,7 +83,7 @@ def reconciled_links(spark, d):
     """Ranked lines of a model's reply against the links that were asked: equal, contained, and left over."""
     ranked = F.array(F.concat(F.lit("1. "), "p_brand"), F.concat(F.lit("选项3："), "p_type", F.lit(" (the type)")), F.lit("--"))
     originals = F.array("p_name", "p_brand", "p_type")
-    return read(spark, d, "part").select("p_partkey", F.array_join(resolve.reconciled_links(ranked, originals), "|").alias("links"))
+    return spread(read(spark, d, "part")).select("p_partkey", F.array_join(resolve.reconciled_links(ranked, originals), "|").alias("links"))
 
 
 @query("""SELECT p_partkey, p_name AS label, 'u' || p_partkey AS link, p_type AS zh, p_brand AS en, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS described FROM part""")

@@ -309,3 +309,8 @@ def test_runner(spark):
         runner.run(steps, skip=["z"])
     with pytest.raises(ZeroDivisionError):
         runner.run([step("b", fail)])
+
+
+def test_reconciled_links_of_one_file_use_all_cores(spark):
+    links = registry.queries()["reconciled_links"](spark, "/root/testdata/sf0.001")
+    assert links.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
