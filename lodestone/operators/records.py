@@ -65,20 +65,25 @@ def _packs(df: DataFrame, name: str, rows: int, size: int) -> DataFrame:
 def contained_pairs(short: DataFrame, long: DataFrame, s: str, t: str, threshold: float = 0.0, *, patterns: int = 20_000, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """All pairs (s, t) of distinct strings where the first is part of the second and has at least ``threshold`` of its length.
 
-    Short strings become Aho-Corasick automata of up to ``patterns`` strings, which run over the long ones where these lie, each long string once
-    per automaton. Strings are moved once, when their copies are dropped; the automata's strings are broadcast if they are known to be small.
+    Short strings become Aho-Corasick automata of up to ``patterns`` strings, which run over the long ones, each long string once per automaton. If
+    the smaller side is known to be small it is packed whole and broadcast, and the other one stays where it lies: an automaton of few short strings
+    runs in every task, one of many is made in one task only.
     """
     some = lambda df, c: df.select(F.col(c).alias(c)).where(F.coalesce(F.col(c), F.lit("")) != "").distinct()
     a, b = some(short, s), some(long, t)
-    bound = a.agg(F.coalesce(F.sum(F.octet_length(s)), F.lit(0))).first()[0]
-    blocks, texts = _packs(a, "_s", patterns, 1 << 22), _packs(b, "_t", 200_000, 1 << 23)
+    size = lambda df, c: df.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0]
+    of_a, of_b = size(a, s), size(b, t)
+    few = min(of_a, of_b) <= broadcast_bytes
+    blocks = _packs(a.coalesce(1) if few and of_a <= of_b else a, "_s", patterns, 1 << 22)
+    texts = _packs(b.coalesce(1) if few and of_b < of_a else b, "_t", 200_000, 1 << 23)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         known: dict[tuple, object] = {}
         for batch in batches:
-            for words, strings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row in range(batch.num_rows):
+                words, strings = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 key = (len(words), words[0], words[-1])
                 if key not in known:
                     automaton = ahocorasick.Automaton()
@@ -99,8 +104,11 @@ def contained_pairs(short: DataFrame, long: DataFrame, s: str, t: str, threshold
                 yield pa.record_batch([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["s", "t"])
 
     # an automaton is known by its number of strings and its first and last one, as no string is in two; large packs of texts keep building it cheap
-    pairs = texts.crossJoin(F.broadcast(blocks) if bound <= broadcast_bytes else blocks).select("_s", "_t")
-    return pairs.mapInArrow(search, "s string, t string").toDF(s, t)
+    if few and of_b < of_a:
+        pairs = blocks.crossJoin(F.broadcast(texts))
+    else:
+        pairs = texts.crossJoin(F.broadcast(blocks) if few else blocks)
+    return pairs.select("_s", "_t").mapInArrow(search, "s string, t string").toDF(s, t)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, *, above: bool = False) -> DataFrame:

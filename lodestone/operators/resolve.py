@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import links as L
-from .lineage import cut
+from .lineage import cut, spread
 from .records import contained_pairs, fuzzy_join
 
 # The tiers in their order, and the similarity that a fuzzy match must exceed.
@@ -40,9 +40,10 @@ def keys_of(entities: DataFrame) -> dict[str, DataFrame]:
 
 def candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(q, ord, tier, method, similarity, place): every entity that some tier offers for a query, by its best tier."""
-    keys = keys_of(entities)
+    # the tiers read both sides many times
+    keys = {kind: cut(table) for kind, table in keys_of(cut(spread(entities))).items()}
     asked = queries.select("q", L.strip(F.col("query")).alias("text"), F.coalesce("link", F.lit("")).alias("raw"))
-    asked = asked.withColumns({"normal": L.normalize_v2(F.col("raw")), "title": L.strip(L.title_from_url(F.col("raw")))})
+    asked = cut(asked.withColumns({"normal": L.normalize_v2(F.col("raw")), "title": L.strip(L.title_from_url(F.col("raw")))}))
     parts = []
 
     def add(tier: int, hits: DataFrame, similarity: Column) -> None:
@@ -59,7 +60,7 @@ def candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
         near = fuzzy_join(on, keys[kind], "text", "key", FUZZY, above=True)
         add(tier, on.join(near, "text").join(keys[kind], "key"), F.col("similarity"))
     # links: either contains the other, in normal or in raw form; the first key wins, so all count alike
-    table = keys["link"].withColumn("normal_key", L.normalize_v2(F.col("key")))
+    table = cut(keys["link"].withColumn("normal_key", L.normalize_v2(F.col("key"))))
     for mine, other in (("normal", "normal_key"), ("raw", "key")):
         both = contained_pairs(asked, table, mine, other).select(mine, other).union(contained_pairs(table, asked, other, mine).select(mine, other)).distinct()
         add(8, asked.join(both, mine).join(table, other), F.lit(0.0))

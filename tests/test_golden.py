@@ -314,3 +314,37 @@ def test_runner(spark):
 def test_reconciled_links_of_one_file_use_all_cores(spark):
     links = registry.queries()["reconciled_links"](spark, "/root/testdata/sf0.001")
     assert links.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_the_smaller_side_of_contained_pairs_is_packed_whole(spark, monkeypatch):
+    packed = {}
+    monkeypatch.setattr(records, "_packs", lambda df, name, *size, packs=records._packs: packed.update({name: df.rdd.getNumPartitions()}) or packs(df, name, *size))
+    few = spark.createDataFrame([(f"a word {i}x",) for i in range(40)], "t string")
+    many = spark.range(3000).select(F.col("id").cast("string").alias("s"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in records.contained_pairs(many, few, "s", "t", patterns=100).collect()}
+        assert packed == {"_s": 2, "_t": 1}
+        assert got == {(str(n), f"a word {i}x") for i in range(40) for n in range(3000) if str(n) in f"a word {i}x"}
+        back = {tuple(r) for r in records.contained_pairs(few, many.select(F.concat(F.lit("so a word "), "s", F.lit("x")).alias("u")), "t", "u", patterns=7).collect()}
+        assert packed == {"_s": 1, "_t": 2}
+        assert back == {(f"a word {i}x", f"so a word {i}x") for i in range(40)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
+def test_candidates_read_their_entities_once(spark):
+    from lodestone.plans import catalog_entities
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(label):
+        read.add(1)
+        return label
+
+    folder = "/root/testdata/sf0.001"
+    entities = catalog_entities.entities(spark, folder)
+    resolve.candidates(catalog_entities.queries(spark, folder), entities.withColumn("link", counted("link"))).count()
+    assert read.value <= entities.count()
