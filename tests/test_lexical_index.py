@@ -104,6 +104,31 @@ def test_ranges_out_of_reach_are_not_decoded():
         assert skipped > 100
 
 
+def test_blocks_that_few_ask_for_make_no_matrix():
+    """Keys that one query and one document have are added up one by one; a key of all is multiplied."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    keys, queries, docs = 20_000, 256, 1024
+    weights = np.zeros((queries, keys), np.float64)
+    weights[rng.integers(0, queries, keys), np.arange(keys)] = rng.uniform(0.5, 6, keys)
+    weights[:, 0] = 1.0
+    row = np.concatenate([np.zeros(docs, np.int64), np.arange(1, keys)])
+    spot = np.concatenate([np.arange(docs), rng.integers(0, docs, keys - 1)])
+    part = rng.uniform(0.1, 1, len(row))
+    values = np.zeros((keys, docs))
+    values[row, spot] = part
+    want = np.sort(weights @ values, axis=1)[:, -3:]
+    one = lexical_index.Range(np.arange(keys), np.ones(keys), lambda: (spot, spot, row, part))
+    del values
+    tracemalloc.start()
+    q, _, score, _, _ = lexical_index.best_hits(weights, np.zeros(keys, np.int64), [one], 3, "best")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert all(np.sort(score[q == i])[-3:] == pytest.approx(want[i], abs=1e-8) for i in range(queries))
+
+
 def test_odd_rows_and_empty_indexes(spark, tmp_path):
     rows = [(1, "b a"), (2, "a"), (2, "a b"), (None, "a"), (3, None), (4, ""), (5, "c c"), (7, "a b")]
     docs = spark.createDataFrame(rows, "id long, text string").coalesce(1).withColumn("term", F.lit("clash"))
