@@ -7,6 +7,7 @@ leaves the target as it was. File systems are those that pyarrow knows by URI.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -28,8 +29,9 @@ class Staged(WriterCommitMessage):
 
 
 class PageWriter(DataSourceWriter):
-    def __init__(self, path: str, stage: str):
-        self.path, self.stage = path.rstrip("/"), stage
+    def __init__(self, path: str, stage: str, made: bool = False):
+        # made: the stage exists already, so a task that finds none comes after an abort and must not make it again
+        self.path, self.stage, self.made = path.rstrip("/"), stage, made
 
     def _fs(self):
         from pyarrow import fs
@@ -39,7 +41,7 @@ class PageWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Staged:
         files, root = self._fs()
         folder, names = f"{root}/{self.stage}/{uuid.uuid4().hex}", []
-        files.create_dir(folder, recursive=True)
+        files.create_dir(folder, recursive=not self.made)
         for row in iterator:
             with files.open_output_stream(f"{folder}/{row['filename']}") as out:
                 out.write(row["value"].encode())
@@ -64,8 +66,16 @@ class PageWriter(DataSourceWriter):
         from pyarrow import fs
 
         files, root = self._fs()
-        if files.get_file_info(f"{root}/{self.stage}").type != fs.FileType.NotFound:
-            files.delete_dir(f"{root}/{self.stage}")
+        # other tasks may still be writing, and make a folder that is being deleted not empty
+        for left in reversed(range(20)):
+            if files.get_file_info(f"{root}/{self.stage}").type == fs.FileType.NotFound:
+                return
+            try:
+                files.delete_dir(f"{root}/{self.stage}")
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class PageFiles(DataSource):
@@ -74,7 +84,10 @@ class PageFiles(DataSource):
         return "page_files"
 
     def writer(self, schema, overwrite: bool) -> PageWriter:
-        return PageWriter(self.options["path"], f"_stage-{uuid.uuid4().hex}")
+        writer = PageWriter(self.options["path"], f"_stage-{uuid.uuid4().hex}", made=True)
+        files, root = writer._fs()
+        files.create_dir(f"{root}/{writer.stage}", recursive=True)
+        return writer
 
 
 def write_page_files(pages: DataFrame, path: str, *, failures: str | None = None, least: int = 50) -> None:

@@ -78,6 +78,14 @@ def test_a_failed_job_publishes_nothing(spark, tmp_path):
     assert os.listdir(path) == []
 
 
+def test_a_task_that_starts_after_an_abort_leaves_nothing(tmp_path):
+    writer = page_files.PageFiles({"path": str(tmp_path)}).writer(None, False)
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([{"filename": "late.txt", "value": "late"}]))
+    assert os.listdir(tmp_path) == []
+
+
 def test_a_repeated_attempt_leaves_no_second_file(tmp_path):
     writer = page_files.PageWriter(str(tmp_path), "_stage-x")
     row = lambda name, value: {"filename": name, "value": value}
