@@ -27,6 +27,8 @@ from .lineage import cut
 
 #: Rounding of matrix products: scores closer than this are ties, decided by id.
 DIGITS = 12
+#: Products that exact search holds at a time, whatever its blocks: a task's memory is bounded by it.
+CELLS = 500_000
 HITS = "query_id long, id long, score double, place int"
 STORED = "id long, vector array<double>, list int, part int"
 
@@ -54,8 +56,15 @@ def nearest(
 
     ask, vectors: a matrix of unit vectors for each field; the best field counts, the first at ties. least: scores below it are of no use.
     """
-    each = np.stack([np.round(np.nan_to_num(q @ v.T, nan=-np.inf), DIGITS) for q, v in zip(ask, vectors, strict=True)])
-    place, score = each.argmax(0), each.max(0)
+    score, place = None, np.zeros((len(ask_ids), len(ids)), dtype=np.int32)
+    for i, (q, v) in enumerate(zip(ask, vectors, strict=True)):
+        one = q @ v.T
+        np.round(np.nan_to_num(one, copy=False, nan=-np.inf), DIGITS, out=one)
+        if score is None:
+            score = one
+        else:
+            better = one > score
+            score[better], place[better] = one[better], i
     if exclude_self:
         score[ask_ids[:, None] == ids[None, :]] = -np.inf
     floor = np.full(len(score), -np.inf) if least is None else least
@@ -85,6 +94,27 @@ def packed(df: DataFrame, dims: Sequence[int], rows: int, prefix: str) -> DataFr
     return df.mapInArrow(pack, schema)
 
 
+def block_scorer(dims: Sequence[int], k: int, exclude_self: bool):
+    """Blocks of vectors beside blocks of queries to hits, at most CELLS products (and k for each query) at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                values = lambda name, row=row, batch=batch: batch.column(batch.schema.get_field_index(name)).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+                ids, ask_ids = values("v0"), values("q0")
+                v = [values(f"v{i + 1}").reshape(-1, d) for i, d in enumerate(dims)]
+                q = [values(f"q{i + 1}").reshape(-1, d) for i, d in enumerate(dims)]
+                key = ask_ids.tobytes()
+                step = max(k, CELLS // len(ask_ids))
+                for at in range(0, len(ids), step):
+                    near = ids[at:at + step]
+                    a, r, s, p, least[key] = nearest(q, ask_ids, [x[at:at + step] for x in v], near, k, exclude_self, least.get(key))
+                    yield pa.record_batch(hits_table(ask_ids[a], near[r], s, p))
+
+    return run
+
+
 def exact(queries: DataFrame, vectors: DataFrame, fields: int, k: int, *, exclude_self: bool, block: int, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """(query_id, id, score, place) of at least the k best rows of each query, for tables (id, a vector per field).
 
@@ -103,19 +133,7 @@ def exact(queries: DataFrame, vectors: DataFrame, fields: int, k: int, *, exclud
     small = size["n"] * (8 + 8 * sum(dims)) <= broadcast_bytes
     pairs = known.crossJoin(F.broadcast(asked) if small else asked)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            for row in range(batch.num_rows):
-                values = lambda name, row=row, batch=batch: batch.column(batch.schema.get_field_index(name)).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-                ids, ask_ids = values("v0"), values("q0")
-                v = [values(f"v{i + 1}").reshape(-1, d) for i, d in enumerate(dims)]
-                q = [values(f"q{i + 1}").reshape(-1, d) for i, d in enumerate(dims)]
-                key = ask_ids.tobytes()
-                a, r, s, p, least[key] = nearest(q, ask_ids, v, ids, k, exclude_self, least.get(key))
-                yield pa.record_batch(hits_table(ask_ids[a], ids[r], s, p))
-
-    return pairs.mapInArrow(score, HITS)
+    return pairs.mapInArrow(block_scorer(dims, k, exclude_self), HITS)
 
 
 def centres_of(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 7) -> np.ndarray:

@@ -1,5 +1,7 @@
 """The stored vector index: recall against brute force, appended rows, hot lists, odd rows; exact search in blocks."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -93,3 +95,23 @@ def test_registered_query_reaches_its_recall(spark):
     x = np.array([r["embedding"] for r in rows], dtype=np.float64)
     assert [r["vec_id"] for r in rows] == list(range(len(rows)))
     assert recall(registry.queries()["knn_index"](spark, folder), truth(x, range(0, len(x), 50), 10)) >= 0.9
+
+
+def test_exact_search_holds_few_products_at_once():
+    rng, dims = np.random.default_rng(3), [4, 4]
+    v, q = rng.standard_normal((2, 4096, 4)), rng.standard_normal((2, 2048, 4))
+    one = lambda x: pa.array([x.reshape(-1).tolist()])
+    unit = [[vector_index.unit(m) for m in x] for x in (v, q)]
+    batch = pa.record_batch({
+        "v0": one(np.arange(4096)), "v1": one(unit[0][0]), "v2": one(unit[0][1]), "q0": one(np.arange(9000, 11048)), "q1": one(unit[1][0]), "q2": one(unit[1][1])})
+    tracemalloc.start()
+    hits = pa.Table.from_batches([*vector_index.block_scorer(dims, 5, True)(iter([batch]))]).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000  # all products at once are 67 MB for each field
+    got = hits.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(5)
+    each = np.stack([np.round(a @ b.T, 12) for a, b in zip(unit[1], unit[0], strict=True)])
+    score = each.max(0)
+    want = np.stack([np.lexsort((np.arange(4096), -s))[:5] for s in score])
+    assert (got["id"].to_numpy().reshape(-1, 5) == want).all()
+    assert (got["place"].to_numpy().reshape(-1, 5) == np.take_along_axis(each.argmax(0), want, 1)).all()
