@@ -25,8 +25,8 @@ from .common import process_cache, slices
 BITS, ORDERS = 17, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SCALE = 64.0
-#: Characters that are looked at together, whatever the length of a text.
-PIECE = 1_000_000
+#: Characters of a text that are looked at in one go, and those of several texts together: each takes a line of numbers for every language.
+PIECE = TOGETHER = 250_000
 
 
 def letters() -> np.ndarray:
@@ -79,7 +79,7 @@ class Model:
         pieces = [(i, low[max(0, a - ORDERS + 1) : a + PIECE], min(a, ORDERS - 1), a + PIECE >= len(low)) for i, t in enumerate(texts) if t for low in [t.lower()] for a in range(0, len(low), PIECE)]
         n = len(texts)
         total, has, logits = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros((n, len(self.langs)))
-        for a, b in slices([p[1] for p in pieces], PIECE):
+        for a, b in slices([p[1] for p in pieces], TOGETHER):
             of = np.array([p[0] for p in pieces[a:b]])
             codes, starts = code_points([p[1] for p in pieces[a:b]])
             at, again = starts[:-1], np.zeros(len(codes), dtype=bool)

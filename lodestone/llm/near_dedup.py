@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, slices
+from .common import PART, cut, fresh, slices
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 K = BANDS * ROWS
@@ -196,7 +196,7 @@ def described(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [None if t is None or t != t else t for t in batch["text"].tolist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, PART):
                 out = describe(texts[a:b])
                 out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].to_numpy())
                 yield out

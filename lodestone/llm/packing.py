@@ -29,18 +29,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, slices, stored
+from .common import PART, process_cache, slices, stored
 
 WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
 TOKENS = "doc_id long, tokens binary, bin int, df binary"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Where pieces can't be encoded one by one.
-WHOLE = re.compile(r" (?:\s|$)|<\|")
-CACHED = 600_000
+CACHED = 400_000
 #: Plain letters and the ASCII marks behind them, which the tokenizer's own splitting takes apart.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-/:-@\[-`{-~]+\Z")
 #: Lexical keys of documents are counted in so many bins.
@@ -73,22 +72,33 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list) -> list[bytes]:
-        out: list = [self.end] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and WHOLE.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids + self.end
-        done = set(whole)
-        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if t and i not in done]
-        heads = self._ids([parts[0] for _, parts in cut])
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        coded, bounds = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        pieces, at, starts = coded.dictionary.to_pylist(), coded.indices.to_numpy(), bounds[:-1]
+        # a space before white space or the end, and what looks like a special token
+        special = np.fromiter(("<|" in p for p in pieces), bool, len(pieces))
+        odd = special | np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
+        doubtful = odd[at]
+        doubtful[starts] = special[at[starts]]
+        whole = np.add.reduceat(doubtful, starts, dtype=np.int64) > 0
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        found = [[*map(known.get, parts[1:])] for _, parts in cut]
-        self._learn({p for (_, parts), got in zip(cut, found, strict=True) for p, ids in zip(parts[1:], got, strict=True) if ids is None})
-        for (i, parts), head, got in zip(cut, heads, found, strict=True):
-            if None in got:
-                got = [known[p] if ids is None else ids for p, ids in zip(parts[1:], got, strict=True)]
-            out[i] = b"".join([head, *got, self.end])
+        ids = [*map(known.get, pieces)]
+        new = [i for i, x in enumerate(ids) if x is None and not odd[i]]
+        if new:
+            self._learn({pieces[i] for i in new})
+            for i in new:
+                ids[i] = known[pieces[i]]
+        placed = pa.array(ids, pa.large_binary()).take(coded.indices)
+        data, ends = memoryview(placed.buffers()[2] or b""), np.frombuffer(placed.buffers()[1], "<i8")[: len(at) + 1].tolist()
+        heads = self._ids(["" if w else pieces[i] for w, i in zip(whole, at[starts].tolist(), strict=True)])
+        out = [b"".join([head, data[ends[i + 1] : ends[j]], self.end]) for head, i, j in zip(heads, starts.tolist(), bounds[1:].tolist(), strict=True)]
+        rest = np.flatnonzero(whole).tolist()
+        for i, x in zip(rest, self._ids([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = x + self.end
         return out
 
     def _learn(self, new: set[str]) -> None:
@@ -222,7 +232,7 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
     df, docs, length = np.zeros(vocabulary, dtype="<i8"), 0, 0
     for batch in batches:
         texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-        for a, b in slices(texts):
+        for a, b in slices(texts, PART):
             tokens = encode.encode(texts[a:b])
             flat, n = np.frombuffer(b"".join(tokens), "<u4"), np.array([len(t) // 4 for t in tokens])
             held = np.unique((np.repeat(np.arange(b - a, dtype=np.int64), n) << 32) | flat) & 0xFFFFFFFF

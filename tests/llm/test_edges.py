@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,17 @@ def test_warc_rolls_archives(spark, tmp_path):
     assert len(manifest) > 3
     read = warc.read_archives(spark.createDataFrame(manifest), str(tmp_path))
     assert sorted(r["page_id"] for r in read.collect()) == list(range(30))
+
+
+def test_packing_encodes_in_small_parts_with_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    odd = [None, "", " ", "  ", " a", "a ", "a  b", "a \nb c.\nD e,", "<|endoftext|> a", "a <|endoftext|>", "é 　x", "it's ok\0 a"]
+    texts = odd + [" ".join(f"w{i * 31 + j}." for j in range(2000)) for i in range(100)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    parts = [p for p in packing.encode_rows(iter([batch]), packing.default_tokenizer()) if p.column("bin")[0].as_py() >= 0]
+    of = dict(enumerate(texts))
+    assert all(sum(len(of[i] or "") for i in p.column("doc_id").to_pylist()) <= 400_000 for p in parts)
+    got = {i: np.frombuffer(t, "<u4").tolist() for p in parts for i, t in zip(p.column("doc_id").to_pylist(), p.column("tokens").to_pylist(), strict=True)}
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    assert got == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t in of.items()}
