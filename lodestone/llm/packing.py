@@ -9,9 +9,9 @@ is its seed, and when it is used up its unused neighbours by all of its terms (b
 first, fill the window for as long as any scores above zero; the last one is cut and its rest opens
 the next window. Every window is full except the last of each shard.
 
-Tokens come from the given tokenizer. As byte-level BPE splits before a space that another
-character follows, texts are encoded piece by piece with a cache of pieces; a text for
-which that isn't exact (spaces next to other white space, special tokens) is encoded whole.
+Tokens are those of the given tokenizer. Where its merges can be read as byte ranks without changing an id (``merge_ranks``
+checks that), texts are encoded by these ranks; texts with added tokens or very long white space, and all texts
+of other tokenizers, go through the tokenizer itself.
 
 Defined results: null text is empty, and every document ends with id 0, so an empty document has
 one token. Every character of a text is encoded, NUL included. A text of any length is cut into as many
@@ -21,10 +21,13 @@ that repeat are packed as often as they occur. Extra columns are ignored; an emp
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -39,9 +42,12 @@ WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
 TOKENS = "doc_id long, tokens binary, bin int, df binary"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHED = 400_000
-#: Plain letters and the ASCII marks behind them, which the tokenizer's own splitting takes apart.
-WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-/:-@\[-`{-~]+\Z")
+#: How byte-level tokenizers split a text, and the same where no two characters of white space meet, which needs no look-ahead.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SINGLE = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The look-ahead's stack overflows on runs of about a million.
+LONG_RUN = re.compile(r"\s{1000}")
 #: Lexical keys of documents are counted in so many bins.
 BINS = 1 << 18
 SHARDS_A_TASK = 8
@@ -53,74 +59,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The character that byte-level tokenizers write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def merge_ranks(tokenizer, described: dict) -> dict[bytes, int] | None:
+    """The bytes of each token and its id, if lowest-rank merging by them gives the tokenizer's own ids for every text; else None.
+
+    That holds where ids rise with the merges and the tokenizer makes each token, given alone, one token: two neighbours whose
+    bytes are a token then always are the pair that its merge names, since what lies between a token's ends merges as it would alone.
+    """
+    model, split, alphabet = described["model"], described["pre_tokenizer"] or {}, byte_alphabet()
+    unusual = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    if model["type"] != "BPE" or any(model.get(k) for k in unusual) or described["normalizer"]:
+        return None
+    if split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        return None
+    added = {t["content"] for t in described["added_tokens"]}
+    ids = {t: i for t, i in model["vocab"].items() if t not in added}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [ids.get(t, -1) for t in merged]
+    if len(ids) != 256 + len(merged) or not set(alphabet) <= set(ids) or any(x >= y for x, y in zip([-1, *order], order)):
+        return None
+    if any([t.id for t in tokenizer.model.tokenize(t)] != [i] for t, i in ids.items()):
+        return None
+    return {bytes(alphabet[c] for c in t): i for t, i in ids.items()}
+
+
 class Encoder:
     """Text to little-endian unsigned 32-bit ids, the end id included."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.tails = Tokenizer.from_file(path), {}, {}
-        self.end = np.array([END], dtype="<u4").tobytes()
-        vocabulary = self.tokenizer.get_vocab()
+        self.path, self.end = path, np.array([END], dtype="<u4").tobytes()
+        tokenizer = self._loaded()
+        vocabulary = tokenizer.get_vocab()
         #: Bytes that each id stands for: a byte-level token has a character for each.
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        ranks = merge_ranks(tokenizer, described)
+        self.single = self.runs = None
+        if ranks:
+            import tiktoken
+
+            self.single, self.runs = (tiktoken.Encoding("packing", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (SINGLE, PATTERN))
+        self.added = "|".join(re.escape(t["content"]) for t in described["added_tokens"])
+
+    def _loaded(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    @cached_property
+    def tokenizer(self):
+        """Kept only where texts need it: it takes more memory than everything else here."""
+        return self._loaded()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list) -> list[bytes]:
-        if not texts:
-            return []
-        parts = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
-        coded, bounds = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
-        pieces, at, starts = coded.dictionary.to_pylist(), coded.indices.to_numpy(), bounds[:-1]
-        # a space before white space or the end, and what looks like a special token
-        special = np.fromiter(("<|" in p for p in pieces), bool, len(pieces))
-        odd = special | np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))
-        doubtful = odd[at]
-        doubtful[starts] = special[at[starts]]
-        whole = np.add.reduceat(doubtful, starts, dtype=np.int64) > 0
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
-        ids = [*map(known.get, pieces)]
-        new = [i for i, x in enumerate(ids) if x is None and not odd[i]]
-        if new:
-            self._learn({pieces[i] for i in new})
-            for i in new:
-                ids[i] = known[pieces[i]]
-        placed = pa.array(ids, pa.large_binary()).take(coded.indices)
-        data, ends = memoryview(placed.buffers()[2] or b""), np.frombuffer(placed.buffers()[1], "<i8")[: len(at) + 1].tolist()
-        heads = self._ids(["" if w else pieces[i] for w, i in zip(whole, at[starts].tolist(), strict=True)])
-        out = [b"".join([head, data[ends[i + 1] : ends[j]], self.end]) for head, i, j in zip(heads, starts.tolist(), bounds[1:].tolist(), strict=True)]
-        rest = np.flatnonzero(whole).tolist()
-        for i, x in zip(rest, self._ids([texts[i] for i in rest]) if rest else [], strict=True):
-            out[i] = x + self.end
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        has = lambda pattern: pc.match_substring_regex(column, pattern).to_pylist()
+        added = has(self.added) if self.added else [False] * len(texts)
+        out = []
+        for t, a, r in zip(texts, added, has(SPACE + "{2}"), strict=True):
+            if a or self.single is None or r and LONG_RUN.search(t):
+                ids = self._whole(t or "")
+            else:
+                ids = (self.runs if r else self.single)(t or "")
+            out.append(np.array(array("I", ids), dtype="<u4").tobytes() + self.end)
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """The ids of new pieces, each with the space before it, encoded in one call and cut apart where their bytes end. A word and
-        the punctuation behind it are tokens apart, so only words that are new need encoding."""
-        known = self.known
-        ends = {p: m.end(1) for p in new if (m := WORD_AND_MARKS.match(p))}
-        words = [p for p in new if p not in ends]
-        words += [w for w in {p[:n] for p, n in ends.items()} if w not in known and w not in new]
-        self._encode_pieces([f" {w}" for w in words], words, known)
-        tails = [x for x in {p[n:] for p, n in ends.items()} if x not in self.tails]
-        self.tails.update(zip(tails, self._ids(tails) if tails else [], strict=True))
-        for p, n in ends.items():
-            known[p] = known[p[:n]] + self.tails[p[n:]]
-
-    def _encode_pieces(self, pieces: list[str], names: list[str], into: dict[str, bytes]) -> None:
-        if pieces:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-            data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
-            into.update((p, data[a:b]) for p, a, b in zip(names, ends, ends[1:], strict=False))
-
 
 def encoder(path: str) -> Encoder:
     known = process_cache()
@@ -155,7 +171,7 @@ class Index:
         self.terms = term
         self.rows = np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
-        self.posting, self.weight = doc[order], impact[order].astype(np.float32)
+        self.posting, self.weight = doc[order], impact[order].astype(np.float32).astype(np.float64)
         self.start, self.df = np.concatenate([[0], np.cumsum(df)]), df
 
     def scores(self, seed: int) -> np.ndarray:
@@ -206,22 +222,30 @@ def pack_shard(docs: list[np.ndarray], corpus: Statistics, window: int = WINDOW)
             current = unused_in_order()
 
 
+@lru_cache(maxsize=1)
+def min_hashes(vocabulary: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each min-hash: the ids in their random order, each id's place in it, and a random number an id."""
+    rng, out = np.random.default_rng(17), []
+    for _ in range(2):
+        cost = rng.exponential(size=vocabulary) / (1 + np.arange(vocabulary))
+        cost[END] = np.inf
+        order = np.argsort(cost)
+        rank = np.empty(vocabulary, dtype=np.int32)
+        rank[order] = np.arange(vocabulary)
+        out.append((order, rank, rng.integers(0, 1 << 40, vocabulary)))
+    return out
+
+
 def lexical_bins(tokens: list[bytes], vocabulary: int) -> np.ndarray:
     """A bin per document: two weighted min-hashes of its ids, later ids of the vocabulary (rarer pieces) weighing more.
 
     Two documents share a bin with about the square of their weighted similarity; bins are in random order.
     """
-    rng = np.random.default_rng(17)
     flat, starts = np.frombuffer(b"".join(tokens), "<u4"), np.cumsum([0, *[len(t) // 4 for t in tokens]])[:-1]
     out = np.zeros(len(tokens), dtype=np.int64)
-    for _ in range(2 if tokens else 0):
-        cost = rng.exponential(size=vocabulary) / (1 + np.arange(vocabulary))
-        cost[END] = np.inf
-        order = np.argsort(cost)
-        rank = np.empty(vocabulary, dtype=np.int64)
-        rank[order] = np.arange(vocabulary)
+    for order, rank, drawn in min_hashes(vocabulary) if tokens else ():
         least = order[np.minimum.reduceat(rank[flat], starts)]
-        out = out * 31 + rng.integers(0, 1 << 40, vocabulary)[least]
+        out = out * 31 + drawn[least]
     return (out % BINS).astype(np.int32)
 
 
@@ -235,8 +259,9 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
         for a, b in slices(texts, PART):
             tokens = encode.encode(texts[a:b])
             flat, n = np.frombuffer(b"".join(tokens), "<u4"), np.array([len(t) // 4 for t in tokens])
-            held = np.unique((np.repeat(np.arange(b - a, dtype=np.int64), n) << 32) | flat) & 0xFFFFFFFF
-            df += np.bincount(held, minlength=vocabulary)
+            held = (np.repeat(np.arange(b - a, dtype=np.int64), n) << 32) | flat
+            held.sort()
+            df += np.bincount(held[np.concatenate([[True], held[1:] != held[:-1]])] & 0xFFFFFFFF, minlength=vocabulary)
             docs, length = docs + b - a, length + len(flat)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a), pa.array(tokens, pa.binary()), pa.array(lexical_bins(tokens, vocabulary)), pa.nulls(b - a, pa.binary())], names=["doc_id", "tokens", "bin", "df"])

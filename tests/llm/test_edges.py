@@ -268,3 +268,45 @@ def test_packing_encodes_in_small_parts_with_the_tokenizers_ids():
     got = {i: np.frombuffer(t, "<u4").tolist() for p in parts for i, t in zip(p.column("doc_id").to_pylist(), p.column("tokens").to_pylist(), strict=True)}
     plain = Tokenizer.from_file(packing.default_tokenizer())
     assert got == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t in of.items()}
+
+
+def test_packing_encodes_by_byte_ranks_only_where_they_give_the_tokenizers_ids(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    plain = packing.default_tokenizer()
+    by_ranks = packing.Encoder(plain)
+    # a second way to "abc": by ranks a + bc would merge too, by the tokenizer's own merges only ab + c does
+    with open(plain, encoding="utf-8") as f:
+        other = json.load(f)
+    letters = [t for t in other["model"]["vocab"] if len(t) == 1]
+    other["model"] |= {"vocab": {t: i for i, t in enumerate([*letters, "bc", "ab", "abc"])}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}
+    path = str(tmp_path / "own.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(other, f)
+    by_merges = packing.Encoder(path)
+    assert by_ranks.single is not None and by_merges.single is None
+    rng = random.Random(3)
+    texts = [None, "", "abc ab bc", "a" * 3000 + "abc", " " * 5000 + "a", "\n" * 1_100_000 + "a", "a　 b \x1c\x1d c", "<|endoftext|>", "x <|endoftext|>y  z"]
+    texts += ["".join(rng.choice("abcé ñ中\n\t '’sS1٣²#$\x85\xa0😀́") for _ in range(300)) for _ in range(40)]
+    for encoder, of in ((by_ranks, plain), (by_merges, path)):
+        tokenizer = Tokenizer.from_file(of)
+        got = [np.frombuffer(t, "<u4").tolist() for t in encoder.encode(texts)]
+        assert got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_packing_keeps_no_table_of_pieces():
+    """Words that never come again must not gather in a worker: the executor's memory is shared with all other stages."""
+    import tracemalloc
+
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    try:
+        for k in range(10):
+            encoder.encode([" ".join(f"{k}word{i}x{j}" for j in range(2000)) for i in range(10)])
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 2_000_000
