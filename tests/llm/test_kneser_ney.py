@@ -150,3 +150,18 @@ def test_toxicity_odd_rows(spark):
     one = toxicity.score(df.where("toxic = 0"), F.lit(True), F.lit(True), F.col("toxic"))
     assert {r["score"] for r in one.collect()} == {0.0}
     assert toxicity.score(df.limit(0), F.lit(True), F.lit(True), F.col("toxic")).count() == 0
+
+
+def test_each_part_weighs_its_own_hot_ngrams(spark):
+    """A scan works only on its part's n-grams, the hot ones included: three scans weigh each once, none weighs all."""
+    import numpy as np
+
+    text = " ".join(f"w{i}" for i in range(60))
+    doc, w = kneser_ney.tokens([text])
+    keys = np.unique(kneser_ney.marked(np.concatenate([w, kneser_ney.pair_hash(kneser_ney.contexts(doc, w), w)]), np.zeros(2 * len(w), np.int64)))
+    bits = np.full(1 << (kneser_ney.BITS - 3), 255, np.uint8)
+    shared = spark.sparkContext.broadcast((np.array([0.0]), keys, np.ones(len(keys)), bits))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("which", F.lit(0))
+    weighed = [kneser_ney.features(docs, shared, p, 3).where("total IS NOT NULL").agg(F.sum("total"), F.sum("words")).first() for p in range(3)]
+    assert [r[0] for r in weighed] == [int(kneser_ney.in_part(keys, p, 3).sum()) for p in range(3)]
+    assert sum(r[1] for r in weighed) == len(w)
