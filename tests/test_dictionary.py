@@ -252,3 +252,23 @@ def test_a_token_is_not_looked_for_in_the_whole_text():
 
     text = Text("a b " * 2000)
     assert annotation.align_tokens(text, ["zz", "a", "zz", "b"] * 500, len(text))[1] is not None and Text.longest < 100
+
+
+class CountedLexicon(dictionary.Lexicon):
+    tries = 0
+
+    def at(self, text, start):
+        self.tries += 1
+        return super().at(text, start)
+
+
+def test_a_text_is_not_tried_place_by_place(monkeypatch):
+    words = {"ab": 1.0, "abc": 2.0, "bc": 3.0, "c": 1.0}
+    lexicon = CountedLexicon(words)
+    text = "abcab" * 2000
+    # pieces of a text end within words
+    monkeypatch.setattr(dictionary, "STEP", 7, raising=False)
+    assert dictionary.all_words(lexicon, text) == ["abc", "ab", "bc", "c", "ab"] * 2000
+    assert dictionary.best_path(lexicon, text, 8.0) == ["abc", "ab"] * 2000
+    assert dictionary.convert(CountedLexicon({"ab": "1", "abc": "2", "b": "3"}), text) == "21" * 2000
+    assert lexicon.tries <= len(words)
