@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,14 @@ def spread(table: DataFrame) -> DataFrame:
     """A table as read, on all cores: one in fewer partitions than there are cores, such as a single file, is dealt out."""
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def unguessed(table: DataFrame) -> DataFrame:
+    """For the larger side of a join: it is shuffled and never sent whole through the driver. Spark takes a checkpointed table's size from the compressed
+    files behind it, up to a hundredth of what its rows take in memory."""
+    return table.hint("merge")
+
+
+def asking(table: DataFrame, rows: int = 20_000) -> DataFrame:
+    """For the smaller side of a join: broadcast if it is counted to be small, else shuffled. It is read for the count, so cut it before."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")

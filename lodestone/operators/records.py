@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lineage import cut
+from .lineage import cut, unguessed
 
 
 def first_by(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -107,7 +107,7 @@ def contained_pairs(short: DataFrame, long: DataFrame, s: str, t: str, threshold
     if few and of_b < of_a:
         pairs = blocks.crossJoin(F.broadcast(texts))
     else:
-        pairs = texts.crossJoin(F.broadcast(blocks) if few else blocks)
+        pairs = texts.crossJoin(F.broadcast(blocks) if few else blocks.hint("shuffle_replicate_nl"))
     return pairs.select("_s", "_t").mapInArrow(search, "s string, t string").toDF(s, t)
 
 
@@ -117,7 +117,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: flo
     x = low(left.select(F.col(a)).where(F.coalesce(F.col(a), F.lit("")) != "").distinct(), a)
     y = low(right.select(F.col(b)).where(F.coalesce(F.col(b), F.lit("")) != "").distinct(), b)
     pairs = contained_pairs(x, y, f"_{a}", f"_{b}", threshold).union(contained_pairs(y, x, f"_{b}", f"_{a}", threshold).select(f"_{a}", f"_{b}")).distinct()
-    out = pairs.join(x, f"_{a}").join(y, f"_{b}").select(a, b, T.containment(F.col(a), F.col(b)).alias("similarity"))
+    out = pairs.join(unguessed(x), f"_{a}").join(unguessed(y), f"_{b}").select(a, b, T.containment(F.col(a), F.col(b)).alias("similarity"))
     return out.where(F.col("similarity") > threshold if above else F.col("similarity") >= threshold)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import links as L
-from .lineage import cut, spread
+from .lineage import asking, cut, spread, unguessed
 from .records import contained_pairs, fuzzy_join
 
 # The tiers in their order, and the similarity that a fuzzy match must exceed.
@@ -44,12 +44,13 @@ def candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
     keys = {kind: cut(table) for kind, table in keys_of(cut(spread(entities))).items()}
     asked = queries.select("q", L.strip(F.col("query")).alias("text"), F.coalesce("link", F.lit("")).alias("raw"))
     asked = cut(asked.withColumns({"normal": L.normalize_v2(F.col("raw")), "title": L.strip(L.title_from_url(F.col("raw")))}))
+    few = asking(asked)
     parts = []
 
     def add(tier: int, hits: DataFrame, similarity: Column) -> None:
         parts.append(hits.select("q", "ord", F.lit(tier).alias("tier"), F.lit(TIERS[tier - 1]).alias("method"), similarity.cast("double").alias("similarity"), "place"))
 
-    equal = lambda on, kind: asked.where(F.coalesce(F.col(on), F.lit("")) != "").join(keys[kind], F.col(on) == F.col("key"))
+    equal = lambda on, kind: unguessed(keys[kind]).join(few.where(F.coalesce(F.col(on), F.lit("")) != ""), F.col(on) == F.col("key"))
     add(1, equal("text", "label"), F.lit(1.0))
     add(2, equal("text", "alias"), F.lit(1.0))
     add(3, equal("title", "title"), F.lit(1.0))
@@ -58,12 +59,12 @@ def candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
     add(4, equal("raw", "link").join(by_normal.select("q").distinct(), "q", "left_anti"), F.lit(1.0))
     for tier, kind, on in ((5, "label", asked), (6, "alias", asked), (7, "title", asked.where("title <> ''"))):
         near = fuzzy_join(on, keys[kind], "text", "key", FUZZY, above=True)
-        add(tier, on.join(near, "text").join(keys[kind], "key"), F.col("similarity"))
+        add(tier, near.join(unguessed(keys[kind]), "key").join(unguessed(on), "text"), F.col("similarity"))
     # links: either contains the other, in normal or in raw form; the first key wins, so all count alike
     table = cut(keys["link"].withColumn("normal_key", L.normalize_v2(F.col("key"))))
     for mine, other in (("normal", "normal_key"), ("raw", "key")):
         both = contained_pairs(asked, table, mine, other).select(mine, other).union(contained_pairs(table, asked, other, mine).select(mine, other)).distinct()
-        add(8, asked.join(both, mine).join(table, other), F.lit(0.0))
+        add(8, both.join(few, mine).join(unguessed(table), other), F.lit(0.0))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -112,7 +113,7 @@ def greedy_one_to_one(offers: DataFrame, *, group: int = 1000) -> DataFrame:
 def match(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """``queries`` with ``ord`` and ``method`` of the entity each is assigned to, null if none is left for it."""
     offers = cut(candidates(queries, entities))
-    taken = greedy_one_to_one(offers).join(offers.select("q", "ord", "method"), ["q", "ord"])
+    taken = greedy_one_to_one(offers).join(unguessed(offers.select("q", "ord", "method")), ["q", "ord"])
     return queries.join(taken, "q", "left")
 
 

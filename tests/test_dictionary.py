@@ -272,3 +272,16 @@ def test_a_text_is_not_tried_place_by_place(monkeypatch):
     assert dictionary.best_path(lexicon, text, 8.0) == ["abc", "ab"] * 2000
     assert dictionary.convert(CountedLexicon({"ab": "1", "abc": "2", "b": "3"}), text) == "21" * 2000
     assert lexicon.tries <= len(words)
+
+
+def test_large_sides_of_a_match_are_not_broadcast(spark):
+    """Sizes that Spark guesses from compressed files are too small; 20,001 queries and all entities are shuffled."""
+    from lodestone.operators import resolve
+
+    queries = spark.range(20_001).select(F.col("id").alias("q"), F.when(F.col("id") < 3, F.concat(F.lit("name "), F.col("id").cast("string"))).otherwise("--").alias("query"), F.lit("").alias("link"))
+    entities = spark.range(5).select(
+        F.col("id").alias("ord"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("label"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("link"), F.array().cast("array<string>").alias("aliases_zh"),
+        F.array().cast("array<string>").alias("aliases_en"))
+    found = resolve.candidates(queries, entities)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["q"], r["ord"], r["tier"]) for r in found.collect()) == [(i, i, 1) for i in range(3)]
