@@ -117,7 +117,7 @@ def _block_scorer(boosts: Sequence[float], means: Sequence[float], how: str, k1:
 def search_fields(
     docs: DataFrame, id_col: str, fields: Mapping[str, tuple[Column, float]], queries: DataFrame, query_id: str, query: Column, *,
     how: str = "best", analyzers: Mapping[str, Analyzer] | None = None, search_analyzer: Analyzer | None = None, k1: float = K1, b: float = B,
-    block: int = 4096, at_once: int = 512, broadcast_rows: int = 1_000_000,
+    block: int = 4096, at_once: int = 512, broadcast_rows: int = 1_000_000, digits: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, field) of all matching documents over several fields, each a (text, boost): an OR of the query's distinct terms.
 
@@ -125,17 +125,17 @@ def search_fields(
     OR of clauses does. ``field`` is the field with the highest score.
 
     Documents are packed in blocks where they lie and scored there against blocks of queries, so neither postings nor pairs are shuffled; what is moved are
-    the counts of the queries' terms. Queries of the same terms are scored once. Rows that repeat an id count as one document for each length it has, and their scores add up.
+    the counts of the queries' terms. Queries of the same terms are scored once, and where ``digits`` are given their scores are rounded once. Rows that repeat an id count as one document for each length it has, and their scores add up.
     """
     names = list(fields)
     boosts = [float(boost) for _, boost in fields.values()]
     use = lambda n: (analyzers or {}).get(n, T.standard_tokens)
     rows = docs.select(F.col(id_col).alias("id"), *[use(n)(text).alias(f"t{i}") for i, (n, (text, _)) in enumerate(fields.items())])
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
-        return _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyzers, search_analyzer, k1, b)
+        return _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyzers, search_analyzer, k1, b, digits)
     each = {search_analyzer or use(n) for n in names}
     if len(each) > 1:
-        return _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyzers, search_analyzer, k1, b)
+        return _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyzers, search_analyzer, k1, b, digits)
     members, wanted = _asked(queries, query_id, query, each.pop())
     # one row
     counted = rows.agg(*[F.count_if(F.size(f"t{i}") > 0).alias(f"n{i}") for i in range(len(names))], *[F.avg(F.when(F.size(f"t{i}") > 0, F.size(f"t{i}"))).alias(f"m{i}") for i in range(len(names))]).first()
@@ -163,8 +163,18 @@ def search_fields(
     hits = known.crossJoin(F.broadcast(cut(asked)) if weighed.count() <= broadcast_rows else asked).mapInArrow(
         _block_scorer(boosts, means, how, k1, b, id_arrow), f"class long, id {id_sql}, score double, place int")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1)
+    # what is computed of a hit is computed before it goes to all queries of its class
+    hits = hits.select("class", "id", _rounded("score", digits), name.alias("field"))
     members = cut(members)
-    return hits.join(F.broadcast(members) if members.count() <= broadcast_rows else members, "class").select("query_id", "id", "score", name.alias("field"))
+    if members.count() > broadcast_rows:
+        return hits.join(members, "class").select("query_id", "id", "score", "field")
+    # a class's queries lie side by side, so that a hit goes to them without a look-up for each; null ids stay
+    beside = members.groupBy("class").agg(F.flatten(F.collect_list(F.array("query_id"))).alias("_asked"))
+    return hits.join(F.broadcast(beside), "class").select(F.explode("_asked").alias("query_id"), "id", "score", "field")
+
+
+def _rounded(score: str, digits: int | None) -> Column:
+    return F.col(score) if digits is None else F.round(score, digits).alias(score)
 
 
 def _no_hits(rows: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def _query_block(fields: int):
     return run
 
 
-def _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyzers, search_analyzer, k1, b) -> DataFrame:
+def _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyzers, search_analyzer, k1, b, digits=None) -> DataFrame:
     """The same by joins, where rows repeat an id or fields split queries in different ways: postings of one id and length are added up, and so are the scores of an id."""
     parts = None
     for i, (n, boost) in enumerate(zip(names, boosts, strict=True)):
@@ -206,7 +216,7 @@ def _fields_by_joins(rows, names, boosts, queries, query_id, query, how, analyze
         of = of.select("query_id", "id", (F.col("score") * boost).alias("score"), F.lit(i).alias("place"), F.lit(n).alias("field"))
         parts = of if parts is None else parts.unionByName(of)
     best = F.max_by("field", F.struct(F.round("score", 9), -F.col("place"))).alias("field")
-    return parts.groupBy("query_id", "id").agg((F.max if how == "best" else F.sum)("score").alias("score"), best)
+    return parts.groupBy("query_id", "id").agg((F.max if how == "best" else F.sum)("score").alias("score"), best).select("query_id", "id", _rounded("score", digits), "field")
 
 
 def bm25(

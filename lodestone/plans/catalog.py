@@ -258,7 +258,7 @@ def _searched(spark, d, boosts: dict[str, float], how: str, k: int, index: lexic
 
 def _fields(spark, d, boosts: dict[str, float], how: str) -> DataFrame:
     part, asked, texts = _parts(spark, d)
-    return search.search_fields(part, "p_partkey", {n: (texts[n], b) for n, b in boosts.items()}, asked, "query_id", F.col("text"), how=how)
+    return search.search_fields(part, "p_partkey", {n: (texts[n], b) for n, b in boosts.items()}, asked, "query_id", F.col("text"), how=how, digits=6)
 
 
 SHOULD = {"label": 2.0, "aliases_zh": 2.0}
@@ -268,17 +268,17 @@ WIDE = {**NARROW, "content": 2.0}
 
 @query(f"SELECT query_id, id, round(score, 6) AS score FROM {fields_sql(SHOULD, 'sum')}")
 def bm25_bool_should(spark, d):
-    return _fields(spark, d, SHOULD, "sum").select("query_id", "id", F.round("score", 6).alias("score"))
+    return _fields(spark, d, SHOULD, "sum").drop("field")
 
 
 @query(f"SELECT query_id, id, round(score, 6) AS score, field FROM {fields_sql(NARROW, 'max')}")
 def bm25_multi_match_best_fields(spark, d):
-    return _fields(spark, d, NARROW, "best").select("query_id", "id", F.round("score", 6).alias("score"), "field")
+    return _fields(spark, d, NARROW, "best")
 
 
 @query(f"SELECT query_id, id, round(score, 6) AS score FROM {fields_sql(WIDE, 'max')}")
 def bm25_best_fields_with_content(spark, d):
-    return _fields(spark, d, WIDE, "best").select("query_id", "id", F.round("score", 6).alias("score"))
+    return _fields(spark, d, WIDE, "best").drop("field")
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:

@@ -285,3 +285,18 @@ def test_large_sides_of_a_match_are_not_broadcast(spark):
     found = resolve.candidates(queries, entities)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["q"], r["ord"], r["tier"]) for r in found.collect()) == [(i, i, 1) for i in range(3)]
+
+
+def test_scores_are_rounded_once_for_all_queries_of_a_class(spark):
+    for name in ("bm25_bool_should", "bm25_multi_match_best_fields", "bm25_best_fields_with_content"):
+        plan = registry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join Inner") < plan.index("round("), name
+
+
+def test_full_scores_reach_null_and_repeated_queries(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, t string")
+    asked = spark.createDataFrame([(7, "a"), (None, "a"), (8, "a"), (9, "c b")], "q long, t string")
+    want = sorted([(7, 1), (-1, 1), (8, 1), (9, 1), (9, 2)])
+    for rows in (1_000_000, 0):
+        hits = search.bm25(docs, "id", F.col("t"), asked, "q", F.col("t"), broadcast_rows=rows)
+        assert sorted((-1 if r["query_id"] is None else r["query_id"], r["id"]) for r in hits.collect()) == want
